@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, packing, rules, simhash
+from . import classifier, exact, lines, mixing, packing, rules, simhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,6 +32,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -56,7 +65,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, report=True).select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op6_packing, op8_classifier, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op5_exact, op6_packing, op8_classifier, op10_rules)}
 
 SQL = {
     "op1_mixing": rf"""
@@ -83,6 +92,21 @@ u AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
        CAST((floor(rate) + CASE WHEN x < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM u""",
+    "op3_lines": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (
+  SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_id AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+    "op5_exact": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
     "op10_rules": rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
