@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, exact, lines, mixing, packing, rules, simhash
+from . import classifier, exact, lines, mixing, packing, rules, sharding, simhash, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,6 +52,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer=tokenizer_path(), end=2)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return warc.round_trip(pages.select("page_id", "url", "html")).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -60,12 +68,17 @@ def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard", "shard_bytes", "fits")
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.judge(docs, report=True).select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op5_exact, op6_packing, op8_classifier, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op5_exact, op6_packing, op7_warc, op8_classifier, op9_sharding, op10_rules)}
 
 SQL = {
     "op1_mixing": rf"""
@@ -107,6 +120,22 @@ FROM m GROUP BY doc_id""",
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""",
+    "op9_sharding": f"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM documents
+), b AS (
+  SELECT depth, h >> (52 - depth) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM d, (SELECT unnest(range(21)) AS depth) GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT}
+), l AS (
+  SELECT doc_id, n_bytes, h, min(depth) AS depth FROM d JOIN b ON h >> (52 - depth) = prefix GROUP BY doc_id, n_bytes, h
+)
+SELECT doc_id, n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE left(lpad(bin(h), 52, '0'), CAST(l.depth AS INTEGER)) END AS shard, shard_bytes, true AS fits
+FROM l JOIN b ON l.depth = b.depth AND l.h >> (52 - l.depth) = b.prefix""",
     "op10_rules": rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
