@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, exact, lines, mixing, packing, rules, sharding, simhash, warc
+from . import classifier, exact, lines, mixing, packing, rules, sharding, simhash, substrings, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +37,11 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -78,7 +83,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, report=True).select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op5_exact, op6_packing, op7_warc, op8_classifier, op9_sharding, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op4_substrings, op5_exact, op6_packing, op7_warc, op8_classifier, op9_sharding, op10_rules)}
 
 SQL = {
     "op1_mixing": rf"""
