@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import classifier, mixing, packing, simhash
+from orrery.llm import classifier, lines, mixing, packing, simhash
 from orrery.llm._work import stored
 from orrery.llm.queries import table, tokenizer_path
 
@@ -21,6 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model, out="__score").where("__score >= 0.5").drop("__score")
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Common lines go from all documents but the last that holds them; every document stays."""
+    cleaned = lines.dedup_lines(docs)
+    return cleaned.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the least doc_id."""
     return simhash.keep_one(docs)
@@ -38,6 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", quality),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
     ("mixing", mixing_sources),
     ("packing", pack),
