@@ -8,11 +8,15 @@ top up the window that is emitted.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,33 +29,116 @@ OPEN_WINDOWS = 64
 LEAST_PIECE = 32
 #: So many partitions' leftovers are merged in one task: at most MERGED * OPEN_WINDOWS windows.
 MERGED = 16
-CACHED_WORDS = 300_000
+#: Entries of either cache, some 110 MB together. Beyond, those learnt first stay: the frequent ones.
+CACHED_WORDS, KEPT_WORDS = 300_000, 150_000
+#: Bytes of text that are tokenized at once.
+PORTION = 2 << 20
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part long, win long, offset long, ids binary"
 
 
-class WordTokens:
-    """Ids of a text as little-endian 32-bit bytes, word by word from a cache of bounded size. Exact
-    for tokenizers that drop white space, since no token of theirs spans it."""
-
-    def __init__(self, path: str, end: int):
-        from tokenizers import Tokenizer
+#: What is not plain: plain words are printable, up to U+017F but for U+0130, whose lower case is two
+#: characters; their normal form is their lower case. Others are left to the tokenizer one by one.
+ODD = regex.compile("[^\n!-~\u00a1-\u012f\u0131-\u017f]")
+#: Stands between the words' ids; no four bytes of ids under 2**24 hold it, aligned or not.
+GAP = b"\xff\xff\xff\xff"
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.end = int(end).to_bytes(4, "little")
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        missing = list({w for w in words if w not in self.cache})
-        if missing:
-            if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
-                missing = list(set(words))
-            # one call for many words: a line each, as line ends are dropped like other white space
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, encoded, strict=True))
-        return b"".join(map(self.cache.__getitem__, words)) + self.end
+class WordTokens:
+    """Ids of texts as little-endian 32-bit bytes, put together from words, and words from the
+    pieces that the tokenizer's own splitting pattern gives. Exact for tokenizers that lower-case,
+    drop white space, split by a pattern and mark a piece's last token with a suffix: no token of
+    theirs spans two pieces. Two caches of bounded size hold what was seen."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path, self.whole = path, None
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        split = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        suffix = told["model"]["end_of_word_suffix"]
+        self.pieces = regex.compile(f"\\n|{split}")
+        self.special = [t["content"].encode() for t in told["added_tokens"]]
+        vocabulary = told["model"]["vocab"]
+        self.last = np.zeros(max([*vocabulary.values(), *(t["id"] for t in told["added_tokens"])]) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        # the same model for pieces, which are already normal and need no pattern
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.words: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"\n": GAP}
+
+    def _one(self, word: str) -> bytes:
+        if self.whole is None:  # most texts never need it
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):  # a piece that the tokenizer cuts in another way
+                self.known.update((p, self._one(p)) for p in part)
+                continue
+            raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1])) * 4
+            self.known.update((p, raw[s:e]) for p, s, e in zip(part, starts.tolist(), (ends * 4).tolist(), strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        joined = b"\n".join(words)
+        text = joined.decode("utf-8", "replace")
+        if ODD.search(text) or any(x in joined for x in self.special):
+            plain = []
+            for w in words:
+                one = w.decode("utf-8", "replace")
+                if ODD.search(one) or any(x in w for x in self.special):
+                    self.words[w] = self._one(one)
+                else:
+                    plain.append(w)
+            words, text = plain, b"\n".join(plain).decode()
+        if not words:
+            return
+        found = self.pieces.findall(text.lower())
+        self._learn_pieces(list(set(found).difference(self.known)))
+        ids = b"".join(map(self.known.__getitem__, found)).split(GAP)
+        self.words.update(zip(words, ids, strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        lists = [t.split() for t in texts]
+        if len(self.words) > CACHED_WORDS:
+            self.words = dict(islice(self.words.items(), KEPT_WORDS))
+        if len(self.known) > CACHED_WORDS:
+            self.known = dict(islice(self.known.items(), KEPT_WORDS))
+        self._learn(list(set().union(*lists).difference(self.words)))
+        get = self.words.__getitem__
+        return [b"".join(map(get, ws)) for ws in lists]
+
+
+#: The tokenizer of this Python worker, kept with its caches from task to task.
+_TOKENS: dict[str, WordTokens] = {}
+
+
+def tokens_of(path: str) -> WordTokens:
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
+
+
+def _portions(ids: list, texts: list[bytes | None], size: int):
+    """Documents in portions of about `size` bytes of text."""
+    at = have = 0
+    for k, t in enumerate(texts):
+        have += len(t or b"")
+        if have >= size or k == len(texts) - 1:
+            yield ids[at : k + 1], [x or b"" for x in texts[at : k + 1]]
+            at, have = k + 1, 0
 
 
 class _Windows:
@@ -143,7 +230,8 @@ def pack(
     schema = PIECE.format(id=kind)
 
     def run(batches):
-        encode, rows = WordTokens(tokenizer, end), []
+        encode, rows = tokens_of(tokenizer), []
+        last = int(end).to_bytes(4, "little")
         windows = _Windows(TaskContext.get().partitionId(), rows.extend, length, open_windows, least_piece)
         names = [c.split()[0] for c in schema.split(", ")]
         types = None
@@ -156,10 +244,11 @@ def pack(
 
         for b in batches:
             types = [b.schema.field("id").type, *[pa.int64()] * 7, pa.binary()]
-            for doc, text in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                windows.add(doc, encode(text or b""))
-            if len(rows) >= 4096:
-                yield out()
+            for docs_, texts in _portions(b.column("id").to_pylist(), b.column("t").to_pylist(), PORTION):
+                for doc, ids in zip(docs_, encode(texts), strict=True):
+                    windows.add(doc, ids + last)
+                if len(rows) >= 4096:
+                    yield out()
         rows += windows.leftovers()
         if rows:
             yield out()
