@@ -19,6 +19,8 @@ from ._work import broadcast_if, stored
 CHUNK = r"(?s).{256,4096}?(?:(?<=e)[ \n]|\z)|.{4096}|.+"
 #: So many ids of texts with copies are broadcast at most (8 MB); more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: So many longs, in the recipes of all groups together, are broadcast at most (16 MB).
+BROADCAST_LONGS = 2_000_000
 
 
 def chunks(text: str) -> Column:
@@ -59,13 +61,16 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     made = stored(recipes(docs, id_col=id_col, text_col=text_col), "recipes")
     keys = made.groupBy("n_bytes", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = made.join(keys, ["n_bytes", "digest"], "left_semi")
+    keys = stored(keys, "shared-digests")
+    shared = made.join(broadcast_if(keys, keys.count(), BROADCAST_IDS), ["n_bytes", "digest"], "left_semi")
     clashes = stored(_clashes(docs, shared.select("doc_id"), id_col, text_col), "clashes")
     if not clashes.isEmpty():
         made = stored(_renumbered(docs, made, clashes, id_col, text_col), "recipes")
         shared = made
     groups = shared.groupBy("n_bytes", "digest", "recipe").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    joined = made.join(groups, ["n_bytes", "digest", "recipe"], "left")
+    groups = stored(groups, "copy-groups")
+    extent = groups.agg(F.sum(F.size("recipe") + 4)).first()[0] or 0  # longs of all recipes and row heads
+    joined = made.join(broadcast_if(groups, extent, BROADCAST_LONGS), ["n_bytes", "digest", "recipe"], "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return joined.select(
         "doc_id",
