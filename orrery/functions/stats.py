@@ -102,13 +102,14 @@ def two_sided_p(null: Column, observed: Column) -> Column:
 
 
 def null_summary(df: DataFrame, observed: str, null: str, keys: Sequence[str]) -> DataFrame:
-    """Observed value of each slice against its nulls: mean, sample deviation, difference, z, p."""
+    """Observed value of each slice against its nulls: mean, sample deviation, difference, z, p, 95 % point."""
     o, x = F.first(observed), missing(null)
     sd = F.stddev_samp(x)
     return df.groupBy(*keys).agg(
         o.alias("observed"), F.avg(x).alias("null_mean"), sd.alias("null_sd"), (o - F.avg(x)).alias("delta"),
         F.when(sd > 1e-12, (o - F.avg(x)) / sd).alias("z"), upper_tail_p(F.col(null), F.col(observed)).alias("p_upper"),
         lower_tail_p(F.col(null), F.col(observed)).alias("p_lower"), two_sided_p(F.col(null), F.col(observed)).alias("p_two_sided"),
+        F.percentile(x, F.lit(0.95)).alias("q95_null"),
     )
 
 

@@ -200,3 +200,115 @@ def gromov(points: DataFrame, keys: Sequence[str], id_col: str = "vec_id") -> Da
     del id_col
     schema = ", ".join([*(f"{c} {points.schema[c].dataType.simpleString()}" for c in keys), "loss double", "diagonal double"])
     return points.groupBy(*keys).applyInArrow(run, schema)
+
+
+def chart_maps(pairs: DataFrame, chart: str, least: int = 8) -> DataFrame:
+    """(chart, i, j, value): an orthogonal map for each chart of at least `least` pairs, and under chart null
+    the map of all pairs, which stands in for the others."""
+    n = pairs.groupBy(chart).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(chart)
+    own = procrustes_map(pairs.join(F.broadcast(n), chart), [chart])
+    return own.unionByName(procrustes_map(pairs).select(F.lit(None).cast(pairs.schema[chart].dataType).alias(chart), "i", "j", "value"))
+
+
+def apply_maps(points: DataFrame, maps: DataFrame, chart: str, id_col: str = "id") -> DataFrame:
+    """(id, chart, vec): vectors times their chart's map, or the common one. Maps are d * d numbers a chart."""
+    has = maps.where(F.col(chart).isNotNull()).select(F.col(chart).alias("__has")).distinct()
+    long = points.join(F.broadcast(has), F.col(chart) == F.col("__has"), "left").select(F.col(id_col).alias("id"), F.col(chart).alias("own"), F.col("__has").alias("use"), F.posexplode("vec").alias("i", "x"))
+    m = F.broadcast(maps.select(F.col(chart).alias("use_map"), F.col("i").alias("mi"), "j", "value"))
+    out = long.join(m, F.col("use").eqNullSafe(F.col("use_map")) & (F.col("i") == F.col("mi"))).groupBy("id", "own", "j").agg(F.sum(F.col("x") * F.col("value")).alias("y"))
+    return out.groupBy("id", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "y"))), lambda s: s["y"]).alias("vec")).withColumnRenamed("own", chart)
+
+
+def cycle_residual(maps: dict[tuple, np.ndarray], charts: Sequence) -> float:
+    """Mean over ordered triples of charts of how far the product of their three maps is from standing still."""
+    gaps = [np.linalg.norm(maps[c, a] @ maps[b, c] @ maps[a, b] - np.eye(len(maps[a, b]))) / len(maps[a, b]) for a in charts for b in charts for c in charts if len({a, b, c}) == 3]
+    return float(np.mean(gaps)) if gaps else 0.0
+
+
+def codebook(points: DataFrame, n_tokens: int, seed: int = 7, id_col: str = "vec_id") -> DataFrame:
+    """(id, token): k-means cells, with k at most one for 25 points and at least 4."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    n = points.count()
+    k = min(n_tokens, max(4, n // 25))
+    df = points.select(F.col(id_col).alias("id"), array_to_vector("vec").alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=20).fit(df).transform(df).select("id", F.col("prediction").alias("token"))
+
+
+def token_affinity(edges: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(a, b, n, n_positive) of the token pairs of labelled edges (u, v, y)."""
+    rows = edges.join(tokens.select(F.col("id").alias("u"), F.col("token").alias("a")), "u").join(tokens.select(F.col("id").alias("v"), F.col("token").alias("b")), "v")
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_positive"))
+
+
+def descriptor_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(similarity) of two tables (name, value): exp of minus the mean square of scaled differences, the scale
+    being the median absolute value."""
+    rows = a.select("name", F.col("value").alias("x")).join(b.select("name", F.col("value").alias("y")), "name")
+    scale = rows.select(F.explode(F.array(F.abs("x"), F.abs("y"))).alias("m")).agg(F.greatest(F.percentile("m", F.lit(0.5)), F.lit(1e-9)).alias("s"))
+    return rows.crossJoin(F.broadcast(scale)).agg(F.exp(-F.avg(F.pow((F.col("x") - F.col("y")) / F.col("s"), 2))).alias("similarity"))
+
+
+def perturbations(modules: DataFrame, n_each: int, salt: str = "perturb") -> DataFrame:
+    """(spec, kind, a, b): n_each dropouts, sign flips and swaps of modules, drawn by hash."""
+    from ..functions import random as R
+
+    m = modules.select("module").distinct()
+    drawn = R.sample(m, n_each, "module", salt + ":drop").select(F.lit("dropout").alias("kind"), F.col("module").alias("a"), F.lit(None).cast(m.schema["module"].dataType).alias("b"))
+    flips = R.sample(m, n_each, "module", salt + ":flip").select(F.lit("flip").alias("kind"), F.col("module").alias("a"), F.lit(None).cast(m.schema["module"].dataType).alias("b"))
+    pairs = m.select(F.col("module").alias("a")).join(m.select(F.col("module").alias("b")), F.col("a") < F.col("b"))
+    swaps = R.sample(pairs.withColumn("ab", F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"))), n_each, "ab", salt + ":swap").select(F.lit("swap").alias("kind"), "a", "b")
+    return drawn.unionByName(flips).unionByName(swaps).withColumn("spec", F.concat_ws(":", "kind", F.col("a").cast("string"), F.col("b").cast("string")))
+
+
+def perturbed(vectors: DataFrame, specs: DataFrame, strengths: Sequence[float]) -> DataFrame:
+    """(spec, strength, module, vec): module vectors (module, vec) under each perturbation at each strength:
+    faded, turned towards its negative, or towards its partner's."""
+    grid = specs.withColumn("strength", F.explode(F.array(*[F.lit(float(s)) for s in strengths])))
+    rows = vectors.crossJoin(F.broadcast(grid))
+    partner = vectors.select(F.col("module").alias("__p"), F.col("vec").alias("other"))
+    to = F.when((F.col("kind") == "swap") & (F.col("module") == F.col("a")), F.col("b")).when((F.col("kind") == "swap") & (F.col("module") == F.col("b")), F.col("a"))
+    rows = rows.withColumn("__to", to).join(F.broadcast(partner), F.col("__to") == F.col("__p"), "left")
+    s, hit = F.col("strength"), F.col("module") == F.col("a")
+    vec = (
+        F.when(F.col("__to").isNotNull(), F.zip_with("vec", "other", lambda x, y: (1 - s) * x + s * y))
+        .when(hit & (F.col("kind") == "dropout"), F.transform("vec", lambda x: (1 - s) * x))
+        .when(hit & (F.col("kind") == "flip"), F.transform("vec", lambda x: (1 - 2 * s) * x))
+        .otherwise(F.col("vec"))
+    )
+    return rows.select("spec", "strength", "module", vec.alias("vec"))
+
+
+def transition_matrix(vectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, i, j, p): cosines of module vectors, ranked over all pairs, as shares of their row."""
+    from ..functions.stats import rank_share
+
+    a = vectors.select(*keys, F.col("module").alias("i"), F.col("vec").alias("x"))
+    b = vectors.select(*keys, F.col("module").alias("j"), F.col("vec").alias("y"))
+    c = (a.join(b, list(keys)) if keys else a.crossJoin(b)).select(*keys, "i", "j", X.cosine("x", "y").alias("c")).withColumn("r", rank_share("c", keys))
+    from pyspark.sql.window import Window
+
+    return c.select(*keys, "i", "j", (F.col("r") / F.sum("r").over(Window.partitionBy(*keys, "i"))).alias("p"))
+
+
+def response(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, response): mean absolute change of a transition matrix (i, j, p)."""
+    rows = after.join(before.select("i", "j", F.col("p").alias("p0")), ["i", "j"])
+    return rows.groupBy(*keys).agg(F.avg(F.abs(F.col("p") - F.col("p0"))).alias("response"))
+
+
+def depth_warp(layers: DataFrame, target: DataFrame, warps: Sequence[Sequence[float]]) -> DataFrame:
+    """(warp, cost): for each weighting of the layers the cost of the best matching of the blended module
+    vectors (layer, module, vec) to the target's (module, vec)."""
+    out = None
+    for n, weights in enumerate(warps):
+        w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("layer") + 1).cast("int"))
+        long = layers.withColumn("w", w).select("module", "w", F.posexplode("vec").alias("d", "x"))
+        blended = long.groupBy("module", "d").agg(F.sum(F.col("w") * F.col("x")).alias("x")).groupBy("module").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("x"))
+        pair = blended.select(F.col("module").alias("a"), "x").crossJoin(target.select(F.col("module").alias("b"), F.col("vec").alias("y")))
+        from pyspark.sql.window import Window
+
+        c = pair.select(F.lit(n).alias("warp"), (F.dense_rank().over(Window.partitionBy(F.lit(n)).orderBy("a")) - 1).alias("i"), (F.dense_rank().over(Window.partitionBy(F.lit(n)).orderBy("b")) - 1).alias("j"), X.distance("x", "y").alias("cost"))
+        out = c if out is None else out.unionByName(c)
+    return transport(out, ["warp"]).select("warp", F.col("matched_cost").alias("cost"))

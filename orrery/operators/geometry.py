@@ -259,3 +259,134 @@ def shape_descriptor(points: DataFrame, keys: Sequence[str], k: int = 12, id_col
         return {c: [float(x)] for c, x in zip(names, values, strict=True)}
 
     return per_slice(points, keys, run, [f"{c} double" for c in names], id_col)
+
+
+SECTION = [f"{c}_{e} double" for e in ("mean", "gap") for c in ("anisotropy", "planarity", "omnivariance")] + ["align_u double", "align_v double", "align_mean double", "align_gap double", "margin double", "margin_abs double"]
+
+
+def sectional_features(points: DataFrame, edges: DataFrame, keys: Sequence[str], support: DataFrame, k: int = 12, id_col: str = "vec_id") -> DataFrame:
+    """Shape of the neighbourhoods at both ends, how the edge lies to their first axes, and its margin."""
+
+    def run(p, u, v, s):
+        near = K.nearest(K.pairwise(p), k)
+        shape, axis = [], []
+        for i in range(len(p)):
+            q = p[near[i]] - p[near[i]].mean(0)
+            _, sv, vt = np.linalg.svd(q, full_matrices=False)
+            lam = np.maximum(np.pad(sv**2, (0, max(0, 3 - len(sv))))[:3], 1e-12)
+            shape.append([np.log1p(lam[0] / lam[2]), (lam[1] - lam[2]) / lam[0], np.prod(lam) ** (1 / 3)])
+            axis.append(vt[0])
+        shape, axis = np.array(shape), np.array(axis)
+        way = p[v] - p[u]
+        way = way / np.maximum(np.linalg.norm(way, axis=1, keepdims=True), 1e-10)
+        au, av = np.abs((way * axis[u]).sum(1)), np.abs((way * axis[v]).sum(1))
+        m = s[u, v] - s[v, u]
+        columns = [*((shape[u] + shape[v]) / 2).T, *(shape[u] - shape[v]).T, au, av, (au + av) / 2, au - av, m, np.abs(m)]
+        return {c.split()[0]: x for c, x in zip(SECTION, columns, strict=True)}
+
+    return per_edge(points, edges, keys, run, SECTION, support, id_col)
+
+
+def swapped_sections(df: DataFrame) -> DataFrame:
+    """sectional_features() with the ends exchanged; twice gives the same again."""
+    turned = {c: -F.col(c) for c in ("anisotropy_gap", "planarity_gap", "omnivariance_gap", "align_gap", "margin")}
+    return df.withColumns(turned | {"align_u": F.col("align_v"), "align_v": F.col("align_u")})
+
+
+FRACTURE = ["count double", "density double", "most double", "mean_angle double", "sd_angle double"]
+
+
+def path_fractures(points: DataFrame, edges: DataFrame, keys: Sequence[str], window: int = 4, angle: float = 35.0, k: int = 12, id_col: str = "vec_id") -> DataFrame:
+    """Along each edge's shortest path, angles in degrees between the first axes of successive windows: how
+    many exceed `angle`, their share, the largest, mean and deviation."""
+
+    def run(p, u, v, s):
+        del s
+        _, _, before = _geodesic(p, k)
+        out = []
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            way = p[K.path(before, a, b)]
+            axes = [np.linalg.svd(way[i : i + window] - way[i : i + window].mean(0), full_matrices=False)[2][0] for i in range(max(0, len(way) - window + 1))]
+            turn = np.degrees(np.arccos(np.clip([abs(x @ y) for x, y in zip(axes[:-1], axes[1:], strict=True)], 0, 1))) if len(axes) > 1 else np.zeros(1)
+            out.append([(turn > angle).sum(), (turn > angle).mean(), turn.max(), turn.mean(), turn.std()])
+        return {c.split()[0]: x for c, x in zip(FRACTURE, np.array(out, float).T, strict=True)}
+
+    return per_edge(points, edges, keys, run, FRACTURE, None, id_col)
+
+
+def path_curvature(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, id_col: str = "vec_id") -> DataFrame:
+    """(mean, least, sd, drift, hops): Forman curvature of the neighbour graph's edges along each path."""
+    schema = ["mean double", "least double", "sd double", "drift double", "hops double"]
+
+    def run(p, u, v, s):
+        del s
+        d = K.pairwise(p)
+        w = K.connect(K.knn_adjacency(d, k), d)
+        deg = (np.isfinite(w) & ~np.eye(len(p), dtype=bool)).sum(1)
+        _, before = K.shortest_paths(w)
+        out = []
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            way = np.array(K.path(before, a, b))
+            c = 4.0 - deg[way[:-1]] - deg[way[1:]]
+            out.append([c.mean(), c.min(), c.std(), np.abs(np.diff(c)).sum(), len(c)])
+        return {c.split()[0]: x for c, x in zip(schema, np.array(out, float).T, strict=True)}
+
+    return per_edge(points, edges, keys, run, schema, None, id_col)
+
+
+def edge_thinness(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, thirds: int = 24, id_col: str = "vec_id") -> DataFrame:
+    """(thinness): minus the mean slack of geodesic triangles over both ends' neighbours, at most `thirds`."""
+
+    def run(p, u, v, s):
+        del s
+        d, g, _ = _geodesic(p, k)
+        near = K.nearest(d, k)
+        out = []
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            c = np.setdiff1d(np.union1d(near[a], near[b]), [a, b])[:thirds]
+            sides = np.array([np.full(len(c), g[a, b]), g[a, c], g[b, c]])
+            out.append(-float((0.5 * np.maximum(0, sides.sum(0) - 2 * sides.max(0))).mean()) if len(c) else np.nan)
+        return {"thinness": out}
+
+    return per_edge(points, edges, keys, run, ["thinness double"], None, id_col)
+
+
+def dimension_phase(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, id_col: str = "vec_id") -> DataFrame:
+    """(flips, hysteresis, slope_gap, level, dispersion): local dimension along each path and back."""
+    schema = ["flips double", "hysteresis double", "slope_gap double", "level double", "dispersion double"]
+
+    def run(p, u, v, s):
+        del s
+        d, _, before = _geodesic(p, k)
+        near = np.sort(d + np.where(np.eye(len(p), dtype=bool), np.inf, 0), axis=1)
+        local = np.clip(1 / np.log(np.maximum(near[:, 1], 1e-12) / np.maximum(near[:, 0], 1e-12) + 1e-12), 0.1, 200)
+        out = []
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            x, y = local[K.path(before, a, b)], local[K.path(before, b, a)]
+            step = np.sign(np.diff(x)[np.abs(np.diff(x)) > 1e-6])
+            line = lambda t: np.polyfit(np.arange(len(t)), t, 1)[0] if len(t) > 1 else 0.0
+            out.append([(step[1:] * step[:-1] < 0).sum(), abs(x.mean() - y.mean()), line(x) + line(y), x.mean(), x.std()])
+        return {c.split()[0]: x for c, x in zip(schema, np.array(out, float).T, strict=True)}
+
+    return per_edge(points, edges, keys, run, schema, None, id_col)
+
+
+def tangent_turns(layers: DataFrame, keys: Sequence[str], k: int = 12, dims: int = 3, order: str = "layer", id_col: str = "vec_id") -> DataFrame:
+    """(id, angles): mean principal angle between each node's tangent space in successive layers. keys don't
+    hold the layer; all layers of a slice are one group."""
+    kind = layers.schema[id_col].dataType.simpleString()
+    rows = layers.select(*keys, F.col(id_col).alias("id"), F.col(order).alias("layer"), "vec")
+
+    def run(key, table):
+        spaces: dict[int, list] = {}
+        ids = None
+        for layer in sorted(set(table.column("layer").to_pylist())):
+            part = table.filter(pa.array(np.array(table.column("layer").to_pylist()) == layer)).sort_by("id")
+            ids, p = part.column("id").to_numpy(), _matrix(part)
+            near = K.nearest(K.pairwise(p), k)
+            spaces[layer] = [np.linalg.svd(p[n] - p[n].mean(0), full_matrices=False)[2][:dims] for n in near]
+        names = sorted(spaces)
+        turns = [[float(np.arccos(np.clip(np.linalg.svd(spaces[a][i] @ spaces[b][i].T, compute_uv=False), 0, 1)).mean()) for a, b in zip(names[:-1], names[1:], strict=True)] for i in range(len(ids))]
+        return pa.table({c: pa.array([v.as_py()] * len(ids), table.schema.field(c).type) for c, v in zip(keys, key, strict=True)} | {"id": pa.array(ids), "angles": pa.array(turns, pa.list_(pa.float64()))})
+
+    return rows.groupBy(*keys).applyInArrow(run, ", ".join([*_types(layers, keys), f"id {kind}", "angles array<double>"]))

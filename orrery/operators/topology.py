@@ -95,3 +95,57 @@ def signed_path_scores(edges: DataFrame) -> DataFrame:
     ahead = e.join(two.select(F.col("i").alias("source"), F.col("j").alias("target"), F.col("n").alias("there")), ["source", "target"], "left")
     rows = ahead.join(two.select(F.col("j").alias("source"), F.col("i").alias("target"), F.col("n").alias("back")), ["source", "target"], "left")
     return rows.select("source", "target", (F.coalesce("there", F.lit(0)) - F.coalesce("back", F.lit(0)) + F.tanh(3.5 * F.col("margin"))).alias("score"))
+
+
+def zigzag(first: DataFrame, second: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, first, second, union, long, total): cycles of two undirected graphs, of their union and of their
+    intersection: on graphs first homology is the cycle space, so four cycle ranks say all."""
+    both = first.select(*keys, "u", "v").unionByName(second.select(*keys, "u", "v")).distinct()
+    common = first.select(*keys, "u", "v").intersect(second.select(*keys, "u", "v"))
+    tagged = None
+    for name, e in (("first", first), ("second", second), ("union", both), ("long", common)):
+        t = e.select(*keys, "u", "v").distinct().withColumn("part", F.lit(name))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    parts = F.explode(F.array(*[F.lit(x) for x in ("first", "second", "union", "long")]))
+    ranks = cycle_rank(tagged, [*keys, "part"], nodes.select(*keys, "node", parts.alias("part")))
+    one = lambda name: F.max(F.when(F.col("part") == name, F.col("rank")))
+    g = ranks.groupBy(*keys).agg(*[one(x).alias(x) for x in ("first", "second", "union", "long")])
+    return g.withColumn("total", F.col("first") + F.col("second") + F.col("union") - F.col("long"))
+
+
+def directed_flags(edges: DataFrame) -> DataFrame:
+    """(n_edges, n_flags): edges and directed triangles a->b->c, a->c, which fill cycles of the flag complex."""
+    e = edges.where("source <> target").select("source", "target").distinct()
+    ab, bc, ac = e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("a", "c")
+    t = ab.join(bc, "b").join(ac, ["a", "c"]).agg(F.count(F.lit(1)).alias("n_flags"))
+    return e.agg(F.count(F.lit(1)).alias("n_edges")).crossJoin(t)
+
+
+def two_axis_connectivity(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, shares: Sequence[float], support_shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, u, v, one_axis, two_axis, gain): share of thresholds at which the ends are connected, by
+    distance alone and over the grid of distance and support."""
+    one = edge_connectivity(edges, pairs, nodes, shares, keys).select(*keys, "u", "v", F.col("share").alias("one_axis"))
+    f = bifiltration(pairs, shares, support_shares, keys)
+    near, strong = thresholds(pairs, "distance", shares, keys), thresholds(pairs, "support", support_shares, keys, "s_level")
+    grid = near.join(strong, list(keys)) if keys else near.crossJoin(strong)
+    by = [*keys, "level", "s_level"]
+    c = components(f, by, _nodes_by_level(nodes, grid, keys, ["level", "s_level"]))
+    rows = edges.select(*keys, "u", "v").join(c.withColumnRenamed("node", "u").withColumnRenamed("component", "cu"), [*keys, "u"])
+    rows = rows.join(c.withColumnRenamed("node", "v").withColumnRenamed("component", "cv"), [*by, "v"])
+    two = rows.groupBy(*keys, "u", "v").agg(F.avg((F.col("cu") == F.col("cv")).cast("int")).alias("two_axis"))
+    return one.join(two, [*keys, "u", "v"]).withColumn("gain", F.col("two_axis") - F.col("one_axis"))
+
+
+def rank_pairs(pairs: DataFrame, value: str, keys: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """pairs with the average-rank share of a value among all pairs of the slice."""
+    from ..functions.stats import rank_share
+
+    return pairs.withColumn(out, rank_share(value, keys))
+
+
+def regime(edges: DataFrame, n_nodes: int) -> DataFrame:
+    """(density, orientation_entropy, balance, margin_iqr) of oriented edges (source, target, margin)."""
+    p = F.avg((F.col("margin") > 0).cast("double"))
+    h = F.when((p > 0) & (p < 1), -(p * F.ln(p) + (1 - p) * F.ln(1 - p))).otherwise(F.lit(0.0))
+    q = F.percentile("margin", F.array(F.lit(0.25), F.lit(0.75)))
+    return edges.agg((F.count(F.lit(1)) / F.lit(n_nodes * (n_nodes - 1))).alias("density"), h.alias("orientation_entropy"), (1 - F.abs(2 * p - 1)).alias("balance"), (q[1] - q[0]).alias("margin_iqr"))
