@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import classifier, lines, mixing, packing, simhash
-from orrery.llm._work import stored
+from orrery.llm._work import bounded_batches, stored
 from orrery.llm.queries import table, tokenizer_path
 
 
@@ -23,12 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common lines go from all documents but the last that holds them; every document stays."""
+    bounded_batches(spark)
     cleaned = lines.dedup_lines(docs)
     return cleaned.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the least doc_id."""
+    bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -39,6 +41,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 4096."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer=tokenizer_path(), end=2)
 
 
