@@ -28,6 +28,13 @@ def work_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """For jobs over long texts: Arrow batches of some 8 MB, so that a Python worker's memory doesn't
+    follow the texts' lengths. Queries and the pipeline set it; a caller of the operators may set
+    its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_folder(spark)}/orrery/{label}-{uuid.uuid4().hex}"
 
