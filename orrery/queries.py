@@ -13,7 +13,7 @@ from .functions import expressions as X
 from .functions import random as R
 from .functions import stats as S
 from .operators import alignment, geometry, graph, models, sequences, support, topology, vectors
-from .plans import audit, screen
+from .plans import audit, screen, screens
 from .sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -850,3 +850,29 @@ def cv_logit_delta(spark, sf):
     seen, nulls = screen.model_screen(g, ["detour", "deficit", "diffusion"], "base_score", "bin", ["label", "layer"], 4)
     out = audit.pooled_gap(seen, nulls, ["label", "layer"])
     return out.select("label", "layer", "n", "n_positive", *r6("auc_base", "auc_model", "delta", "q95_null", "null_gap"))
+
+
+# one screen of each family, over all slices of labels and layers
+
+REPRESENTATIVES = {
+    "manifold": "H136", "graph": "H61", "dimension": "H63", "filtration": "H90", "homology": "H39", "modules": "H118", "transfer": "H62",
+}
+
+
+def _screen(name: str, hypothesis: str):
+    def run(spark, sf):
+        p, e = _label_edges(spark, sf)
+        keys = ("label", "layer")
+        other = p.select("label", ((F.col("layer") + 1) % 4).alias("layer"), "vec_id", "vec")
+        near = vectors.knn(p, 4, list(keys)).select(*keys, F.col("id").alias("source"), F.col("neighbour").alias("target"), (1 / (1 + F.col("distance"))).alias("support"))
+        s = screens.Slices(p.select(*keys, "vec_id", "vec"), e.select(*keys, "u", "v", "y"), keys, near, other)
+        out = screens.calibrated(hypothesis, s)
+        return out.select(*keys, "n", "n_positive", *r6("auc_base", "auc_model", "delta", "null_gap", "strict_margin"), "strict_positive")
+
+    run.__name__ = f"screen_{name}"
+    run.__doc__ = f"The screen {hypothesis}."
+    query()(run)
+
+
+for _name, _hypothesis in REPRESENTATIVES.items():
+    _screen(_name, _hypothesis)
