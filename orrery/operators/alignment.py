@@ -187,7 +187,7 @@ def transport(cost: DataFrame, keys: Sequence[str], epsilon: float = 0.1) -> Dat
     return cost.groupBy(*keys).applyInArrow(run, schema)
 
 
-def gromov(points: DataFrame, keys: Sequence[str], id_col: str = "vec_id") -> DataFrame:
+def gromov(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, loss, diagonal): Gromov-Wasserstein between the clouds x and y of paired points."""
 
     def run(key, table):
@@ -197,7 +197,6 @@ def gromov(points: DataFrame, keys: Sequence[str], id_col: str = "vec_id") -> Da
         plan, loss = K.gromov_wasserstein(cx / max(cx.max(), 1e-12), cy / max(cy.max(), 1e-12))
         return pa.table({c: pa.array([v.as_py()], table.schema.field(c).type) for c, v in zip(keys, key, strict=True)} | {"loss": [loss], "diagonal": [float(np.trace(plan))]})
 
-    del id_col
     schema = ", ".join([*(f"{c} {points.schema[c].dataType.simpleString()}" for c in keys), "loss double", "diagonal double"])
     return points.groupBy(*keys).applyInArrow(run, schema)
 

@@ -218,7 +218,7 @@ def communities(points: DataFrame, keys: Sequence[str], k: int = 12, method: str
     def run(ids, p):
         d = K.pairwise(p)
         adjacent = np.isfinite(K.knn_adjacency(d, k)) & ~np.eye(len(ids), dtype=bool)
-        label = K.greedy_modularity(adjacent) if method == "modularity" else K.propagated_labels(adjacent, np.argsort([hash((int(i) * 2654435761) & 0xFFFFFFFF) for i in ids], kind="stable"))
+        label = K.greedy_modularity(adjacent) if method == "modularity" else K.propagated_labels(adjacent, np.argsort(ids * 2654435761 % (1 << 32), kind="stable"))
         return {"id": ids, "community": ids[label]}
 
     kind = points.schema[id_col].dataType.simpleString()

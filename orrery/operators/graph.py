@@ -4,7 +4,6 @@ aggregates, so a graph may be larger than a machine; only components() goes in r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -286,9 +285,8 @@ def diffusion_distance(transition: DataFrame, steps: int = 2) -> DataFrame:
     return rows.select("u", "v", F.sqrt(F.greatest(F.lit(0.0), F.col("su") + F.col("sv") - 2 * F.col("c"))).alias("distance"))
 
 
-def hop_distances(edges: DataFrame, most: int, temp: str | None = None) -> DataFrame:
+def hop_distances(edges: DataFrame, most: int) -> DataFrame:
     """(u, v, hops) up to `most` steps over undirected edges, by joins of a growing frontier."""
-    del temp
     step = both_ways(edges)
     seen = step.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("hops"))
     front = seen
@@ -297,7 +295,3 @@ def hop_distances(edges: DataFrame, most: int, temp: str | None = None) -> DataF
         front = ahead.join(seen.select("u", "v"), ["u", "v"], "left_anti").withColumn("hops", F.lit(k))
         seen = seen.unionByName(front)
     return seen
-
-
-def unique_name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex}"

@@ -48,11 +48,10 @@ def coefficients(df: DataFrame, features: Sequence[str], label: str, keys: Seque
     return df.select(*keys, label, *features).groupBy(*keys).applyInArrow(run, schema)
 
 
-def selection_frequency(selected: DataFrame, replicate: str, keys: Sequence[str] = ()) -> DataFrame:
+def selection_frequency(selected: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, feature, frequency, sign_agreement, stable) over replicates of coefficients()."""
     sign = F.signum("coefficient")
     hit = F.col("nonzero").cast("int")
-    del replicate
     g = selected.groupBy(*keys, "feature").agg(F.avg(hit).alias("frequency"), (F.abs(F.sum(sign * hit)) / F.greatest(F.sum(hit), F.lit(1))).alias("sign_agreement"))
     return g.withColumn("stable", (F.col("frequency") >= 0.6) & (F.col("sign_agreement") >= 0.8))
 

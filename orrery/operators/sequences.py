@@ -38,7 +38,7 @@ def log_odds(steps: DataFrame, history: Sequence[str], label: str, n_tokens: Col
     return c.select(*keys, *history, "token", "p", "q", (lp - lq).alias("log_odds"))
 
 
-def cross_fitted_scores(tokens: DataFrame, labels: DataFrame, k: int, orders: Sequence[int] = (1,), alpha: float = 1.0, seq: str = "user_id") -> DataFrame:
+def cross_fitted_scores(tokens: DataFrame, labels: DataFrame, orders: Sequence[int] = (1,), alpha: float = 1.0, seq: str = "user_id") -> DataFrame:
     """(seq, label, fold, score): summed log-odds of each sequence's steps, learnt on the other folds.
     labels: (seq, label, fold). Counts of a fold are totals less its own, so each step is counted once."""
     n = tokens.select(F.count_distinct("token").alias("k")).first()["k"]
@@ -57,7 +57,6 @@ def cross_fitted_scores(tokens: DataFrame, labels: DataFrame, k: int, orders: Se
         model = grid.select("fold", *h, "token", odds.alias("o"))
         s = steps.join(F.broadcast(model) if order <= 1 else model, ["fold", *h, "token"]).groupBy(seq).agg(F.sum("o").alias("s"))
         out = out.join(s, seq, "left").withColumn("score", F.col("score") + F.coalesce("s", F.lit(0.0))).drop("s")
-    del k
     return out
 
 

@@ -578,7 +578,7 @@ z AS (SELECT user_id, sum(odds) AS score FROM s JOIN m USING (fold, h1, token) G
 SELECT f.user_id, y AS label, CAST(fold AS INTEGER) AS fold, round(coalesce(score, 0), 6) AS score FROM f LEFT JOIN z USING (user_id)""")
 def sequence_cv_scores(spark, sf):
     labels = R.folds(_user_labels(spark, sf), 3, "user_id", "label", "fold")
-    return sequences.cross_fitted_scores(T.event_tokens(spark, sf), labels, 3).select("user_id", "label", F.col("fold").cast("int").alias("fold"), *r6("score"))
+    return sequences.cross_fitted_scores(T.event_tokens(spark, sf), labels).select("user_id", "label", F.col("fold").cast("int").alias("fold"), *r6("score"))
 
 
 @query(f"""WITH {TOKENS}, c AS (SELECT user_id, token, lag(token) OVER (PARTITION BY user_id ORDER BY pos) AS h FROM tokens)
@@ -783,7 +783,7 @@ def geodesic_distortion(spark, sf):
 
 @query()
 def rips_persistence(spark, sf):
-    """First homology of the module centroids' and members' clouds, a slice per label of the first layer."""
+    """First homology around each point of the first layer, a slice per label."""
     return geometry.local_persistence(T.points(spark, sf).where("layer = 0"), ["label"], 10).select("label", "id", *r6("total"))
 
 
