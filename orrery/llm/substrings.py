@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -27,11 +28,12 @@ SEGMENT = 1 << 20
 #: Distinct surroundings of one anchor that are refined in a task; those of an anchor with more go,
 #: string by string, through an aggregate over all tasks. Also the size of a refinement's batch.
 WIDE = 8192
-#: So many ids of whole copies, or of lists of removed runs, are broadcast at most.
-BROADCAST_COPIES, BROADCAST_RUNS = 1_000_000, 250_000
+#: So many ids of whole copies, digests of texts that have copies, or removed runs are broadcast at most.
+BROADCAST_COPIES, BROADCAST_FIRSTS, BROADCAST_RUNS = 1_000_000, 300_000, 250_000
 
 _BYTE = np.random.default_rng(2011).integers(0, 1 << 64, 256, np.uint64)  # any table of random words serves
 _BASE = 0x9E3779B97F4A7C15
+TOLD = -(1 << 63)  # no document has this number
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,22 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, count
 
 
+def _maybe_equal(rows: np.ndarray, alive: np.ndarray, shape: Shape) -> np.ndarray:
+    """Which of the strings that are alive share their hash with another: equal strings always do, so
+    the rest need no refinement."""
+    width = rows.shape[1]
+    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(width, _BASE, np.uint64)]))
+    inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(width, pow(_BASE, -1, 1 << 64), np.uint64)]))
+    sums = np.zeros((len(rows), width + 1), np.uint64)
+    np.cumsum(_BYTE[rows] * power[:width], axis=1, out=sums[:, 1:])
+    n = shape.reach + 1
+    hashes = ((sums[:, shape.length : shape.length + n] - sums[:, :n]) * inverse[:n])[alive]
+    number, _ = pd.factorize(hashes)
+    out = np.zeros(alive.shape, bool)
+    out[alive] = np.bincount(number)[number] > 1 if len(number) else False
+    return out
+
+
 def refine(rows: np.ndarray, first: np.ndarray, last: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the equal strings in rows of bytes, an anchor at column `reach` of each.
 
@@ -113,6 +131,7 @@ def refine(rows: np.ndarray, first: np.ndarray, last: np.ndarray, shape: Shape)
     m, width = rows.shape
     column = np.arange(shape.reach + 1)
     alive = (column >= first[:, None]) & (column + shape.length <= last[:, None])
+    alive &= _maybe_equal(rows, alive, shape)
     grams = rows.astype(np.uint64)
     size = 1
     while size < 8:
@@ -172,8 +191,29 @@ def _repeated(rid: np.ndarray, pos: np.ndarray, left: np.ndarray, around: list[b
     return rid[row[edge]], np.minimum.reduceat(start, edge), np.maximum.reduceat(start, edge) + shape.length
 
 
+def _spread(h: np.ndarray, rid: np.ndarray, pos: np.ndarray) -> list[pa.Array]:
+    """(known, h, rid, pos) of a batch's anchors: those whose h the batch holds twice are known not to be
+    alone and may go anywhere; one row of rid TOLD tells the others of their h."""
+    _, number, count = np.unique(h, return_inverse=True, return_counts=True)
+    known = count[number] > 1
+    told = np.unique(h[known])
+    return [
+        pa.array(np.concatenate([known, np.zeros(len(told), bool)])),
+        pa.array(np.concatenate([h, told]).view(np.int64)),
+        pa.array(np.concatenate([rid, np.full(len(told), TOLD)])),
+        pa.array(np.concatenate([pos, np.zeros(len(told), np.int64)]).astype(np.int32)),
+    ]
+
+
 def _live(batches):
-    """Of rows (h, rid, pos) sorted by h those whose h is not alone; holds one batch and one row."""
+    """Of rows (known, h, rid, pos), sorted by h, those known or whose h is not alone; holds one batch and
+    one row."""
+    for t in _not_alone(batches):
+        t = t.filter(pc.not_equal(t.column("rid"), TOLD))
+        yield pa.RecordBatch.from_arrays([t.column(c) for c in ("h", "rid", "pos")], ["h", "rid", "pos"])
+
+
+def _not_alone(batches):
     held, shared = None, False  # the last row seen, and whether its h was seen before it
     for b in batches:
         if not b.num_rows:
@@ -185,6 +225,7 @@ def _live(batches):
         keep[1:] |= same
         keep[:-1] |= same
         keep[0] |= shared
+        keep |= t.column("known").to_numpy(zero_copy_only=False)
         held, shared = t.slice(len(h) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
         keep[-1] = False
         yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
@@ -219,6 +260,10 @@ def _grouped(shape: Shape, wide: int):
 
         names = [c.split()[0] for c in _FOUND.split(", ")]
         for b in batches:
+            done = b.filter(pc.is_null(b.column("around")))
+            if done.num_rows:
+                yield found(*(done.column(c).to_numpy() for c in ("rid", "pos", "left")))
+            b = b.filter(pc.is_valid(b.column("around")))
             n = b.num_rows
             if not n:
                 continue
@@ -244,9 +289,9 @@ def _grouped(shape: Shape, wide: int):
                         if bucket:
                             yield passed_on(bucket)
                     elif len(bucket) > 1:
-                        waiting += bucket
-                        if len(waiting) >= wide:
+                        if waiting and len(waiting) + len(bucket) > wide:
                             yield refined()
+                        waiting += bucket
                     key, bucket, overflow = h[i], [], False
                 bucket.append((rid[i], pos[i], left[i], around[i].as_py()))
                 if len(bucket) > wide:
@@ -256,6 +301,8 @@ def _grouped(shape: Shape, wide: int):
         if overflow and bucket:
             yield passed_on(bucket)
         elif len(bucket) > 1 and not overflow:
+            if waiting and len(waiting) + len(bucket) > wide:
+                yield refined()
             waiting += bucket
         if waiting:
             yield refined()
@@ -286,29 +333,41 @@ def runs(rows: DataFrame, shape: Shape, wide: int = WIDE) -> DataFrame:
 
     def anchored(batches):
         for b in batches:
-            rid, at, h = [], [], []
+            rid, at, h = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for r, t in zip(b.column("rid").to_numpy(), b.column("t").to_pylist(), strict=True):
                 a, x = anchors(t, shape)
                 rid.append(np.full(len(a), r))
                 at.append(a)
                 h.append(x)
-            if rid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(rid)), pa.array(np.concatenate(at).astype(np.int32))], ["h", "rid", "pos"])
+            yield pa.RecordBatch.from_arrays(_spread(np.concatenate(h), np.concatenate(rid), np.concatenate(at)), ["known", "h", "rid", "pos"])
 
-    every = rows.mapInArrow(anchored, "h long, rid long, pos int").repartition("h").sortWithinPartitions("h")
+    every = rows.mapInArrow(anchored, "known boolean, h long, rid long, pos int")
+    every = every.repartition(F.when(F.col("known"), F.xxhash64("rid", "pos")).otherwise(F.col("h"))).sortWithinPartitions("h")
     live = stored(every.mapInArrow(_live, "h long, rid long, pos int"), "anchors")
     lists = live.groupBy("rid").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
 
     def surrounded(batches):
+        """What surrounds each anchor. Within a batch only the first of equal surroundings goes on; of the
+        others it is known already that they start earlier as well: they go as (start, end), around null."""
         for b in batches:
-            out = [[], [], [], [], []]
-            for r, t, at in zip(b.column("rid").to_pylist(), b.column("t").to_pylist(), b.column("at").to_pylist(), strict=True):
-                for a in at:
-                    p = a["pos"]
+            out, seen = [[], [], [], [], []], {}
+            order = np.argsort(b.column("rid").to_numpy(), kind="stable").tolist()
+            rid, text, at = (b.column(c).to_pylist() for c in ("rid", "t", "at"))
+            for k in order:
+                r, t = rid[k], text[k]
+                for p, h in sorted((a["pos"], a["h"]) for a in at[k]):
                     low = max(0, p - shape.reach)
-                    for c, v in zip(out, (a["h"], r, p, p - low, t[low : p + shape.length]), strict=True):
+                    x = t[low : p + shape.length]
+                    first = seen.setdefault((p - low, x), (r, p, k))
+                    if first == (r, p, k):
+                        row = (h, r, p, p - low, x)
+                    elif first[:2] != (r, p) and len(x) >= shape.length:
+                        row = ((h ^ (r * 1_000_003 + p) * _BASE) & ((1 << 63) - 1), r, low, low + len(x), None)
+                    else:
+                        continue
+                    for c, v in zip(out, row, strict=True):
                         c.append(v)
-                if len(out[0]) > 50_000:
+                if len(out[0]) > 20_000:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["h", "rid", "pos", "left", "around"])
                     out = [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["h", "rid", "pos", "left", "around"])
@@ -389,7 +448,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         source = docs.withColumn("__own", F.xxhash64(text))
         source = source.join(right, source[id_col].eqNullSafe(right["__id"]) & (source["__own"] == right["__digest"])).drop("__own", "__id", "__digest")
     firsts = numbered.where(F.col("n") >= length).groupBy("md5", "n").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last")
-    copies = numbered.join(firsts, ["md5", "n"]).where("rid > first").select(F.col("rid").alias("__copy")).distinct()
+    firsts = stored(firsts, "first-copies")
+    copies = numbered.join(broadcast_if(firsts, firsts.count(), BROADCAST_FIRSTS), ["md5", "n"]).where("rid > first").select(F.col("rid").alias("__copy")).distinct()
     copies = stored(copies, "copies")
     copies = broadcast_if(copies, copies.count(), BROADCAST_COPIES)
     body = source.select(F.col("__rid").alias("rid"), text.cast("binary").alias("t")).where(F.length("t") >= length)

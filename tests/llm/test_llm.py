@@ -251,8 +251,9 @@ def test_substrings_repeated_and_null_ids(spark):
     docs = table(spark, [a, a, a + b, b, b, ""], ids=[1, 1, 1, None, 5, None])
     got = Counter((str(r.doc_id), r.text, r.n_removed) for r in substrings.remove_repeats(docs).collect())
     x, y = len(a), len(b)
-    assert got[("1", a, 0)] + got[("1", a, x)] == 2 and got[("5", b, y)] == 1 and got[("None", b, y)] == 1
-    assert got[("1", a + b, x)] + got[("1", a + b, 0)] == 1
+    assert got[("5", b, y)] == 1 and got[("None", b, y)] == 1
+    first_is_a = got[("1", a, 0)] == 2 and got[("1", a + b, x)] == 1  # one id, two texts: either may come first
+    assert first_is_a or got[("1", a, x)] == 2 and got[("1", a + b, 0)] == 1
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
