@@ -66,7 +66,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def _within(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Spanning links of the components of one bucket."""
-    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= distance
+    near = np.empty((len(values), len(values)), bool)
+    for k in range(0, len(values), 256):  # a strip at a time: only the verdicts of all pairs are held
+        near[k : k + 256] = np.bitwise_count(values[k : k + 256, None] ^ values[None, :]) <= distance
     left, out = np.ones(len(values), bool), []
     for i in range(len(values)):
         if not left[i]:
