@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -35,8 +36,26 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+_FOLDERS: set[str] = set()
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    """Delete a session's tables when the program ends; results read them until then. Best effort: a
+    driver that is killed leaves its folder, which is named after its application."""
+    with contextlib.suppress(Exception):
+        if folder.startswith(("/", "file:")):
+            shutil.rmtree("/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        else:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/orrery/{label}-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/orrery-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_clear, spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
