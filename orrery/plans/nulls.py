@@ -7,8 +7,10 @@ a replicate column and returns it with the resampled values in place.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -166,10 +168,6 @@ def rewire(edges: DataFrame, keys: Sequence[str], replicate: int) -> DataFrame:
 
 def random_basis(dim: int, name: str, replicate: int):
     """An orthogonal matrix with positive diagonal of R, from a generator seeded by name and replicate."""
-    import zlib
-
-    import numpy as np
-
     rng = np.random.default_rng(zlib.crc32(f"{name}|{replicate}".encode()))
     q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
