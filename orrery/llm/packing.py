@@ -73,6 +73,9 @@ class WordTokens:
         self.words: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {"\n": GAP}
 
+    def forget(self) -> None:
+        self.words, self.known = {}, {"\n": GAP}
+
     def _one(self, word: str) -> bytes:
         if self.whole is None:  # most texts never need it
             from tokenizers import Tokenizer
@@ -121,7 +124,8 @@ class WordTokens:
         return [b"".join(map(get, ws)) for ws in lists]
 
 
-#: The tokenizer of this Python worker, kept with its caches from task to task.
+#: The tokenizer of this Python worker, kept from task to task; its caches are not, so that a worker that
+#: goes on to other work is small again.
 _TOKENS: dict[str, WordTokens] = {}
 
 
@@ -249,6 +253,7 @@ def pack(
                     windows.add(doc, ids + last)
                 if len(rows) >= 4096:
                     yield out()
+        encode.forget()
         rows += windows.leftovers()
         if rows:
             yield out()
