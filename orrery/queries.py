@@ -783,8 +783,8 @@ def geodesic_distortion(spark, sf):
 
 @query()
 def rips_persistence(spark, sf):
-    """First homology around each point of the first layer, a slice per label."""
-    return geometry.local_persistence(T.points(spark, sf).where("layer = 0"), ["label"], 10).select("label", "id", *r6("total"))
+    """First homology around each point, a slice per label and layer."""
+    return geometry.local_persistence(T.points(spark, sf), ["label", "layer"], 10).select("label", "layer", "id", *r6("total"))
 
 
 @query()
@@ -801,8 +801,8 @@ def graph_communities(spark, sf):
 @query()
 def path_torsion(spark, sf):
     p, e = _label_edges(spark, sf)
-    t = geometry.path_torsion(p.where("layer = 0"), e.where("layer = 0"), ["label", "layer"])
-    return t.select("label", "u", "v", *r6(*t.columns[4:]))
+    t = geometry.path_torsion(p, e, ["label", "layer"])
+    return t.select("label", "layer", "u", "v", *r6(*t.columns[4:]))
 
 
 @query()
