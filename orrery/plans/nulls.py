@@ -7,14 +7,16 @@ a replicate column and returns it with the resampled values in place.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import expressions as X
 from ..functions import random as R
 from ..functions.stats import degree_bins
 from ..operators import models
@@ -166,6 +168,13 @@ def rewire(edges: DataFrame, keys: Sequence[str], replicate: int) -> DataFrame:
     return models.rewired(edges, keys, replicate=replicate)
 
 
+def axis(vec: str, node: str, name: str, replicate: str) -> Column:
+    """A random direction for each node and replicate, with as many dimensions as vec: normal values from MD5."""
+    u = lambda i, part: R.uniform(node, replicate, i, salt=f"{name}:{part}")
+    normal = lambda i: F.sqrt(-2 * F.ln(1 - u(i, "r"))) * F.cos(2 * math.pi * u(i, "a"))
+    return X.unit(F.transform(vec, lambda x, i: normal(i)))
+
+
 def random_basis(dim: int, name: str, replicate: int):
     """An orthogonal matrix with positive diagonal of R, from a generator seeded by name and replicate."""
     rng = np.random.default_rng(zlib.crc32(f"{name}|{replicate}".encode()))

@@ -5,13 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import expressions as X
 from ..functions import random as R
-from ..functions.stats import rank_bins
+from ..functions.stats import degree_bins, rank_bins
 from ..operators import alignment, geometry, graph, models, topology, vectors
 from . import audit, nulls
 
@@ -186,14 +188,19 @@ class Slices:
     k: int = 8
 
 
-def _ends(s: Slices, nodes: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Mean and absolute difference of node columns over each edge's ends."""
-    rows = graph.with_ends(s.edges, nodes, columns, s.keys)
+def _met(rows: DataFrame, nodes: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Rows with mean and absolute difference of node columns over the ends."""
+    rows = graph.with_ends(rows, nodes, columns, keys)
     made = {}
     for c in columns:
         made[f"{c}_mean"] = (F.col(f"{c}_u") + F.col(f"{c}_v")) / 2
         made[f"{c}_gap"] = F.abs(F.col(f"{c}_u") - F.col(f"{c}_v"))
-    return rows.withColumns(made).na.fill(0.0, list(made)).select(*s.keys, "u", "v", "y", *made), list(made)
+    return rows.withColumns(made).na.fill(0.0, list(made))
+
+
+def _ends(s: Slices, nodes: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    made = [f"{c}_{how}" for c in columns for how in ("mean", "gap")]
+    return _met(s.edges, nodes, columns, s.keys).select(*s.keys, "u", "v", "y", *made), made
 
 
 def _near(s: Slices) -> DataFrame:
@@ -208,15 +215,29 @@ def manifold(s: Slices):
     return _on_edges(s, geometry.edge_geometry(s.points, s.edges, s.keys, s.support, s.k), ["detour", "deficit", "diffusion", "defect_median", "defect_tail"])
 
 
+def sections(s: Slices):
+    """Shape of the neighbourhoods at the ends and how the edge lies to their first axes."""
+    return _on_edges(s, geometry.sectional_features(s.points, s.edges, s.keys, s.support), [c.split()[0] for c in geometry.SECTION])
+
+
+def _graph_nodes(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return graph.local_clustering(edges, keys).withColumn("degree", F.col("degree").cast("double"))
+
+
+#: (nodes, columns) of the families whose features are node values met at an edge's ends.
+NODES: dict[str, Callable[[Slices], tuple[DataFrame, list[str]]]] = {
+    "graph_topology": lambda s: (_graph_nodes(vectors.knn_edges(_near(s), s.keys), s.keys), ["degree", "clustering"]),
+    "intrinsic_dimensionality": lambda s: (vectors.local_dimension(_near(s), s.keys).withColumnRenamed("id", "node"), ["two_nn", "mle"]),
+    "persistent_homology": lambda s: (geometry.local_persistence(s.points, s.keys, max(s.k, 8)).withColumnRenamed("id", "node"), ["total"]),
+}
+
+
 def graph_shape(s: Slices):
-    e = vectors.knn_edges(_near(s), s.keys)
-    nodes = graph.local_clustering(e, s.keys).withColumn("degree", F.col("degree").cast("double"))
-    return _ends(s, nodes, ["degree", "clustering"])
+    return _ends(s, *NODES["graph_topology"](s))
 
 
 def dimension(s: Slices):
-    nodes = vectors.local_dimension(_near(s), s.keys).withColumnRenamed("id", "node")
-    return _ends(s, nodes, ["two_nn", "mle"])
+    return _ends(s, *NODES["intrinsic_dimensionality"](s))
 
 
 def filtration(s: Slices):
@@ -228,14 +249,20 @@ def filtration(s: Slices):
 
 
 def homology(s: Slices):
-    nodes = geometry.local_persistence(s.points, s.keys, max(s.k, 8)).withColumnRenamed("id", "node")
-    return _ends(s, nodes, ["total"])
+    return _ends(s, *NODES["persistent_homology"](s))
+
+
+def _communities(s: Slices) -> DataFrame:
+    return geometry.communities(s.points, s.keys, s.k).select(*s.keys, F.col("id").alias("node"), "community")
+
+
+def _same(edges: DataFrame, communities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rows = graph.with_ends(edges, communities, ["community"], keys)
+    return rows.withColumn("same", (F.col("community_u") == F.col("community_v")).cast("double"))
 
 
 def modules(s: Slices):
-    c = geometry.communities(s.points, s.keys, s.k).select(*s.keys, F.col("id").alias("node"), "community")
-    rows = graph.with_ends(s.edges, c, ["community"], s.keys)
-    rows = rows.withColumn("same", (F.col("community_u") == F.col("community_v")).cast("double"))
+    rows = _same(s.edges, _communities(s), s.keys)
     names = ["same"]
     if s.support is not None:
         there = s.support.select(*s.keys, F.col("source").alias("u"), F.col("target").alias("v"), F.col("support").alias("there"))
@@ -246,18 +273,34 @@ def modules(s: Slices):
     return rows.select(*s.keys, "u", "v", "y", *names), names
 
 
+def _other(s: Slices) -> DataFrame:
+    return s.other if s.other is not None else s.points
+
+
+def _fitted(points: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, vec_id, vec): points mapped to the other space by the orthogonal map that fits best."""
+    m = alignment.procrustes_map(alignment.paired(points, other, keys), keys)
+    m = m.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "i", "value"))), lambda e: e["value"]).alias("m"), (F.max("j") + 1).alias("d"))
+    return _mapped(points.join(F.broadcast(m), list(keys)), keys)  # d * d numbers a slice
+
+
+def _mapped(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """vec through the map m of d columns, one after the other."""
+    column = lambda j: X.total(F.zip_with("vec", F.slice("m", j * F.col("d") + 1, F.col("d")), lambda x, e: x * e))
+    return points.select(*keys, "vec_id", F.transform(F.sequence(F.lit(0), F.col("d") - 1), column).alias("vec"))
+
+
+def _across(s: Slices, edges: DataFrame, turned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges with the cosines of one end, mapped, with the other end in the second space, both ways."""
+    other = _other(s)
+    a = edges.join(turned.select(*keys, F.col("vec_id").alias("u"), F.col("vec").alias("mu")), [*keys, "u"]).join(turned.select(*keys, F.col("vec_id").alias("v"), F.col("vec").alias("mv")), [*keys, "v"])
+    a = a.join(other.select(*s.keys, F.col("vec_id").alias("u"), F.col("vec").alias("ou")), [*s.keys, "u"]).join(other.select(*s.keys, F.col("vec_id").alias("v"), F.col("vec").alias("ov")), [*s.keys, "v"])
+    return a.withColumn("there", X.cosine("mu", "ov")).withColumn("back", X.cosine("mv", "ou"))
+
+
 def transfer(s: Slices):
     """Cosine of one end in the first space, mapped to the second, with the other end there, both ways."""
-    other = s.other if s.other is not None else s.points
-    pairs = alignment.paired(s.points, other, s.keys)
-    m = alignment.procrustes_map(pairs, s.keys)
-    m = m.groupBy(*s.keys).agg(F.array_sort(F.collect_list(F.struct("j", "i", "value"))).alias("m"), (F.max("j") + 1).alias("d"))
-    turned = s.points.join(F.broadcast(m), list(s.keys))  # d * d numbers a slice
-    column = lambda j: X.total(F.zip_with("vec", F.slice("m", j * F.col("d") + 1, F.col("d")), lambda x, e: x * e["value"]))
-    turned = turned.select(*s.keys, "vec_id", F.transform(F.sequence(F.lit(0), F.col("d") - 1), column).alias("vec"))
-    a = s.edges.join(turned.select(*s.keys, F.col("vec_id").alias("u"), F.col("vec").alias("mu")), [*s.keys, "u"]).join(turned.select(*s.keys, F.col("vec_id").alias("v"), F.col("vec").alias("mv")), [*s.keys, "v"])
-    a = a.join(other.select(*s.keys, F.col("vec_id").alias("u"), F.col("vec").alias("ou")), [*s.keys, "u"]).join(other.select(*s.keys, F.col("vec_id").alias("v"), F.col("vec").alias("ov")), [*s.keys, "v"])
-    rows = a.withColumn("there", X.cosine("mu", "ov")).withColumn("back", X.cosine("mv", "ou"))
+    rows = _across(s, s.edges, _fitted(s.points, _other(s), s.keys), s.keys)
     return rows.select(*s.keys, "u", "v", "y", "there", "back"), ["there", "back"]
 
 
@@ -268,38 +311,167 @@ FEATURES: dict[str, Callable[[Slices], tuple[DataFrame, list[str]]]] = {
 }
 
 
-def resampled(df: DataFrame, kind: str, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """df, fanned out by perm_idx, with features (or labels) resampled as the null family says."""
+#: Screens whose features are not those of their family.
+OWN_FEATURES: dict[str, Callable[[Slices], tuple[DataFrame, list[str]]]] = {"H136": sections, "H139": sections, "H142": sections}
+#: Strata in which the reference permutes labels, where they are not distance bins.
+LABEL_STRATA = {"H61": ["degree_bin"], "H62": [], "H63": ["degree_bin"], "H118": ["bin", "degree_bin"], "H136": ["bin", "degree_bin"]}
+
+
+def features_of(screen: Screen) -> Callable[[Slices], tuple[DataFrame, list[str]]]:
+    return OWN_FEATURES.get(screen.name, FEATURES[screen.family])
+
+
+def strata(screen: Screen, kind: str) -> list[str]:
+    """The bins that a null family names: of the edge's distance, of its ends' degrees, both, or the source."""
+    if kind.startswith("label_permutation"):
+        return LABEL_STRATA.get(screen.name, ["bin"])
+    if "edge_strata" in kind or kind.endswith("within_strata"):
+        return ["bin", "degree_bin"]
+    if "tf_identity" in kind or "tf_bin" in kind:
+        return ["u"]
+    out = ["bin"] if any(w in kind for w in ("distance", "geodesic", "length")) and kind != "distance_permutation" else []
+    if "tf_degree" in kind:
+        out.append("source_bin")
+    elif "degree" in kind and kind != "degree_orientation_null":
+        out.append("degree_bin")
+    return out or (["bin"] if nulls.MECHANISM.get(kind) in ("stratified", "swap") else [])
+
+
+def _ends_swapped(screen: Screen, df: DataFrame) -> DataFrame:
+    """Features as they are with u and v exchanged; those not named here are the same both ways."""
+    if screen.name in OWN_FEATURES:
+        return geometry.swapped_sections(df)
+    if screen.family == "cross_model_alignment":
+        return df.withColumns({"there": F.col("back"), "back": F.col("there")})
+    return df.withColumn("margin", -F.col("margin")) if "margin" in df.columns else df
+
+
+def _random_maps(s: Slices, kind: str, replicates: int) -> DataFrame:
+    """(perm_idx, m, d): a random orthogonal map a replicate; d * d numbers each."""
+    d = s.points.select(F.size("vec")).first()
+    d = d[0] if d else 0
+    rows = [(r, [float(x) for x in nulls.random_basis(d, kind, r).T.ravel()], d) for r in range(replicates)]
+    return s.points.sparkSession.createDataFrame(rows, "perm_idx int, m array<double>, d int")
+
+
+def _random_axes(s: Slices, rows: DataFrame, kind: str, replicates: int) -> DataFrame:
+    """Sectional features with a random direction for the first axis of each node's neighbourhood."""
+    by = [*s.keys, "perm_idx"]
+    axes = R.replicates(s.points, replicates).select(*by, "vec_id", nulls.axis("vec", "vec_id", kind, "perm_idx").alias("axis"))
+    ways = vectors.edge_vectors(s.edges.select(*s.keys, "u", "v"), s.points, s.keys).select(*s.keys, "u", "v", X.unit(F.zip_with("y", "x", lambda a, b: a - b)).alias("way"))
+    e = rows.join(ways, [*s.keys, "u", "v"])
+    for end in ("u", "v"):
+        e = e.join(axes.select(*by, F.col("vec_id").alias(end), F.col("axis").alias(f"axis_{end}")), [*by, end])
+    e = e.withColumn("align_u", F.abs(X.dot("way", "axis_u"))).withColumn("align_v", F.abs(X.dot("way", "axis_v")))
+    return e.withColumn("align_mean", (F.col("align_u") + F.col("align_v")) / 2).withColumn("align_gap", F.col("align_u") - F.col("align_v"))
+
+
+def _layers_exchanged(nodes: DataFrame, columns: Sequence[str], kind: str, keys: Sequence[str]) -> DataFrame:
+    """For half of the nodes the values of successive layers (first and second, third and fourth) change
+    places; a last layer without a partner stays."""
+    if "layer" not in keys:
+        raise ValueError(f"{kind} needs slices by layer")
+    rest = [k for k in keys if k != "layer"]
+    layers = nodes.select(*keys).distinct()
+    place = F.row_number().over(Window.partitionBy(*rest).orderBy("layer")) - 1
+    out = nodes.join(F.broadcast(layers.withColumn("__pair", F.floor(place / 2))), list(keys))  # a row a slice
+    for c in columns:
+        out = nulls.exchange(out, c, "node", "layer", kind, "perm_idx", [*rest, "__pair"])
+    return out.drop("__pair")
+
+
+def remade(screen: Screen, s: Slices, rows: DataFrame, kind: str, names: Sequence[str], replicates: int) -> DataFrame | None:
+    """rows, fanned out by perm_idx, with features made anew after points, layers, nodes or ends moved; None
+    for a null family that moves rows of features or labels. Raises for one that has no implementation."""
+    how = nulls.MECHANISM.get(kind, "permutation")
+    keys, by = list(s.keys), [*s.keys, "perm_idx"]
+    bare = rows.drop(*names)
+    if screen.family == "cross_model_alignment" and (how in ("basis", "dimensions") or kind in ("anchor_label_shuffle", "signature_destroy_permutation")):
+        if how == "basis":
+            turned = _mapped(s.points.crossJoin(F.broadcast(_random_maps(s, kind, replicates))), by)
+        elif kind == "anchor_label_shuffle":
+            many = R.replicates(_other(s).select(*keys, "vec_id", "vec"), replicates)
+            turned = _fitted(R.replicates(s.points, replicates), nulls.permutation(many, ["vec"], "vec_id", kind, "perm_idx", keys), by)
+        else:
+            turned = R.replicates(_fitted(s.points, _other(s), keys), replicates)
+            turned = nulls.dimensions(turned, "vec", kind, "perm_idx") if how == "dimensions" else nulls.permutation(turned, ["vec"], "vec_id", kind, "perm_idx", keys)
+        return _across(s, bare, turned, by)
+    if screen.name in OWN_FEATURES and kind == "tangent_basis_random_rotation":
+        return _random_axes(s, rows, kind, replicates)
+    if screen.family == "module_structure" and kind == "community_size_preserving_label_shuffle":
+        moved = nulls.permutation(R.replicates(_communities(s), replicates), ["community"], "node", kind, "perm_idx", keys)
+        return _same(rows.drop("same"), moved, by)
+    if screen.family in NODES:
+        nodes, columns = NODES[screen.family](s)
+        many = R.replicates(nodes.select(*keys, "node", *columns), replicates)
+        if how == "exchange":
+            return _met(bare, _layers_exchanged(many, columns, kind, keys), columns, by)
+        if how == "relabel" or screen.family == "graph_topology" and kind.endswith("shuffle_within_degree_bins"):
+            degree = graph.degrees(vectors.knn_edges(_near(s), keys), keys).select(*keys, "node", F.col("degree").alias("__degree"))
+            binned = many.join(degree.withColumn("__bin", degree_bins("__degree", 6, keys)), [*keys, "node"])
+            return _met(bare, nulls.permutation(binned, columns, "node", kind, "perm_idx", keys, ["__bin"]), columns, by)
+        if kind.startswith("endpoint_swap") or how == "swap":
+            aimed = nulls.permutation(bare.withColumn("__v", F.col("v")), ["v"], "edge", kind, "perm_idx", keys, strata(screen, kind))
+            return _met(aimed, many, columns, by).drop("v").withColumnRenamed("__v", "v")
+        if kind == "degree_preserving_edge_swap" and screen.family == "graph_topology":
+            e = vectors.knn_edges(_near(s), keys)
+            parts = [nulls.rewire(e, keys, r).withColumn("perm_idx", F.lit(r)) for r in range(replicates)]
+            return _met(bare, _graph_nodes(reduce(DataFrame.unionByName, parts), by), columns, by)
+    if how not in ("permutation", "stratified", "sign", "draw", "columns", "swap"):
+        raise NotImplementedError(f"{screen.name}: the null family {kind} ({how}) has no implementation for {screen.family}")
+    return None
+
+
+def resampled(screen: Screen, df: DataFrame, kind: str, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """df, fanned out by perm_idx, with rows of features (or labels) resampled as the null family says."""
     how = nulls.MECHANISM.get(kind, "permutation")
-    values = ["y"] if kind.startswith("label_permutation") else list(features)
-    if how == "stratified":
-        return nulls.permutation(df, values, "edge", kind, "perm_idx", keys, ["bin"])
+    values = list(features)
+    if kind.startswith(("label_permutation", "label_shuffle")) or kind.endswith("conditioned_label_permutation"):
+        values = ["y"]
+    elif screen.family == "module_structure" and "sign_shuffle" in kind and "margin" in features:
+        values = ["margin", "strength"]
+    within = strata(screen, kind)
     if how == "sign":
         return nulls.sign(df, values, "edge", kind, "perm_idx")
     if how == "draw":
-        return nulls.draw(df, values, "edge", kind, "perm_idx", keys)
+        return nulls.draw(df, values, "edge", kind, "perm_idx", keys, within)
     if how == "columns":
         return nulls.columns(df, values, "edge", kind, "perm_idx", keys)
-    if how == "swap" and len(features) > 1:
-        return nulls.swap(df, [(features[0], features[1])], "edge", kind, "perm_idx")
-    return nulls.permutation(df, values, "edge", kind, "perm_idx", keys)
+    if how == "swap" or kind.startswith("endpoint_swap"):
+        df = _ends_swapped(screen, df)
+    elif how not in ("permutation", "stratified"):
+        raise NotImplementedError(f"{kind} ({how}) does not move rows")
+    return nulls.permutation(df, values, "edge", kind, "perm_idx", keys, within)
+
+
+def _binned(s: Slices, rows: DataFrame) -> DataFrame:
+    """rows with bins of the distance, of the ends' degrees together and of the source's degree."""
+    keys = list(s.keys)
+    nodes = graph.degrees(vectors.knn_edges(_near(s), keys), keys)
+    rows = graph.with_ends(rows, nodes.withColumnRenamed("degree", "__d"), ["__d"], keys).na.fill(0, ["__d_u", "__d_v"]).withColumn("__d", F.col("__d_u") + F.col("__d_v"))
+    rows = rows.withColumn("bin", rank_bins("base", 4, keys)).withColumn("degree_bin", degree_bins("__d", 6, keys)).withColumn("source_bin", degree_bins("__d_u", 6, keys))
+    return rows.drop("__d", "__d_u", "__d_v")
 
 
 def run(screen: Screen | str, slices: Slices, replicates: int = 4, folds: int = 3, l1: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """(results, nulls) of a screen: cross-validated AUC of distance and features against distance alone, and
-    the same under each null family. Features are made once and cached before the fan-out."""
+    the same under each null family. Features are made once and cached before the fan-out; null families that
+    move points, layers or nodes make them again from what was moved."""
     screen = SCREENS[screen] if isinstance(screen, str) else screen
     keys = list(slices.keys)
-    rows, names = FEATURES[screen.family](slices)
+    rows, names = features_of(screen)(slices)
     far = vectors.edge_vectors(slices.edges.select(*keys, "u", "v"), slices.points, keys).select(*keys, "u", "v", (-X.distance("x", "y")).alias("base"))
     rows = rows.select(*keys, "u", "v", "y", *names).join(far, [*keys, "u", "v"])
     rows = rows.withColumn("edge", F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string")))
-    rows = R.folds(rows, folds, "edge", "y", "fold", keys).withColumn("bin", rank_bins("base", 4, keys)).select(*keys, "edge", "y", "fold", "bin", "base", *names).persist()
+    rows = _binned(slices, R.folds(rows, folds, "edge", "y", "fold", keys))
+    rows = rows.select(*keys, "u", "v", "edge", "y", "fold", "bin", "degree_bin", "source_bin", "base", *names).persist()
     seen = models.cv_logistic(rows, ["base", *names], "y", keys, "base", l1)
     many = R.replicates(rows, replicates)
     out = None
     for kind in screen.null_kinds or ("feature_shuffle",):
-        fits = models.cv_logistic(resampled(many, kind, names, keys), ["base", *names], "y", [*keys, "perm_idx"], "base", l1)
+        moved = remade(screen, slices, many, kind, names, replicates)
+        moved = resampled(screen, many, kind, names, keys) if moved is None else moved
+        fits = models.cv_logistic(moved, ["base", *names], "y", [*keys, "perm_idx"], "base", l1)
         fits = fits.select(*keys, F.lit(kind).alias("null_kind"), "perm_idx", F.col("delta").alias("null_value"))
         out = fits if out is None else out.unionByName(fits)
     return seen, out
