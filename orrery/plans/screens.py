@@ -165,6 +165,88 @@ H144 topology_stability layer_order_permutation label_permutation_layer11
 """
 
 
+#: Replicates a null family, from the reference's H*_NULL_PERM; 24 where it has none of that name.
+REPLICATES: dict[str, int] = {h: n for n, names in {
+    4: """
+        H88 H91
+    """,
+    6: """
+        H53 H89 H92 H93 H94 H95 H113
+    """,
+    8: """
+        H69 H87 H90 H120 H139 H142
+    """,
+    10: """
+        H118
+    """,
+    12: """
+        H64 H66 H67 H68 H72 H114 H119 H121 H123
+    """,
+    16: """
+        H52 H54 H81 H85 H103 H104 H115 H122
+    """,
+    18: """
+        H97 H98 H134
+    """,
+    20: """
+        H39 H49 H101 H105 H107 H116 H133
+    """,
+    24: """
+        H50 H56 H57 H59 H60 H61 H62 H63 H65 H71 H74 H76 H77 H78 H79 H80 H82 H83 H84 H86 H100 H106 H111 H112 H126 H128 H129 H130
+        H131 H132 H136 H138 H143
+    """,
+    32: """
+        H58 H73 H75 H102 H110 H125 H127 H135 H137
+    """,
+    36: """
+        H46 H47 H51
+    """,
+    40: """
+        H44
+    """,
+    48: """
+        H70
+    """,
+    60: """
+        H40
+    """,
+    64: """
+        H55 H99 H109 H124
+    """,
+    80: """
+        H31 H34 H43
+    """,
+    90: """
+        H48
+    """,
+    96: """
+        H108
+    """,
+    120: """
+        H32 H36 H37
+    """,
+    128: """
+        H96
+    """,
+    140: """
+        H45
+    """,
+    160: """
+        H30 H33
+    """,
+    180: """
+        H25 H26 H27 H29
+    """,
+    300: """
+        H35 H38
+    """,
+    320: """
+        H42
+    """,
+}.items() for h in names.split()}
+DEFAULT_REPLICATES = 24
+
+
 @dataclass(frozen=True)
 class Screen:
     name: str
@@ -453,11 +535,12 @@ def _binned(s: Slices, rows: DataFrame) -> DataFrame:
     return rows.drop("__d", "__d_u", "__d_v")
 
 
-def run(screen: Screen | str, slices: Slices, replicates: int = 4, folds: int = 3, l1: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def run(screen: Screen | str, slices: Slices, replicates: int | None = None, folds: int = 3, l1: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """(results, nulls) of a screen: cross-validated AUC of distance and features against distance alone, and
     the same under each null family. Features are made once and cached before the fan-out; null families that
     move points, layers or nodes make them again from what was moved."""
     screen = SCREENS[screen] if isinstance(screen, str) else screen
+    replicates = REPLICATES.get(screen.name, DEFAULT_REPLICATES) if replicates is None else replicates
     keys = list(slices.keys)
     rows, names = features_of(screen)(slices)
     far = vectors.edge_vectors(slices.edges.select(*keys, "u", "v"), slices.points, keys).select(*keys, "u", "v", (-X.distance("x", "y")).alias("base"))
@@ -477,7 +560,7 @@ def run(screen: Screen | str, slices: Slices, replicates: int = 4, folds: int =
     return seen, out
 
 
-def calibrated(screen: Screen | str, slices: Slices, replicates: int = 4) -> DataFrame:
+def calibrated(screen: Screen | str, slices: Slices, replicates: int | None = None) -> DataFrame:
     """Results with the pooled null's 95 % point and gap, and the margin to the strictest null family."""
     screen = SCREENS[screen] if isinstance(screen, str) else screen
     seen, drawn = run(screen, slices, replicates)

@@ -847,7 +847,7 @@ def cv_logit_delta(spark, sf):
     p, e = _label_edges(spark, sf)
     g = geometry.edge_geometry(p, e, ["label", "layer"]).join(e, ["label", "layer", "u", "v"]).persist()
     g = g.withColumn("bin", S.rank_bins("geodesic", 4, ["label", "layer"]))
-    seen, nulls = screen.model_screen(g, ["detour", "deficit", "diffusion"], "base_score", "bin", ["label", "layer"], 4)
+    seen, nulls = screen.model_screen(g, ["detour", "deficit", "diffusion"], "base_score", "bin", ["label", "layer"])
     out = audit.pooled_gap(seen, nulls, ["label", "layer"])
     return out.select("label", "layer", "n", "n_positive", *r6("auc_base", "auc_model", "delta", "q95_null", "null_gap"))
 

@@ -71,3 +71,23 @@ def test_families_take_the_strata_that_they_name(slices):
 def test_a_family_without_an_implementation_is_refused(slices, name, kind):
     with pytest.raises(NotImplementedError, match=kind):
         moved(slices, name, kind)
+
+
+def test_replicates_are_the_references(slices):
+    assert {h: C.REPLICATES[h] for h in ("H136", "H61", "H62", "H63", "H90", "H118", "H39")} == {"H136": 24, "H61": 24, "H62": 24, "H63": 24, "H90": 8, "H118": 10, "H39": 20}
+    _, drawn = C.run("H118", slices)
+    assert {(r.null_kind, r.n) for r in drawn.groupBy("null_kind").agg(F.count_distinct("perm_idx").alias("n")).collect()} == {(k, 10) for k in C.SCREENS["H118"].null_kinds}
+
+
+def test_the_model_screen_takes_twelve_replicates(spark, monkeypatch):
+    from orrery import queries as Q
+
+    class Taken(Exception):
+        pass
+
+    def take(edges, features, baseline, strata, keys, replicates=12, **rest):
+        raise Taken(replicates)
+
+    monkeypatch.setattr(Q.screen, "model_screen", take)
+    with pytest.raises(Taken, match="12"):
+        Q.QUERIES["cv_logit_delta"](spark, "/root/testdata/sf0.001")
