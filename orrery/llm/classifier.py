@@ -98,9 +98,10 @@ def features(text: bytes, bits: int = BITS) -> np.ndarray:
     shapes = np.unique(shapes, return_inverse=True)
     names, at = shapes
     width = np.int64(len(names))
-    two = np.unique(at[:-1] * width + at[1:])
-    three = np.unique((at[:-2] * width + at[1:-1]) * width + at[2:]) if len(names) < 1 << 20 else two[:0]
-    t = names[three // width // width] * np.uint64(5) + names[three // width % width] * np.uint64(3) + names[three % width]
+    two, pair = np.unique(at[:-1] * width + at[1:], return_inverse=True)
+    three = np.unique(pair[:-1] * width + at[2:])  # pairs are numbered: below the square of the words, whatever the width
+    first = two[three // width]
+    t = names[first // width] * np.uint64(5) + names[first % width] * np.uint64(3) + names[three % width]
     groups = (
         words,
         words[:-1] * np.uint64(3) + words[1:],
