@@ -12,10 +12,10 @@ import json
 import os
 import zlib
 from bisect import bisect_left, insort
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,10 +29,10 @@ OPEN_WINDOWS = 64
 LEAST_PIECE = 32
 #: So many partitions' leftovers are merged in one task: at most MERGED * OPEN_WINDOWS windows.
 MERGED = 16
-#: Entries of either cache, some 110 MB together. Beyond, those learnt first stay: the frequent ones.
-CACHED_WORDS, KEPT_WORDS = 300_000, 150_000
-#: Bytes of text that are tokenized at once.
-PORTION = 2 << 20
+#: Entries of either cache, some 30 MB together. Beyond, the half that is asked for most stays.
+CACHED = 400_000
+#: Bytes of text that are tokenized at once; a longer text is cut between words for it.
+PORTION = 4 << 20
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part long, win long, offset long, ids binary"
 
@@ -40,15 +40,54 @@ PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long,
 #: What is not plain: plain words are printable, up to U+017F but for U+0130, whose lower case is two
 #: characters; their normal form is their lower case. Others are left to the tokenizer one by one.
 ODD = regex.compile("[^\n!-~\u00a1-\u012f\u0131-\u017f]")
-#: Stands between the words' ids; no four bytes of ids under 2**24 hold it, aligned or not.
-GAP = b"\xff\xff\xff\xff"
+SPACE = regex.compile(rb"[ \t-\r]")
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool numbered `which`, one after the other, and the end of each."""
+    size = sizes[which]
+    ends = np.cumsum(size)
+    places = np.repeat(starts[which] - ends + size, size)
+    places += np.arange(len(places))
+    return pool[places], ends
+
+
+class _Known:
+    """A bounded table of strings and their ids, in Arrow and numpy."""
+
+    def __init__(self, learn, most: int):
+        self.learn, self.most = learn, most
+        self.names = pa.array([], pa.large_binary())
+        self.pool, self.starts, self.sizes, self.hits = np.empty(0, "<u4"), *(np.empty(0, np.int64) for _ in range(3))
+
+    def __call__(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and each name's run of them: (pool, starts, sizes). Names are distinct."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        self.hits[at[~new]] += 1
+        if new.any():
+            fresh = names.filter(pa.array(new))
+            pool, sizes = self.learn(fresh)
+            at[new] = len(self.names) + np.arange(len(fresh))
+            self.names = pa.concat_arrays([self.names, fresh])
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.pool = np.concatenate([self.pool, pool])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.hits = np.concatenate([self.hits, np.ones(len(fresh), np.int64)])
+        out = self.pool, self.starts[at], self.sizes[at]
+        if len(self.names) > self.most:
+            stay = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
+            self.pool, ends = _gathered(self.pool, self.starts, self.sizes, stay)
+            self.names, self.sizes, self.hits = self.names.take(pa.array(stay)), self.sizes[stay], self.hits[stay] // 2
+            self.starts = ends - self.sizes
+        return out
 
 
 class WordTokens:
-    """Ids of texts as little-endian 32-bit bytes, put together from words, and words from the
-    pieces that the tokenizer's own splitting pattern gives. Exact for tokenizers that lower-case,
-    drop white space, split by a pattern and mark a piece's last token with a suffix: no token of
-    theirs spans two pieces. Two caches of bounded size hold what was seen."""
+    """Ids of texts, put together from words, and words from the pieces that the tokenizer's own
+    splitting pattern gives. Exact for tokenizers that lower-case, drop white space, split by a
+    pattern and mark a piece's last token with a suffix: no token of theirs spans two pieces. Words
+    and pieces are told apart and looked up by Arrow; Python sees a portion's unknown words only."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -59,7 +98,7 @@ class WordTokens:
             told = json.load(f)
         split = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         suffix = told["model"]["end_of_word_suffix"]
-        self.pieces = regex.compile(f"\\n|{split}")
+        self.split = regex.compile(f"\\n|{split}")
         self.special = [t["content"].encode() for t in told["added_tokens"]]
         vocabulary = told["model"]["vocab"]
         self.last = np.zeros(max([*vocabulary.values(), *(t["id"] for t in told["added_tokens"])]) + 1, bool)
@@ -70,62 +109,72 @@ class WordTokens:
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.words: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {"\n": GAP}
+        self.words, self.pieces = _Known(self._learn_words, CACHED), _Known(self._learn_pieces, CACHED)
 
-    def forget(self) -> None:
-        self.words, self.known = {}, {"\n": GAP}
-
-    def _one(self, word: str) -> bytes:
+    def _one(self, word: str) -> list[int]:
         if self.whole is None:  # most texts never need it
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.path)
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.whole.encode(word, add_special_tokens=False).ids
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self._one(w) for w in words]
+        return np.array([i for x in ids for i in x], "<u4"), np.array([len(x) for x in ids], np.int64)
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _learn_pieces(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces, out = [p.decode() for p in names.to_pylist()], []
         for k in range(0, len(pieces), 20_000):
             part = pieces[k : k + 20_000]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):  # a piece that the tokenizer cuts in another way
-                self.known.update((p, self._one(p)) for p in part)
-                continue
-            raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1])) * 4
-            self.known.update((p, raw[s:e]) for p, s, e in zip(part, starts.tolist(), (ends * 4).tolist(), strict=True))
+            # unequal where the tokenizer cuts a piece in another way
+            out.append((ids, np.diff(ends, prepend=0)) if len(ends) == len(part) else self._singly(part))
+        return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn_words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = names.to_pylist()
         joined = b"\n".join(words)
         text = joined.decode("utf-8", "replace")
+        odd, lines = np.zeros(len(words), bool), None
         if ODD.search(text) or any(x in joined for x in self.special):
-            plain = []
-            for w in words:
-                one = w.decode("utf-8", "replace")
-                if ODD.search(one) or any(x in w for x in self.special):
-                    self.words[w] = self._one(one)
-                else:
-                    plain.append(w)
-            words, text = plain, b"\n".join(plain).decode()
-        if not words:
-            return
-        found = self.pieces.findall(text.lower())
-        self._learn_pieces(list(set(found).difference(self.known)))
-        ids = b"".join(map(self.known.__getitem__, found)).split(GAP)
-        self.words.update(zip(words, ids, strict=True))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        lists = [t.split() for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words = dict(islice(self.words.items(), KEPT_WORDS))
-        if len(self.known) > CACHED_WORDS:
-            self.known = dict(islice(self.known.items(), KEPT_WORDS))
-        self._learn(list(set().union(*lists).difference(self.words)))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in lists]
-
-
-#: The tokenizer of this Python worker, kept from task to task; its caches are not, so that a worker that
-#: goes on to other work is small again.
+            lines = text.split("\n")
+            odd[:] = [bool(ODD.search(t)) or any(x in w for x in self.special) for t, w in zip(lines, words, strict=True)]
+            text = "\n".join(t for t, o in zip(lines, odd.tolist(), strict=True) if not o)
+        coded = pa.array(self.split.findall(text.lower()), pa.large_string()).dictionary_encode()
+        piece, names = coded.indices.to_numpy(), coded.dictionary
+        end = pc.index(names, "\n").as_py()
+        ends = piece == end
+        word, piece = np.cumsum(ends)[~ends], piece[~ends].astype(np.int64)
+        if end >= 0:
+            names = names.filter(pc.not_equal(names, "\n"))
+            piece -= piece > end
+        pool, starts, sizes = self.pieces(names.cast(pa.large_binary()))
+        ids, _ = _gathered(pool, starts, sizes, piece)
+        plain = np.bincount(word, weights=sizes[piece], minlength=1).astype(np.int64)
+        if lines is None:
+            return ids, np.concatenate([plain, np.zeros(len(words) - len(plain), np.int64)])
+        more, counts = self._singly([t for t, o in zip(lines, odd.tolist(), strict=True) if o])
+        out = np.zeros(len(words), np.int64)
+        plain_at = np.flatnonzero(~odd)
+        out[plain_at[: len(plain)]] = plain[: len(plain_at)]
+        out[odd] = counts
+        whose = np.repeat(odd, out)
+        both = np.empty(len(whose), "<u4")
+        both[~whose], both[whose] = ids, more
+        return both, out
+
+    def __call__(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The ids of an array of texts (binary, no nulls), one after the other as little-endian
+        32-bit bytes, and the numbers of ids before each text and at the end."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_binary()).view(pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        ids, ends = _gathered(*self.words(words.dictionary.view(pa.large_binary())), words.indices.to_numpy())
+        offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+        return ids.tobytes(), np.concatenate(([0], ends))[offsets]
+
+
+#: The tokenizer of this Python worker, kept from task to task with its bounded caches.
 _TOKENS: dict[str, WordTokens] = {}
 
 
@@ -135,14 +184,31 @@ def tokens_of(path: str) -> WordTokens:
     return _TOKENS[path]
 
 
-def _portions(ids: list, texts: list[bytes | None], size: int):
-    """Documents in portions of about `size` bytes of text."""
-    at = have = 0
-    for k, t in enumerate(texts):
-        have += len(t or b"")
-        if have >= size or k == len(texts) - 1:
-            yield ids[at : k + 1], [x or b"" for x in texts[at : k + 1]]
-            at, have = k + 1, 0
+def _cut(text: bytes, size: int):
+    """A text in parts of about `size` bytes, cut between words; a word is never cut."""
+    at = 0
+    while len(text) - at > size:
+        space = SPACE.search(text, at + size)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _portions(ids: list, texts: pa.Array, size: int):
+    """Documents and their texts' ids, tokenized in portions of about `size` bytes: (doc, part, last),
+    where last tells whether the text ends with this part."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    at = 0
+    while at < len(ids):
+        if lengths[at] > size:
+            parts = list(_cut(texts[at].as_py(), size))
+            yield from (([ids[at]], pa.array([p], pa.large_binary()), p is parts[-1]) for p in parts)
+            at += 1
+            continue
+        end = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size, "right")))
+        yield ids[at:end], pc.fill_null(texts.slice(at, end - at), b""), True
+        at = end
 
 
 class _Windows:
@@ -227,7 +293,8 @@ def pack(
     A document's tokens are its text's ids and then `end`; a null or empty text is `end` alone.
     Each row of docs is a document of its own, whatever its id. `tokenizer` is a path that every
     executor can open. Pieces are stored in the shared folder before the leftovers are merged, so
-    texts are tokenized once. Memory: one document, the open windows and a cache of bounded size;
+    texts are tokenized once. Memory: one document, a portion of words, the open windows and caches of
+    bounded size;
     the merge holds the leftovers of MERGED partitions. An empty table gives no pieces.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -248,12 +315,17 @@ def pack(
 
         for b in batches:
             types = [b.schema.field("id").type, *[pa.int64()] * 7, pa.binary()]
-            for docs_, texts in _portions(b.column("id").to_pylist(), b.column("t").to_pylist(), PORTION):
-                for doc, ids in zip(docs_, encode(texts), strict=True):
-                    windows.add(doc, ids + last)
+            before = []  # the parts of a text longer than a portion
+            for docs_, texts, whole in _portions(b.column("id").to_pylist(), b.column("t"), PORTION):
+                raw, at = encode(texts)
+                if not whole:
+                    before.append(raw)
+                    continue
+                for k, (s, e) in enumerate(zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), strict=True)):
+                    windows.add(docs_[k], b"".join([*before, raw[s:e], last]))
+                    before = []
                 if len(rows) >= 4096:
                     yield out()
-        encode.forget()
         rows += windows.leftovers()
         if rows:
             yield out()
