@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session that
-    names none (tests) a temporary one, which is then set as the session's checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session that
+    names none (tests) a temporary one, which is then set as the session's checkpoint folder. On a
+    cluster a temporary folder would be each machine's own, so one must be named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="orrery-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -36,6 +42,21 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def tidy(run):
+    """A function for mapInArrow that gives what it allocated back to the machine when its task ends: a
+    Python worker goes on to other tasks, and what allocators keep adds up beside the executor's heap."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
+
+
 _FOLDERS: set[str] = set()
 
 
@@ -73,3 +94,24 @@ def lower_ascii(c: Column) -> Column:
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only where the counted rows are within limit; else Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+#: A key that more rows than this have is hot.
+HOT = 20_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """left, in which a key may be hot, with the columns of right, which has a row a key and in
+    column `rows` the number of left's rows of that key. Keys without a row in right get nulls.
+
+    Hot keys are broadcast: there are fewer than left's rows / HOT of them. The others, at most HOT
+    rows each, are joined by shuffle (or broadcast, where Spark measures them small)."""
+    hot = right.where(F.col(rows) > HOT).drop(rows)
+    if hot.isEmpty():
+        return left.join(right.drop(rows), keys, "left")
+    mark = hot.withColumn("__hot", F.lit(True))
+    both = left.join(F.broadcast(mark), keys, "left")
+    cold = both.where("__hot is null").select(*left.columns)
+    columns = [*left.columns, *(c for c in hot.columns if c not in keys)]
+    cold = cold.join(right.where(F.col(rows) <= HOT).drop(rows), keys, "left").select(columns)
+    return both.where("__hot").select(columns).unionByName(cold)
