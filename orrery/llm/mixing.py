@@ -3,19 +3,28 @@
 Words are summed per source, the target words of each source follow from the weights by water
 filling, and each document is emitted floor(rate) times plus one copy drawn by a Bernoulli trial
 whose random number is a hash of the seed and the document's id.
+
+Independent trials leave a source of ten documents 40 % off its target, so the trials of a source are
+tied to each other: its documents are taken in the order of their hashes for as long as that brings
+the source's words nearer the target. Documents of over a hundredth of their source come first, by
+halving sizes, and what they take too much or too little is made up by the smaller ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._work import WORD, broadcast_if, stored
+from ._work import WORD, broadcast_if, join_counted, stored
 
 #: A source table of at most so many rows is broadcast, a larger one joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: And so many drawn large documents (some 60 MB).
+BROADCAST_LARGE = 1_000_000
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -24,23 +33,32 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from 52 bits of MD5 of key and seed; the same in every run and engine."""
+#: Bits of a document's random number, and so many of them that one refinement of a cut takes.
+BITS, STEP = 52, 12
+#: A document of over the LARGE-th part of its source's words is drawn before the others; a source has
+#: fewer than LARGE of them.
+LARGE = 100
+#: A source's documents around its cut are put in order in one task if they are at most so many.
+ORDERED = 10_000
+
+
+def draw(key: Column, seed: int) -> Column:
+    """A long of 52 bits of MD5 of key and seed; the same in every run and engine. Null keys draw alike."""
     digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0
 ) -> DataFrame:
-    """From rows (source, size) the table (source, source_size, weight, target).
+    """From rows (source, size) the table (source, source_size, rows, weight, target).
 
     Sources in code-point order, null last, take the weights in turn. The targets share
     `share` times all words by weight; a target stops at `most` times its source's size and the
     excess is shared again among the rest. Nothing is collected but a few sums: the ranks come
     from a range partitioning, the common level from one aggregate a round.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     ordered = (
         totals.repartitionByRange(F.col("source").asc_nulls_last())
         .sortWithinPartitions(F.col("source").asc_nulls_last())
@@ -57,7 +75,7 @@ def source_targets(
     rank = (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + offset) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank + 1).cast("int"))
     ranked = ordered.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    ranked = stored(ranked.select("source", "source_size", "weight", "cap"), "ranked")
+    ranked = stored(ranked.select("source", "source_size", "rows", "weight", "cap"), "ranked")
 
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
@@ -72,7 +90,77 @@ def source_targets(
             break
         capped, level = row["n"], (share * total - row["c"]) / row["w"]
     target = F.least(F.col("cap"), F.col("weight") * F.lit(level))
-    return ranked.select("source", "source_size", "weight", target.alias("target"))
+    return ranked.select("source", "source_size", "rows", "weight", target.alias("target"))
+
+
+def _keyed(c: str) -> list[Column]:
+    return [F.coalesce(F.col(c), F.lit("")).alias("__mix_key"), F.col(c).isNull().alias("__mix_null")]
+
+
+KEYS = ["__mix_key", "__mix_null"]
+
+
+def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (with KEYS) and the columns of sources (with KEYS and rows). A table of many sources is
+    joined by shuffle, but for the large ones."""
+    if sources.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(sources.drop("rows")), KEYS)
+    return join_counted(rows, sources, KEYS, "rows")
+
+
+def _large(drawn: DataFrame, sources: DataFrame) -> DataFrame:
+    """(KEYS, x, size, own, taken) of the large documents; repeats of one id and size are one, with
+    `own` words together. A source's are taken one after the other, by halving sizes and then by x,
+    where half of one's words still fits into the need of all that are so large."""
+    rows = _with_sources(drawn, sources.select(*KEYS, "rows", "source_size", "need")).where(F.col("size") * LARGE > F.col("source_size"))
+    rows = rows.groupBy(*KEYS, "x", "size").agg(F.sum("size").alias("own"), F.first("source_size").alias("source_size"), F.first("need").alias("need"))
+
+    def take(table):
+        x, size, own, total, need = (table.column(c).to_pylist() for c in ("x", "size", "own", "source_size", "need"))
+        order = sorted(range(len(x)), key=lambda i: (-size[i].bit_length(), x[i], size[i]))
+        upto: dict[int, int] = {}
+        for i in order:
+            upto[size[i].bit_length()] = sum(own[j] for j in order if size[j].bit_length() >= size[i].bit_length())
+        had, taken = 0, [False] * len(order)
+        for i in order:
+            if need[i] > 0 and had + own[i] / 2 <= need[i] * upto[size[i].bit_length()] / total[i] + 1e-6:
+                taken[i], had = True, had + own[i]
+        return table.select([*KEYS, "x", "size", "own"]).append_column("taken", pa.array(taken, pa.bool_()))
+
+    return rows.groupBy(*KEYS).applyInArrow(take, "__mix_key string, __mix_null boolean, x long, size long, own long, taken boolean")
+
+
+def cuts(drawn: DataFrame, sources: DataFrame) -> DataFrame:
+    """KEYS and cut: from rows (KEYS, x, size) and sources (KEYS, rows, need) the largest x up to which
+    a source's rows are taken; none for a source without need. A source's rows, taken in the order of x, come
+    nearest `need` words.
+
+    Sums by the first bits of x tell in which cell a source's cut lies; the cell's rows are summed
+    by further bits until they are few enough to be put in order. Rows of one x stay together."""
+    by = [*KEYS, F.col("cell")]
+    order = Window.partitionBy(*KEYS).orderBy("cell")
+    at, left = drawn, BITS
+    wanted = sources.where("need > 0")
+    bounds = wanted.withColumn("before", F.lit(0).cast("long"))
+    while True:
+        left -= STEP
+        cells = _with_sources(at, bounds.select(*KEYS, "rows", "need", "before")).withColumn("cell", F.shiftright("x", max(left, 0)))
+        sums = cells.groupBy(*by).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("before").alias("before"))
+        summed = sums.withColumn("upto", F.col("before") + F.sum("size").over(order))
+        crossing = summed.where("upto > need").withColumn("k", F.row_number().over(order)).where("k = 1")
+        bounds = stored(crossing.select(*KEYS, F.col("n").alias("rows"), "need", (F.col("upto") - F.col("size")).alias("before"), "cell"), "mix-cells")
+        marked = F.shiftright("x", max(left, 0)).alias("cell")
+        inside = at.select(*KEYS, "x", "size", marked).join(broadcast_if(bounds.select(*KEYS, "cell"), bounds.count(), BROADCAST_SOURCES), [*KEYS, "cell"], "left_semi")
+        at = stored(inside.select(*KEYS, "x", "size"), "mix-inside")
+        if left <= 0 or (bounds.agg(F.max("rows")).first()[0] or 0) <= ORDERED:
+            break
+    rows = at.groupBy(*KEYS, "x").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy(*KEYS).orderBy("x"))
+    placed = rows.join(bounds.select(*KEYS, "need", "before"), KEYS).withColumn("middle", F.col("before") + upto - F.col("size") / 2)
+    last = placed.where(F.col("middle") <= F.col("need") + 1e-6).groupBy(*KEYS).agg(F.max("x").alias("last"))
+    below = F.shiftleft(F.col("cell"), max(left, 0)) - 1  # the last x before the cell, where no row of it is taken
+    inner = bounds.join(last, KEYS, "left").select(*KEYS, F.coalesce("last", below).alias("cut"))
+    return wanted.select(*KEYS).join(inner, KEYS, "left").select(*KEYS, F.coalesce("cut", F.lit(1 << BITS)).alias("cut"))  # no cell crosses: all
 
 
 def mix(
@@ -89,28 +177,33 @@ def mix(
     """docs with the columns mix_size, mix_source_size, mix_target and mix_copies.
 
     A null text has no words; a null source is a source of its own, the last. Rows of one id draw
-    the same random number, so repeated rows are taken alike. A source without words has target 0
-    and copies 0. Input columns of these four names are replaced; an empty table gives an empty
-    table.
+    the same random number, so repeated rows are taken alike, and so are rows without an id. A
+    source without words has target 0 and copies 0. Input columns of these four names are replaced;
+    an empty table gives an empty table.
     """
-    out = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    docs = docs.drop(*out)
-    sized = docs.withColumn("mix_size", word_count(text_col))
-    targets = source_targets(
-        docs.select(F.col(source_col).alias("source"), word_count(text_col).alias("size")), weights, share, most
-    )
-    right = targets.select(
-        F.col("source").alias("__mix_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    names = docs.columns
+    drawn = docs.select(F.col(source_col).alias("source"), *_keyed(source_col), word_count(text_col).alias("size"), draw(F.col(id_col), seed).alias("x"))
+    drawn = stored(drawn, "mix-drawn")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = source_targets(drawn.select("source", "size"), weights, share, most).select(*_keyed("source"), "rows", "source_size", "target", F.floor(rate).alias("whole"))
+    targets = stored(targets.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    drawn = drawn.drop("source")
+    large = stored(_large(drawn, targets.select(*KEYS, "rows", "source_size", "need")), "mix-large")
+    had = large.where("taken").groupBy(*KEYS).agg(F.sum("own").alias("had"))
+    targets = stored(targets.join(had, KEYS, "left").withColumn("need", F.col("need") - F.coalesce("had", F.lit(0))).drop("had"), "mix-needs")
+    small = _with_sources(drawn, targets.select(*KEYS, "rows", "source_size")).where(F.col("size") * LARGE <= F.col("source_size"))
+    found = stored(cuts(small.select(*KEYS, "x", "size"), targets.select(*KEYS, "rows", "need")), "mix-cuts")
+    right = targets.join(found, KEYS, "left").select(
+        *KEYS, "rows", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", F.coalesce("cut", F.lit(-1)).alias("cut")
     )
-    joined = sized.join(
-        broadcast_if(right, right.count(), BROADCAST_SOURCES), sized[source_col].eqNullSafe(right["__mix_source"]), "left"
-    ).drop("__mix_source")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    copies = whole + (uniform(F.col(id_col), seed) < rate - whole).cast("long")
-    return joined.withColumn("mix_copies", F.coalesce(copies, whole, F.lit(0)).cast("long"))
+    sized = docs.select("*", word_count(text_col).alias("mix_size"), *_keyed(source_col), draw(F.col(id_col), seed).alias("__mix_x"))
+    sized = _with_sources(sized, stored(right, "mix-sources"))
+    chosen = large.where("taken").select(*KEYS, F.col("x").alias("__mix_x"), F.col("size").alias("mix_size"), F.lit(True).alias("__mix_large"))
+    sized = sized.join(broadcast_if(chosen, chosen.count(), BROADCAST_LARGE), [*KEYS, "__mix_x", "mix_size"], "left")
+    small_one = F.col("mix_size") * LARGE <= F.col("mix_source_size")
+    again = F.coalesce("__mix_large", small_one & (F.col("__mix_x") <= F.col("cut"))).cast("long")
+    return sized.select(*names, "mix_size", "mix_source_size", "mix_target", (F.col("whole") + again).cast("long").alias("mix_copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
