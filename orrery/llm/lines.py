@@ -9,6 +9,7 @@ crosses `min_docs`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 from hashlib import md5
@@ -18,11 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import broadcast_if, stored
+from ._work import broadcast_if, stored, tidy
 
 STRIPPED = b" \t\n\x0b\x0c\r"
-#: Filters of at most so many bytes together are broadcast; beyond, lines go to the exact table.
+#: Filters of at most so many bytes together are broadcast; beyond, lines are dealt to their shards.
 BROADCAST_FILTERS = 64 << 20
+#: Lines are filed under so many buckets; a shard is one or more whole buckets, of about SHARD_KEYS
+#: common keys as long as there are no more shards than buckets. Beyond, filters grow.
+BUCKETS, SHARD_KEYS = 4096, 50_000
+#: Where lines are dealt to shards, a shard's go to so many tasks, so that a hot line isn't one's.
+SPREAD = 16
 #: So many (document, line) hits are broadcast at most (16-byte keys, some 30 MB).
 BROADCAST_HITS = 400_000
 
@@ -104,36 +110,37 @@ def _text_keys(text: bytes | None, min_chars: int) -> list[bytes]:
     return list(keys)
 
 
-def _shard(keys: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard and 64-bit filter hash of each key."""
+def _bucket(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 64-bit filter hash of each key."""
     halves = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
-    return (halves[:, 0] % np.uint64(shards)).astype(np.int64), halves[:, 1].copy()
+    return (halves[:, 0] % np.uint64(BUCKETS)).astype(np.int64), halves[:, 1].copy()
 
 
 def _exploded(docs: DataFrame, pick, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, shard, key), a row for each key that pick(text keys of a batch) leaves."""
+    """(doc_id, digest, bucket, key), a row for each key that pick(text keys of a batch) leaves."""
 
     def run(batches):
         for b in batches:
             ids, digests = b.column("id"), b.column("digest")
-            at, keys, shard = pick(b.column("t").to_pylist())
+            at, keys, bucket = pick(b.column("t").to_pylist())
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), digests.take(at), pa.array(shard, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "digest", "shard", "key"])
+            yield pa.RecordBatch.from_arrays([ids.take(at), digests.take(at), pa.array(bucket, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "digest", "bucket", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, digest long, shard long, key binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, digest long, bucket long, key binary")
 
 
 @dataclass(frozen=True)
 class LineIndex:
-    """A version of the index: postings (doc_id, digest, shard, key), counts (shard, key, n_docs,
-    last_id) and filters (shard, filter), all stored tables. Each row inserted is a document."""
+    """A version of the index: postings (doc_id, digest, bucket, key), counts (bucket, key, n_docs,
+    last_id) and filters (shard, filter), all stored tables. Each row inserted is a document,
+    whatever its id; `shards` is chosen by build()."""
 
     postings: DataFrame
     counts: DataFrame
     filters: DataFrame
-    shards: int = 64
+    shards: int = 1
     min_docs: int = 5
     min_chars: int = 40
     id_col: str = "doc_id"
@@ -146,49 +153,51 @@ class LineIndex:
         empty = cls(None, None, None, **options)
         postings = stored(empty._postings(docs), "line-postings")
         counts = stored(cls._counted(postings), "line-counts")
-        filters = empty._filters(counts)
-        return cls(postings, counts, filters, **options)
+        common = empty._common(counts).count()
+        shards = min(BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, common / SHARD_KEYS)))))
+        made = empty._with(postings=postings, counts=counts, shards=options.get("shards", shards))
+        return made._with(filters=made._filters(counts))
 
     def _with(self, **changed) -> LineIndex:
         return LineIndex(**{k: getattr(self, k) for k in self.__dataclass_fields__} | changed)
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        shards, min_chars = self.shards, self.min_chars
+        min_chars = self.min_chars
 
         def pick(texts):
             lists = [_text_keys(t, min_chars) for t in texts]
             keys = [k for x in lists for k in x]
-            return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), keys, _shard(keys, shards)[0]
+            return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), keys, _bucket(keys)[0]
 
         return _exploded(docs, pick, self.id_col, self.text_col)
 
     @staticmethod
     def _counted(postings: DataFrame) -> DataFrame:
-        return postings.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
+        return postings.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
 
     def _common(self, counts: DataFrame) -> DataFrame:
         return counts.where(F.col("n_docs") >= self.min_docs)
 
-    def _filters(self, counts: DataFrame) -> DataFrame:
-        shards = self.shards
+    def _sharded(self, counts: DataFrame) -> DataFrame:
+        """(shard, key) of the common keys."""
+        return self._common(counts).select((F.col("bucket") % self.shards).alias("shard"), "key")
 
+    def _filters(self, counts: DataFrame) -> DataFrame:
         def fill(key, table):
             keys = table.column("key").to_pylist()
-            hashes, room = _shard(keys, shards)[1].tolist(), len(keys)
+            hashes, room = _bucket(keys)[1].tolist(), len(keys)
             while True:
                 made = CuckooFilter.for_keys(room)
                 if all(made.insert(h) for h in hashes):
                     return pa.table({"shard": [key[0].as_py()], "filter": pa.array([made.dump()], pa.binary())})
                 room *= 2
 
-        common = self._common(counts).select("shard", "key")
-        return stored(common.groupBy("shard").applyInArrow(fill, "shard long, filter binary"), "line-filters")
+        return stored(self._sharded(counts).groupBy("shard").applyInArrow(fill, "shard long, filter binary"), "line-filters")
 
     def _changed(self, counts: DataFrame) -> DataFrame:
         """Filters after counts have changed: keys that became common go in, others come out. A
         filter that gets too full is built anew from the exact counts."""
-        shards, was = self.shards, self._common(self.counts).select("shard", "key")
-        now = self._common(counts).select("shard", "key")
+        was, now = self._sharded(self.counts), self._sharded(counts)
         moves = now.exceptAll(was).withColumn("into", F.lit(True)).unionByName(was.exceptAll(now).withColumn("into", F.lit(False)))
 
         def change(key, filters, moved):
@@ -196,7 +205,7 @@ class LineIndex:
             full = False
             if moved.num_rows:
                 keys, into = moved.column("key").to_pylist(), moved.column("into").to_pylist()
-                for h, goes_in in sorted(zip(_shard(keys, shards)[1].tolist(), into, strict=True), key=lambda x: x[1]):
+                for h, goes_in in sorted(zip(_bucket(keys)[1].tolist(), into, strict=True), key=lambda x: x[1]):
                     full |= not (made.insert(h) if goes_in else made.delete(h))
             return pa.table({"shard": [key[0].as_py()], "filter": pa.array([None if full else made.dump()], pa.binary())})
 
@@ -204,12 +213,12 @@ class LineIndex:
         full = changed.where("filter is null").select("shard")
         if full.isEmpty():
             return changed
-        anew = self._filters(counts.join(full, "shard", "left_semi"))
+        anew = self._filters(counts.join(full, F.col("bucket") % self.shards == F.col("shard"), "left_semi"))
         return stored(changed.where("filter is not null").unionByName(anew), "line-filters")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         new = stored(self._postings(docs), "line-postings")
-        counts = self.counts.unionByName(self._counted(new)).groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+        counts = self.counts.unionByName(self._counted(new)).groupBy("bucket", "key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
         counts = stored(counts, "line-counts")
         return self._with(postings=self.postings.unionByName(new), counts=counts, filters=self._changed(counts))
 
@@ -218,16 +227,16 @@ class LineIndex:
         inserted. Only the keys that they held are counted again."""
         ids = ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct()
         postings = stored(self.postings.join(ids, "doc_id", "left_anti").select(self.postings.columns), "line-postings")
-        touched = self.postings.join(ids, "doc_id", "left_semi").select("shard", "key").distinct()
-        again = self._counted(postings.join(touched, ["shard", "key"], "left_semi"))
-        counts = stored(self.counts.join(touched, ["shard", "key"], "left_anti").unionByName(again), "line-counts")
+        touched = self.postings.join(ids, "doc_id", "left_semi").select("bucket", "key").distinct()
+        again = self._counted(postings.join(touched, ["bucket", "key"], "left_semi"))
+        counts = stored(self.counts.join(touched, ["bucket", "key"], "left_anti").unionByName(again), "line-counts")
         return self._with(postings=postings, counts=counts, filters=self._changed(counts))
 
     def _candidates(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, digest, shard, key) of the lines that a filter passes."""
+        """(doc_id, digest, bucket, key) of the lines that a filter passes."""
         size = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
         if size > BROADCAST_FILTERS:
-            return self._postings(docs)
+            return self._passed(self._postings(docs))
         held = self.filters.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
         shards, min_chars = self.shards, self.min_chars
         loaded: dict[int, CuckooFilter] = {}
@@ -237,17 +246,47 @@ class LineIndex:
                 loaded.update((k, CuckooFilter.load(v)) for k, v in held.value.items())
             lists = [_text_keys(t, min_chars) for t in texts]
             keys = [k for x in lists for k in x]
-            shard, hashes = _shard(keys, shards)
-            hit = np.zeros(len(keys), bool)
+            bucket, hashes = _bucket(keys)
+            shard, hit = bucket % shards, np.zeros(len(keys), bool)
             for k in np.unique(shard).tolist():
                 if k in loaded:
                     of = np.flatnonzero(shard == k)
                     hit[of] = loaded[k].contains(hashes[of])
             at = np.flatnonzero(hit)
-            return np.repeat(np.arange(len(lists)), [len(x) for x in lists])[at], [keys[i] for i in at.tolist()], shard[at]
+            return np.repeat(np.arange(len(lists)), [len(x) for x in lists])[at], [keys[i] for i in at.tolist()], bucket[at]
 
         return _exploded(docs, pick, self.id_col, self.text_col)
 
+    def _passed(self, postings: DataFrame) -> DataFrame:
+        """The postings that their shard's filter passes, where the filters are too large for one
+        task. Each shard's lines are dealt to SPREAD tasks, each with a copy of the filter, which
+        comes first there; a task holds one filter and one batch."""
+        columns = postings.columns
+        to = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SPREAD))
+        asked = postings.select((F.col("bucket") % self.shards).alias("shard"), to.alias("task"), F.lit(None).cast("binary").alias("filter"), *columns)
+        held = self.filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("task"), "filter")
+        rows = held.unionByName(asked, allowMissingColumns=True).repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("filter").isNull())
+
+        def run(batches):
+            of, own = None, None
+            for b in batches:
+                at = np.stack([b.column("shard").to_numpy(), b.column("task").to_numpy()])
+                filters = b.column("filter")
+                passed = np.zeros(b.num_rows, bool)
+                cut = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+                for s, e in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+                    if s == e:
+                        continue
+                    if of != (key := tuple(at[:, s].tolist())):
+                        of, own = key, None
+                    if filters[s].is_valid:
+                        own, s = CuckooFilter.load(filters[s].as_py()), s + 1
+                    if own is not None and s < e:
+                        passed[s:e] = own.contains(_bucket(b.column("key").slice(s, e - s).to_pylist())[1])
+                yield b.select(columns).filter(pa.array(passed))
+
+        return rows.mapInArrow(tidy(run), postings.schema)
+
     def clean(self, docs: DataFrame) -> DataFrame:
         """docs with kept_text, n_lines and n_dropped.
 
@@ -258,8 +297,8 @@ class LineIndex:
         results = ["kept_text", "n_lines", "n_dropped"]
         docs = docs.drop(*results)
         names, min_chars = docs.columns, self.min_chars
-        common = self._common(self.counts).select("shard", "key", "last_id")
-        gone = self._candidates(docs).join(common, ["shard", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
+        common = self._common(self.counts).select("bucket", "key", "last_id")
+        gone = self._candidates(docs).join(common, ["bucket", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
         hits = stored(gone.select("doc_id", "digest", "key").distinct(), "line-hits")
         lists = hits.groupBy(F.col("doc_id").alias("__hit_id"), F.col("digest").alias("__hit_digest")).agg(F.collect_list("key").alias("__hit_keys"))
         lists = broadcast_if(lists, hits.count(), BROADCAST_HITS)
@@ -267,7 +306,7 @@ class LineIndex:
         joined = docs.join(lists, on, "left").select(*(docs[c] for c in names), docs[self.text_col].cast("binary").alias("__text_bytes"), "__hit_keys")
 
         schema = docs.select("*", F.lit("").alias("kept_text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-        return joined.mapInArrow(_rebuild(names, min_chars), schema)
+        return joined.mapInArrow(tidy(_rebuild(names, min_chars)), schema)
 
 
 def _rebuild(names: Iterable[str], min_chars: int):
