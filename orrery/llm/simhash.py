@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import broadcast_if, stored
+from ._work import broadcast_if, join_counted, stored, tidy
 from .links import components
 
 #: Fingerprints that one bucket may hold to be compared in its task: up to there all pairs cost
@@ -25,25 +25,33 @@ BUCKET_PAIRS = 4096
 BROADCAST_GONE = 1_000_000
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The unsigned SimHash of the ASCII-lower-cased words of a UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of the ASCII-lower-cased words of a UTF-8 text, repeats included; of the
+    whole sequence where it has fewer words than a shingle, and none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
+    xxh = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        counts, total = np.frombuffer(xxhash.xxh64_intdigest(joined, seed).to_bytes(8, "little"), np.uint8), 1
-        return int.from_bytes(counts.tobytes(), "little")
+        return np.array([xxh(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
-    xxh = xxhash.xxh64_intdigest
-    hashes = np.fromiter((xxh(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    total = len(hashes)
+    return np.fromiter((xxh(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number whose bits are set in over half the hashes; 0 for none."""
     columns = hashes.view(np.uint8).reshape(-1, 8)
     bits = np.empty(64, np.int64)
     for j in range(8):  # little endian: byte j holds bits 8j to 8j+7
         bits[8 * j : 8 * j + 8] = np.bincount(columns[:, j], minlength=256) @ BITS
-    return int(sum(1 << i for i in np.flatnonzero(2 * bits > total).tolist()))
+    return int.from_bytes(np.packbits(2 * bits > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """The unsigned SimHash of a UTF-8 text."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 #: BITS[v, i] is bit i of the byte v.
@@ -61,7 +69,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, digest long, fp long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, digest long, fp long")
 
 
 def _within(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -142,7 +150,7 @@ def _filed(distance: int, most: int):
     return run
 
 
-def _ball(radius: int = 2) -> list[int]:
+def _ball(radius: int) -> list[int]:
     """Signed longs with at most `radius` bits set."""
     masks = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(64), r)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
@@ -151,15 +159,16 @@ def _ball(radius: int = 2) -> list[int]:
 def hamming_links(fps: DataFrame, *, distance: int = 4, blocks: int = 8, most: int = BUCKET_PAIRS) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of column fp that leave their components
     under "at most `distance` bits differ" as they are. Buckets of more than `most` fingerprints go
-    the other way: two points within 2r of each other, and no others, share a point within r of
-    both, so fingerprints are linked through the points around them, in linear space."""
+    the other way: further blocks would not split a ball of near fingerprints, but two that differ
+    in at most r + s bits, and no others, have a point within r of the one and s of the other, so
+    they are linked through the points around them, in linear space."""
     masks = []
     for chosen in combinations(range(blocks), blocks - distance):
         m = sum(1 << i for i in range(64) if i * blocks // 64 in chosen)
         masks.append(m - (1 << 64) if m >= 1 << 63 else m)
     filed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("pos", "mask"))
     filed = filed.repartition("pos", "mask").sortWithinPartitions("pos", "mask")
-    found = stored(filed.mapInArrow(_filed(distance, most), "a long, b long").distinct(), "links")
+    found = stored(filed.mapInArrow(tidy(_filed(distance, most)), "a long, b long").distinct(), "links")
     links = found.where("b is not null")
     hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     if not hot.isEmpty():
@@ -168,14 +177,17 @@ def hamming_links(fps: DataFrame, *, distance: int = 4, blocks: int = 8, most: i
 
 
 def _through_points(hot: DataFrame, distance: int) -> DataFrame:
-    """Links of any number of fingerprints at most 4 bits apart: each is filed at every point
-    within 2 bits, each point keeps the least of its fingerprints and links the rest to it."""
-    if distance != 4:
-        raise ValueError("the way for very large buckets is made for a distance of 4")
-    ball = F.array(*[F.lit(m) for m in _ball(2)])
-    at = hot.select("fp", F.explode(ball).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("point"))
-    least = at.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b != top").drop("top")
-    return at.join(least, "point").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    """Links of any number of fingerprints at most `distance` bits apart: each is filed at the points
+    within half the distance, each point keeps the least of its fingerprints and links the rest to
+    it; where the distance is odd, those one bit further out are linked to it too."""
+
+    def at(radius):
+        return hot.select("fp", F.explode(F.array(*[F.lit(m) for m in _ball(radius)])).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("point"))
+
+    near, far = at(distance // 2), at(distance - distance // 2)
+    least = near.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top"))
+    least = least.where("b != top" if distance % 2 == 0 else "true").drop("top")
+    return far.join(least, "point").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def near_groups(
@@ -191,16 +203,18 @@ def near_groups(
     """
     marked = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     by_fp = _firsts(marked, F.col("doc_id"), distance, blocks)
-    return marked.join(by_fp, "fp", "left").select("doc_id", "fp", F.col("first").alias("component_id"))
+    return join_counted(marked, by_fp, ["fp"], "rows").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def _firsts(marked: DataFrame, key: Column, distance: int, blocks: int) -> DataFrame:
-    """(fp, first): the least key in the component of each distinct fingerprint."""
-    nodes = marked.groupBy("fp").agg(F.min(key).alias("least"))
+    """(fp, first, rows): the least key in the component of each distinct fingerprint, and its rows."""
+    nodes = stored(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("rows")), "by-fingerprint")
     roots = components(hamming_links(nodes.select("fp"), distance=distance, blocks=blocks))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = named.groupBy("root").agg(F.min("least").alias("first"))
-    return named.select("fp", "root").join(first, "root").select("fp", "first")
+    linked = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
+    first = stored(linked.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("nodes")), "firsts")
+    of_linked = join_counted(linked, first, ["root"], "nodes").select("fp", "first", "rows")
+    of_lone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("first"), "rows")
+    return stored(of_linked.unionByName(of_lone), "components")
 
 
 def keep_one(
@@ -211,7 +225,12 @@ def keep_one(
     and its text one. All columns stay as they are."""
     marked = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")
-    named = marked.join(_firsts(marked, key, distance, blocks), "fp")
+    return survivors(docs, join_counted(marked, _firsts(marked, key, distance, blocks), ["fp"], "rows"), id_col, text_col)
+
+
+def survivors(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are the first of their group, of repeated ones one; named: (doc_id,
+    digest, first) of every row."""
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest"))
     named = stored(named.select("doc_id", "digest", stays.alias("stays")), "survivors")
     gone = named.where("not stays").select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone_digest")).distinct()
