@@ -13,6 +13,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard as zstd
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import broadcast_if, new_path, stored
+from ._work import broadcast_if, join_counted, new_path, stored, tidy
 
 #: Fixed values of the format: the skippable frame's magic number for dictionaries, version line.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -48,7 +49,13 @@ def _headers(fields: list[tuple[str, str]]) -> bytes:
 
 
 def _name(page_id) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+    """A record's name, which holds any id: percent-encoded after a dot; nothing for a null one."""
+    return f"<urn:x-page:{'' if page_id is None else '.' + quote(str(page_id), safe='')}>"
+
+
+def _id(name: str | None) -> str | None:
+    found = re.fullmatch(r"<urn:x-page:\.(.*)>", name or "")
+    return unquote(found[1]) if found else None
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
@@ -203,16 +210,19 @@ def with_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(page_id, url, payload, digest, revisit, first): which records are revisits, and of what."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    again = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = stored(again, "warc-digests")
-    joined = rows.join(broadcast_if(again, again.count(), BROADCAST_DIGESTS), "digest", "left")
+    if again.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(again.drop("n")), "digest", "left")
+    else:  # payloads are moved, but for those of very many pages
+        joined = join_counted(rows, again, ["digest"], "n")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), "first")
 
 
 def write_archives(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row of pages (page_id, url, html) to archives in folder, which all
-    executors share; returns (name, records, bytes) of each archive. Null html is an empty payload,
+    executors share; returns (name, records, bytes) of each archive. An id may be any text. Null html is an empty payload,
     a null url a placeholder. Of rows that share the least page_id and the payload all are responses."""
 
     def run(batches):
@@ -237,15 +247,21 @@ def write_archives(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIV
             names, records, sizes = zip(*made, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())], ["name", "records", "bytes"])
 
-    return stored(with_types(pages).mapInArrow(run, "name string, records long, bytes long"), "warc-archives")
+    return stored(with_types(pages).mapInArrow(tidy(run), "name string, records long, bytes long"), "warc-archives")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, written: DataFrame | None = None) -> DataFrame:
     """(record_type, page_id, url, payload_bytes, payload_digest, refers_to, payload) of each record
     of the archives in folder; payload is null for a revisit. A response whose payload doesn't have
-    the digest or length that its headers state is an error, as is every other break of the format."""
+    the digest or length that its headers state is an error, as is every other break of the format.
+    With the table that write_archives returned only the archives that it names are read: a task
+    that was run again may have left others."""
     schema = "record_type string, page_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("path", "content")
+    if written is not None:
+        names = written.select("name")
+        files = files.withColumn("name", F.substring_index("path", "/", -1)).join(broadcast_if(names, names.count(), BROADCAST_DIGESTS), "name", "left_semi")
+    files = files.select("content")
 
     def rows(data: bytes):
         for r in read_archive(data):
@@ -257,8 +273,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 raise WarcError("the HTTP headers have no length")
             if kind == "response" and (len(payload) != int(size[1]) or hashlib.sha256(payload).hexdigest() != digest):
                 raise WarcError("the payload is not what its headers state")
-            own, other = (re.fullmatch(r"<urn:x-page:(.*)>", r.headers.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
-            yield (kind, own[1] or None if own else None, r.headers.get("warc-target-uri"), int(size[1]), digest, other[1] if other else None, payload if kind == "response" else None)
+            own, other = (_id(r.headers.get(k)) for k in ("warc-record-id", "warc-refers-to"))
+            yield (kind, own, r.headers.get("warc-target-uri"), int(size[1]), digest, other, payload if kind == "response" else None)
 
     def run(batches):
         names = [c.split()[0] for c in schema.split(", ")]
@@ -275,7 +291,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(tidy(run), schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -286,7 +302,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     written = write_archives(pages, folder)
     if written.isEmpty():
         return read_archives_schema(spark)
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, written)
 
 
 def read_archives_schema(spark: SparkSession) -> DataFrame:
