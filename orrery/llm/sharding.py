@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,82 +16,56 @@ from ._work import broadcast_if, stored
 LIMIT = 64 << 20
 #: Bits of the hash that can be used; 52 of MD5, so that every engine can hold it in a long.
 HASH_BITS = 52
-#: Bits looked at in one pass: the driver holds 2**STEP sums a pass, whatever the table's size.
-STEP = 18
-BROADCAST_CELLS = 1 << 18
+#: Bits that a pass adds at most: the first, and each of the others.
+FIRST, STEP = 18, 9
+#: So many cells of the directory are broadcast at most (some 60 MB); more are joined by shuffle.
+BROADCAST_CELLS = 1 << 20
 
 
 def key_hash(c: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
 
 
-def _leaves(sums: np.ndarray, bits: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each cell of `bits` bits the depth of its bucket, or -1 where it must be split further,
-    and the bucket's bytes. A bucket is the shallowest prefix that fits."""
-    depth, size = np.full(len(sums), -1), sums.copy()
-    level = sums
-    levels = [sums]
-    for _ in range(bits):
-        level = level.reshape(-1, 2).sum(axis=1)
-        levels.append(level)
-    for d in range(bits + 1):
-        fits = np.repeat(levels[bits - d] <= limit, 1 << (bits - d))
-        new = fits & (depth < 0)
-        depth[new] = d
-        size[new] = np.repeat(levels[bits - d], 1 << (bits - d))[new]
-    return depth, size
-
-
 def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """From rows (h, n_bytes) the directory (bits, cell, depth, shard_bytes, whole).
+    """From rows (h, n_bytes) the directory (bits, cell, depth, shard_bytes, whole), a stored table.
 
     The hash's first `bits` bits being `cell`, the row's shard has the first `depth` of them. whole is
-    false for a bucket of one hash that exceeds the limit by itself. Each pass takes up to STEP more
-    bits of the buckets that are still too large; the first takes as many as the total calls for.
+    false for a bucket of one hash that exceeds the limit by itself. The first pass looks at as many
+    bits as the total calls for, each other at STEP more bits of the buckets that are still too
+    large, and of their rows alone. A bucket is a leaf if it fits and the one that it was split from
+    doesn't. The driver holds no more than the number of passes.
     """
-    spark = rows.sparkSession
     # one sum for each hash, so that rows of one key are one row from here on
     rows = stored(rows.groupBy("h").agg(F.sum("n_bytes").alias("n_bytes")), "hash-sizes")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(STEP, max(0, math.ceil(math.log2(max(1, total) / limit)) + 4))
-    done, above, at = [], 0, rows.withColumn("top", F.lit(0).cast("long"))
-    tops = np.zeros(1, np.int64)
+    found, above, at = None, 0, rows
+    bits = min(FIRST, max(0, math.ceil(math.log2(max(1, total) / limit)) + 4))
     while True:
         width = above + bits
-        cell = F.shiftright("h", HASH_BITS - width)
-        got = at.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("n")).toArrow()
-        cells, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
-        again = []
-        for top in tops.tolist():
-            own = (cells >> bits) == top if above else np.ones(len(cells), bool)
-            sums = np.zeros(1 << bits, np.int64)
-            sums[cells[own] & ((1 << bits) - 1)] = n[own]
-            depth, size = _leaves(sums, bits, limit)
-            if width == HASH_BITS:
-                whole = depth >= 0
-                depth[~whole] = bits
-            else:
-                again += ((top << bits) + np.flatnonzero(depth < 0)).tolist()
-                whole = depth >= 0
-                keep = whole if above == 0 else whole & (sums > 0)
-                done.append((width, (top << bits) + np.flatnonzero(keep), above + depth[keep], size[keep], whole[keep]))
-                continue
-            keep = sums > 0
-            done.append((width, (top << bits) + np.flatnonzero(keep), above + depth[keep], size[keep], whole[keep]))
-        if not again:
-            break
-        tops = np.array(again, np.int64)
-        too_large = spark.createDataFrame(pa.table({"top": pa.array(tops, pa.int64())}))
-        at = rows.withColumn("top", F.shiftright("h", HASH_BITS - width)).join(F.broadcast(too_large), "top", "left_semi")
-        above, bits = width, min(STEP // 2, HASH_BITS - width)
-    table = pa.table({
-        "bits": pa.array(np.concatenate([np.full(len(d[1]), d[0]) for d in done]), pa.int32()),
-        "cell": pa.array(np.concatenate([d[1] for d in done]), pa.int64()),
-        "depth": pa.array(np.concatenate([d[2] for d in done]), pa.int32()),
-        "shard_bytes": pa.array(np.concatenate([d[3] for d in done]), pa.int64()),
-        "whole": pa.array(np.concatenate([d[4] for d in done]), pa.bool_()),
-    })
-    return spark.createDataFrame(table)
+        cells = stored(at.groupBy(F.shiftright("h", HASH_BITS - width).alias("cell")).agg(F.sum("n_bytes").alias("n")), "cells")
+        depths = F.explode(F.sequence(F.lit(above), F.lit(width))).alias("depth")
+        shift = F.lit(width) - F.col("depth")
+        sums = cells.select("cell", "n", depths).groupBy("depth", F.call_function("shiftright", F.col("cell"), shift).alias("prefix")).agg(F.sum("n").alias("n"))
+        sums = stored(sums, "buckets")
+        split = sums.where(F.col("n") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("from"))
+        child = sums.where((F.col("n") <= limit) | ((F.col("depth") == width) & F.lit(width == HASH_BITS)))
+        child = child.withColumn("from", F.shiftright("prefix", 1))
+        leaves = child.join(split, ["depth", "from"], "left_semi")
+        if above == 0:  # the bucket of all rows was split from none
+            leaves = leaves.unionByName(sums.where(F.col("depth") == 0).where(F.col("n") <= limit).withColumn("from", F.lit(0).cast("long")))
+        left = F.lit(width) - F.col("depth")
+        first = F.call_function("shiftleft", F.col("prefix"), left)
+        last = F.call_function("shiftleft", F.col("prefix") + 1, left) - 1
+        part = leaves.select(
+            F.lit(width).alias("bits"), F.explode(F.sequence(first, last)).alias("cell"), "depth", F.col("n").alias("shard_bytes"), (F.col("n") <= limit).alias("whole")
+        )
+        found = part if found is None else found.unionByName(part)
+        large = sums.where((F.col("depth") == width) & (F.col("n") > limit)).select(F.col("prefix").alias("top"))
+        if width == HASH_BITS or (n := large.count()) == 0:
+            return stored(found, "directory")
+        top = F.shiftright("h", HASH_BITS - width)
+        at = rows.join(broadcast_if(large, n, BROADCAST_CELLS), top == F.col("top"), "left_semi")
+        above, bits = width, min(STEP, HASH_BITS - width)
 
 
 def shard(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
