@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._work import broadcast_if, stored
+from ._work import broadcast_if, join_counted, stored
 
-#: A chunk ends behind an e and a space or line end once it has 256 characters, at 4,096 at the
-#: latest; the last one may be shorter.
-CHUNK = r"(?s).{256,4096}?(?:(?<=e)[ \n]|\z)|.{4096}|.+"
+#: A chunk ends, once it has 256 characters, behind an e and a space or line end, behind a punctuation
+#: mark beyond ASCII, or in a run of 64 characters without white space behind one of a few frequent
+#: ones; at 4,096 at the latest, and the last one may be shorter.
+CHUNK = r"(?s).{256,4096}?(?:(?<=e)[ \n]|[\p{P}&&[^\x00-\x7F]]|(?<=\S{64})[eAQ07\u0435\u0627\u306E\u7684\uC774]|\z)|.{4096}|.+"
 #: So many ids of texts with copies are broadcast at most (8 MB); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: So many longs, in the recipes of all groups together, are broadcast at most (16 MB).
@@ -70,7 +71,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     groups = shared.groupBy("n_bytes", "digest", "recipe").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = stored(groups, "copy-groups")
     extent = groups.agg(F.sum(F.size("recipe") + 4)).first()[0] or 0  # longs of all recipes and row heads
-    joined = made.join(broadcast_if(groups, extent, BROADCAST_LONGS), ["n_bytes", "digest", "recipe"], "left")
+    by = ["n_bytes", "digest", "recipe"]
+    if extent <= BROADCAST_LONGS:
+        joined = made.join(F.broadcast(groups), by, "left")
+    else:
+        joined = join_counted(made, groups.withColumn("rows", F.col("size")), by, "rows")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return joined.select(
         "doc_id",
