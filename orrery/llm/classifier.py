@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._work import tidy
+
 BITS = 18
 #: Labelled rows that training takes at most, those with the least MD5 of doc_id.
 MAX_TRAINING_ROWS = 12_000
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", label_c
             keys = [zlib.crc32(k) for k in x]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.binary()), pa.array(keys, pa.int64())], ["doc_id", "y", "x", "k"])
 
-    hashed = rows.select("doc_id", "y", "t").mapInArrow(to_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary, k long")
+    hashed = rows.select("doc_id", "y", "t").mapInArrow(tidy(to_features), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary, k long")
 
     def fit(batches):
         seen, data = set(), []
@@ -188,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", label_c
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float32())], ["i", "w"])
 
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("k")]
-    learnt = hashed.repartition(1).sortWithinPartitions(*order).mapInArrow(fit, "i long, w float").toArrow()
+    learnt = hashed.repartition(1).sortWithinPartitions(*order).mapInArrow(tidy(fit), "i long, w float").toArrow()
     weights = np.zeros((1 << bits) + 1, np.float32)
     weights[learnt.column("i").to_numpy()] = learnt.column("w").to_numpy()
     return Model(weights, bits)
@@ -209,4 +211,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], [*names, out])
 
     schema = docs.withColumn(out, F.lit(0.0)).schema
-    return docs.select("*", F.col(text_col).cast("binary").alias("__text_bytes")).mapInArrow(run, schema)
+    return docs.select("*", F.col(text_col).cast("binary").alias("__text_bytes")).mapInArrow(tidy(run), schema)

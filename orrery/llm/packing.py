@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import stored
+from ._work import stored, tidy
 
 LENGTH = 4096
 OPEN_WINDOWS = 64
@@ -29,10 +29,10 @@ OPEN_WINDOWS = 64
 LEAST_PIECE = 32
 #: So many partitions' leftovers are merged in one task: at most MERGED * OPEN_WINDOWS windows.
 MERGED = 16
-#: Entries of either cache, some 30 MB together. Beyond, the half that is asked for most stays.
-CACHED = 400_000
+#: Entries of either cache, some 25 MB together. Beyond, the half that is asked for most stays.
+CACHED = 300_000
 #: Bytes of text that are tokenized at once; a longer text is cut between words for it.
-PORTION = 4 << 20
+PORTION = 2 << 20
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part long, win long, offset long, ids binary"
 
@@ -330,7 +330,7 @@ def pack(
         if rows:
             yield out()
 
-    placed = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema), "pieces")
+    placed = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(tidy(run), schema), "pieces")
     full = placed.where("ids is null").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.expr("shiftleft(part, 32) + win").alias("sequence_id"), "offset"
     )

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._work import tidy
+
 SYMBOLS = b"#*$%&|<>"
 SAMPLE_ROWS = 256
 
@@ -161,4 +163,4 @@ def judge(docs: DataFrame, *, text_col: str = "text", rules: Sequence[Rule] = RU
     wide = docs.withColumn("kept", F.lit(True))
     if report:
         wide = wide.withColumn("base_failed", F.lit(False)).select("*", *(F.lit(0).cast("long").alias(c) for c in COUNTS))
-    return docs.select("*", F.col(text_col).cast("binary").alias("__text_bytes")).mapInArrow(run, wide.schema)
+    return docs.select("*", F.col(text_col).cast("binary").alias("__text_bytes")).mapInArrow(tidy(run), wide.schema)

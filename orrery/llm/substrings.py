@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from ._work import broadcast_if, stored
+from ._work import broadcast_if, stored, tidy
 
 SEGMENT = 1 << 20
 #: Distinct surroundings of one anchor that are refined in a task; those of an anchor with more go,
@@ -341,9 +341,9 @@ def runs(rows: DataFrame, shape: Shape, wide: int = WIDE) -> DataFrame:
                 h.append(x)
             yield pa.RecordBatch.from_arrays(_spread(np.concatenate(h), np.concatenate(rid), np.concatenate(at)), ["known", "h", "rid", "pos"])
 
-    every = rows.mapInArrow(anchored, "known boolean, h long, rid long, pos int")
+    every = rows.mapInArrow(tidy(anchored), "known boolean, h long, rid long, pos int")
     every = every.repartition(F.when(F.col("known"), F.xxhash64("rid", "pos")).otherwise(F.col("h"))).sortWithinPartitions("h")
-    live = stored(every.mapInArrow(_live, "h long, rid long, pos int"), "anchors")
+    live = stored(every.mapInArrow(tidy(_live), "h long, rid long, pos int"), "anchors")
     lists = live.groupBy("rid").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
 
     def surrounded(batches):
@@ -372,13 +372,13 @@ def runs(rows: DataFrame, shape: Shape, wide: int = WIDE) -> DataFrame:
                     out = [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["h", "rid", "pos", "left", "around"])
 
-    around = rows.join(lists, "rid").select("rid", "t", "at").mapInArrow(surrounded, "h long, rid long, pos long, left long, around binary")
+    around = rows.join(lists, "rid").select("rid", "t", "at").mapInArrow(tidy(surrounded), "h long, rid long, pos long, left long, around binary")
     around = around.repartition("h").sortWithinPartitions("h", "left", "around", "rid", "pos")
-    found = stored(around.mapInArrow(_grouped(shape, wide), _FOUND), "runs")
+    found = stored(around.mapInArrow(tidy(_grouped(shape, wide)), _FOUND), "runs")
     out = found.where("around is null").select("rid", "s", "e")
     passed = found.where("around is not null").select("rid", "pos", "left", "around")
     if not passed.isEmpty():
-        strings = passed.mapInArrow(_strings(shape), "key binary, rid long, start long")
+        strings = passed.mapInArrow(tidy(_strings(shape)), "key binary, rid long, start long")
         least = strings.groupBy("key").agg(F.min(F.struct("rid", "start")).alias("least"))
         more = strings.join(least, "key").where(F.struct("rid", "start") > F.col("least"))
         out = out.unionByName(more.select("rid", F.col("start").alias("s"), (F.col("start") + shape.length).alias("e")))
@@ -459,4 +459,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marked = source.join(copies, F.col("__rid") == F.col("__copy"), "left").join(lists, F.col("__rid") == F.col("__run_rid"), "left")
     marked = marked.select(*names, text.cast("binary").alias("__text_bytes"), F.col("__copy").isNotNull().alias("__is_copy"), "__runs")
     wide_schema = docs.select("*", F.lit(b"").alias("kept_bytes"), *(F.lit(0).cast("long").alias(c) for c in results[1:])).schema
-    return marked.mapInArrow(_cut(names, length), wide_schema)
+    return marked.mapInArrow(tidy(_cut(names, length)), wide_schema)

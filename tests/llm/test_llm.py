@@ -77,7 +77,7 @@ def test_mixing_targets_and_copies(spark):
         assert r.mix_copies in (int(rate), int(rate) + 1) and r.mix_copies <= 2
         taken[r.source] += r.mix_copies * r.mix_size
     for s in order:
-        assert taken[s] == pytest.approx(want[s], rel=0.25)
+        assert taken[s] == pytest.approx(want[s], rel=0.02)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(table(spark, texts, sources=sources)).collect()))
     emitted = mixing.emit(mixing.mix(table(spark, texts, sources=sources)))
     assert emitted.columns == table(spark, []).columns and emitted.count() == sum(r.mix_copies for r in rows)
@@ -349,7 +349,7 @@ def test_warc_archive_and_faults():
         writer.add(raws[-1])
     data = writer.data()
     got = list(warc.read_archive(data, step=100))
-    assert [r.headers["warc-record-id"] for r in got] == [f"<urn:x-page:{k}>" for k in range(500)]
+    assert [r.headers["warc-record-id"] for r in got] == [f"<urn:x-page:.{k}>" for k in range(500)]
     assert len(data) < 0.6 * sum(map(len, raws))
     assert data[:4] == bytes.fromhex("5d2a4d18")
     for bad in (data[:-3], b"\0" + data[1:], data[:4], data[:3000] + b"\1\2\3" + data[3003:]):
@@ -422,6 +422,7 @@ def test_sharding(spark, monkeypatch):
     texts = ["x" * rng.randrange(50) for _ in range(300)] + ["y" * 900, None]
     want = brute_shards({i: len(t or "") for i, t in enumerate(texts)}, 1000)
     for step in (18, 3):
+        monkeypatch.setattr(sharding, "FIRST", step)
         monkeypatch.setattr(sharding, "STEP", step)
         got = {r.doc_id: r for r in sharding.shard(table(spark, texts), limit=1000).collect()}
         assert {i: (r.shard, r.shard_bytes) for i, r in got.items()} == want and all(r.fits for r in got.values())
