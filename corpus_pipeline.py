@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import classifier, lines, mixing, packing, simhash
+from orrery.llm import classifier, copies, lines, mixing, packing
 from orrery.llm._work import bounded_batches, stored
 from orrery.llm.queries import table, tokenizer_path
 
@@ -29,9 +29,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least doc_id."""
+    """One document of each group of near copies stays: the one with the least doc_id. Near are texts
+    whose sets of five-word shingles have a cosine of 0.8 or more, which any at a Jaccard similarity
+    of 0.8 have."""
     bounded_batches(spark)
-    return simhash.keep_one(docs)
+    return copies.keep_one(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
