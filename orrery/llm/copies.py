@@ -113,11 +113,10 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str, out: str) -> DataFra
 
 def _compared(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between texts that share a key and are in different components, from rows (key, node,
-    root, n). A key's texts are cut in chunks of CHUNK_BYTES and compared chunk by chunk, in as many
+    root, chunks). A key's texts are cut in chunks of CHUNK_BYTES and compared chunk by chunk, in as many
     tasks as there are pairs of chunks; a task joins components as it goes, so that texts known to
     belong together are not compared."""
-    extent = rows.groupBy("key").agg(F.expr(f"1 + sum(8 * n) div {CHUNK_BYTES}").alias("chunks"))
-    cut = rows.join(extent, "key").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)"))
+    cut = rows.withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     cut = cut.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "root")
 
@@ -180,9 +179,14 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingl
         roots = components(more.unionByName(roots.toDF("a", "b")))
     # every text has met the center of each of its keys; left are those of one key that are in
     # different components still
-    rows = _rooted(met.select("key", "node", "n"), roots, "node", "root")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-    rows = stored(rows.join(mixed, "key", "left_semi"), "apart")
+    rows = stored(_rooted(met.select("key", "node", "n"), roots, "node", "root"), "rooted")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("rows"), F.expr(f"1 + sum(8 * n) div {CHUNK_BYTES}").alias("chunks"))
+    mixed = stored(mixed.where("r1 != r2").select("key", "chunks", "rows"), "mixed-keys")
+    if mixed.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(mixed.drop("rows")), "key")
+    else:
+        rows = join_counted(rows, mixed, ["key"], "rows").where("chunks is not null")
+    rows = stored(rows, "apart")
     if not rows.isEmpty():
         more = stored(_compared(rows, sets, similarity), "verified")
         if not more.isEmpty():
