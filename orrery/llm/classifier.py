@@ -21,6 +21,9 @@ from ._work import tidy
 BITS = 18
 #: Labelled rows that training takes at most, those with the least MD5 of doc_id.
 MAX_TRAINING_ROWS = 12_000
+#: Training goes through its rows until it has made so many updates, at least and at most so often: few
+#: rows need more passes for a score of 0.5 to lie between the classes.
+UPDATES, LEAST_EPOCHS, MOST_EPOCHS = 48_000, 4, 64
 SEGMENT = 1 << 20  # bytes hashed at once
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -130,8 +133,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> np.ndarray:
-    """Weights after `epochs` passes over rows of (features, label) in the order given."""
+def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> np.ndarray:
+    """Weights after `epochs` passes over rows of (features, label) in the order given; by default as many
+    as UPDATES asks for."""
+    epochs = epochs or min(MOST_EPOCHS, max(LEAST_EPOCHS, -(-UPDATES // max(1, len(rows)))))
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
     def weights(i):
@@ -141,7 +146,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4,
     bias = 1 << bits
     for _ in range(epochs):
         for x, y in rows:
-            i = np.append(x, bias)
+            i = np.append(x, bias).astype(np.int64)
             v = np.full(len(i), 1 / np.sqrt(max(1, len(x))))
             v[-1] = 1.0
             w = weights(i)
@@ -184,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", label_c
             for i, y, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "x")), strict=True):
                 if i not in seen:
                     seen.add(i)
-                    data.append((np.frombuffer(x, np.int32).astype(np.int64), y))
+                    data.append((np.frombuffer(x, np.int32), y))
         w = ftrl(data, bits) if data else np.zeros((1 << bits) + 1, np.float32)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float32())], ["i", "w"])
