@@ -36,10 +36,10 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """For jobs over long texts: Arrow batches of some 8 MB, so that a Python worker's memory doesn't
+    """For jobs over long texts: Arrow batches of some 4 MB, so that a Python worker's memory doesn't
     follow the texts' lengths. Queries and the pipeline set it; a caller of the operators may set
     its own."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def tidy(run):

@@ -29,10 +29,10 @@ OPEN_WINDOWS = 64
 LEAST_PIECE = 32
 #: So many partitions' leftovers are merged in one task: at most MERGED * OPEN_WINDOWS windows.
 MERGED = 16
-#: Entries of either cache, some 25 MB together. Beyond, the half that is asked for most stays.
-CACHED = 300_000
+#: Entries of either cache, some 12 MB together. Beyond, the half that is asked for most stays.
+CACHED = 150_000
 #: Bytes of text that are tokenized at once; a longer text is cut between words for it.
-PORTION = 2 << 20
+PORTION = 1 << 20
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part long, win long, offset long, ids binary"
 

@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # see sources.tables.aligned_unions
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
