@@ -63,12 +63,16 @@ def sample(df: DataFrame, n: int, row: str, salt: str, strata: Sequence[str] = (
 
 
 def stratified_sample(df: DataFrame, n: int, row: str, salt: str, label: str = "label") -> DataFrame:
-    """At most about n rows, classes in their shares: each keeps max(1, round(n * share)) rows."""
-    every, own = Window.partitionBy(), Window.partitionBy(label)
-    total, size = F.count(F.lit(1)).over(every), F.count(F.lit(1)).over(own)
-    quota = F.when(total <= n, size).otherwise(F.greatest(F.lit(1), F.round(n * size / total)))
-    at = F.row_number().over(own.orderBy(key(row, salt=salt), row))
-    return df.withColumn("__quota", quota).withColumn("__at", at).where(F.col("__at") <= F.col("__quota")).drop("__quota", "__at")
+    """At most about n rows, classes in their shares: each keeps max(1, round(n * share)) rows. No class
+    keeps more than n, so tasks cut their own rows to n a class before any are moved."""
+    own = Window.partitionBy(label).orderBy(key(row, salt=salt), row)
+    first = df.withColumn("__at", F.row_number().over(own)).where(F.col("__at") <= n)
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    total = sizes.agg(F.sum("__size").alias("__total"))
+    quota = F.when(F.col("__total") <= n, F.col("__size")).otherwise(F.greatest(F.lit(1), F.round(n * F.col("__size") / F.col("__total"))))
+    sizes = sizes.crossJoin(F.broadcast(total)).select(F.col(label).alias("__label"), quota.alias("__quota"))  # one row
+    kept = first.join(sizes, F.col(label).eqNullSafe(F.col("__label"))).where(F.col("__at") <= F.col("__quota"))
+    return kept.select(*df.columns)
 
 
 def folds(df: DataFrame, k: int, row: str, label: str, salt: str, keys: Sequence[str] = ()) -> DataFrame:

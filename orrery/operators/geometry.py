@@ -35,86 +35,116 @@ def per_slice(points: DataFrame, keys: Sequence[str], fn: Callable, schema: list
     return rows.groupBy(*keys).applyInArrow(run, ", ".join([*_types(points, keys), *schema]))
 
 
-def per_edge(points: DataFrame, edges: DataFrame, keys: Sequence[str], fn: Callable, schema: list[str], support: DataFrame | None = None, id_col: str = "vec_id") -> DataFrame:
+def per_edge(points: DataFrame, edges: DataFrame, keys: Sequence[str], fn: Callable, schema: list[str], support: DataFrame | None = None, id_col: str = "vec_id", graph: DataFrame | None = None, draws: int = 0) -> DataFrame:
     """For each edge (u, v) of a slice, fn(vectors, u, v, support matrix) as columns; u and v are positions
-    in order of id. The slice's edges and support travel with its points, in one cogroup."""
+    in order of id. The slice's edges and support travel with its points, in one cogroup, and so do the
+    undirected edges (u, v) of a graph, whose adjacency is then the argument `adjacent`. With draws, fn is
+    called so many times with a generator `draw` of its own, and rows have the call's number as perm_idx."""
     names = [s.split()[0] for s in schema]
     kind = points.schema[id_col].dataType.simpleString()
     rows = points.select(*[F.col(c).alias(c) for c in keys], F.col(id_col).alias("id"), "vec")
     nothing = F.lit(None).cast("double").alias("s")
-    links = edges.select(*[F.col(c).alias(c) for c in keys], "u", "v", nothing, F.lit(True).alias("edge"))
+    links = edges.select(*[F.col(c).alias(c) for c in keys], "u", "v", nothing, F.lit(0).alias("what"))
+    if graph is not None:
+        links = links.unionByName(graph.select(*[F.col(c).alias(c) for c in keys], "u", "v", nothing, F.lit(2).alias("what")))
     if support is not None:
-        links = links.unionByName(support.select(*[F.col(c).alias(c) for c in keys], F.col("source").alias("u"), F.col("target").alias("v"), F.col("support").cast("double").alias("s"), F.lit(False).alias("edge")))
+        links = links.unionByName(support.select(*[F.col(c).alias(c) for c in keys], F.col("source").alias("u"), F.col("target").alias("v"), F.col("support").cast("double").alias("s"), F.lit(1).alias("what")))
+
+    linked = graph is not None
 
     def run(key, cloud, links):
         types = {c: cloud.schema.field(c).type for c in keys}
         cloud = cloud.sort_by("id")
-        ids, at = cloud.column("id").to_numpy(), links.column("edge").to_numpy(zero_copy_only=False)
+        ids, what = cloud.column("id").to_numpy(), links.column("what").to_numpy()
+        at = what == 0
         u, v = links.column("u").to_numpy(), links.column("v").to_numpy()
         known = np.isin(u, ids) & np.isin(v, ids)
         s = np.zeros((len(ids), len(ids)))
-        own = known & ~at
+        own = known & (what == 1)
         s[np.searchsorted(ids, u[own]), np.searchsorted(ids, v[own])] = links.column("s").to_numpy(zero_copy_only=False)[own]
         eu, ev = u[known & at], v[known & at]
-        out = fn(_matrix(cloud), np.searchsorted(ids, eu), np.searchsorted(ids, ev), s) if len(eu) and len(ids) > 3 else None
-        n = len(eu) if out else 0
-        if not out:
-            eu, ev, out = eu[:0], ev[:0], {c: np.empty(0) for c in names}
-        return pa.table({c: pa.array([k.as_py()] * n, types[c]) for c, k in zip(keys, key, strict=True)} | {"u": pa.array(eu), "v": pa.array(ev)} | {c: pa.array(np.asarray(out[c], float)) for c in names})
-
+        more = {}
+        if linked:
+            a, ends = np.zeros((len(ids), len(ids)), bool), known & (what == 2)
+            i, j = np.searchsorted(ids, u[ends]), np.searchsorted(ids, v[ends])
+            a[i, j] = a[j, i] = True
+            more["adjacent"] = a
+        p, at_u, at_v = _matrix(cloud), np.searchsorted(ids, eu), np.searchsorted(ids, ev)
+        if not len(eu) or len(ids) <= 3:
+            eu, ev, made = eu[:0], ev[:0], [{c: np.empty(0) for c in names}]
+        elif draws:
+            made = [fn(p, at_u, at_v, s, draw=np.random.default_rng([7907, r]), **more) for r in range(draws)]
+        else:
+            made = [fn(p, at_u, at_v, s, **more)]
+        n = len(eu) * len(made)
+        out = {c: pa.array([k.as_py()] * n, types[c]) for c, k in zip(keys, key, strict=True)} | {"u": pa.array(np.tile(eu, len(made))), "v": pa.array(np.tile(ev, len(made)))}
+        out |= {c: pa.array(np.concatenate([np.asarray(m[c], float) for m in made])) for c in names}
+        return pa.table(out | ({"perm_idx": pa.array(np.repeat(np.arange(len(made), dtype=np.int32), len(eu)))} if draws else {}))
+
+    schema = [*schema, "perm_idx int"] if draws else schema
     return rows.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInArrow(run, ", ".join([*_types(points, keys), f"u {kind}", f"v {kind}", *schema]))
 
 
-def _geodesic(p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _geodesic(p: np.ndarray, k: int, adjacent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d = K.pairwise(p)
-    w = K.connect(K.knn_adjacency(d, k), d)
+    w = K.connect(K.knn_adjacency(d, k) if adjacent is None else np.where(adjacent, d, np.inf), d)
     g, before = K.shortest_paths(w)
     return d, g, before
 
 
 EDGE_GEOMETRY = [
     "euclidean double", "geodesic double", "detour double", "hops double", "deficit double", "defect_median double", "defect_tail double",
-    "defect_close double", "defect_dispersion double", "defect_span double", "diffusion double", "base_score double",
+    "defect_close double", "defect_dispersion double", "defect_span double", "diffusion double", "base_score double", "support_score double",
 ]
 
 
-def edge_geometry(points: DataFrame, edges: DataFrame, keys: Sequence[str], support: DataFrame | None = None, k: int = 12, steps: int = 2, id_col: str = "vec_id") -> DataFrame:
+def edge_geometry(points: DataFrame, edges: DataFrame, keys: Sequence[str], support: DataFrame | None = None, k: int = 12, steps: int = 2, id_col: str = "vec_id", draws: int = 0, graph: DataFrame | None = None) -> DataFrame:
     """Euclidean and geodesic distance of each edge, their ratio, hops, ball deficit, triangle defects,
-    distance between rows of the diffusion kernel's power, and the common baseline score."""
+    distance between rows of the diffusion kernel's power, the common baseline score, and the score of
+    length over support. With draws, the triangles' thirds are drawn so many times (perm_idx); with a graph
+    (keys, u, v), geodesics follow its edges rather than the neighbours'."""
 
-    def run(p, u, v, s):
-        d, g, before = _geodesic(p, k)
+    def run(p, u, v, s, adjacent=None, draw=None):
+        d, g, before = _geodesic(p, k, adjacent)
         near = K.knn_adjacency(d, k)
         scale = np.median(near[np.isfinite(near) & (near > 0)]) if (np.isfinite(near) & (near > 0)).any() else 1.0
         kern = np.where(np.isfinite(near), np.exp(-((np.where(np.isfinite(near), near, 0) / max(scale, 1e-12)) ** 2)), 0)
         t = np.linalg.matrix_power(kern / kern.sum(1, keepdims=True), steps)
         hops = np.array([len(K.path(before, a, b)) - 1 for a, b in zip(u.tolist(), v.tolist(), strict=True)])
+        defects = K.triangle_defects(g, u, v, draw=draw)
         return {
             "euclidean": d[u, v], "geodesic": g[u, v], "detour": g[u, v] / np.maximum(d[u, v], 1e-9), "hops": hops, "deficit": K.ball_deficit(g, u, v),
-            **K.triangle_defects(g, u, v), "diffusion": np.linalg.norm(t[u] - t[v], axis=1), "base_score": K.base_score(g, s, u, v),
+            **defects, "diffusion": np.linalg.norm(t[u] - t[v], axis=1), "base_score": K.base_score(g, s, u, v, defects), "support_score": K.support_score(g, s, u, v),
         }
 
-    return per_edge(points, edges, keys, run, EDGE_GEOMETRY, support, id_col)
+    return per_edge(points, edges, keys, run, EDGE_GEOMETRY, support, id_col, graph, draws)
 
 
 DIRECTION = ["log_ratio double", "forward double", "backward double", "hop_gap double", "support_gap double", "path_support double", "margin double"]
 
 
+def _directed(p: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shortest paths when each arc's length is divided by 0.35 + its support."""
+    d = K.pairwise(p)
+    return K.shortest_paths(K.connect(K.knn_adjacency(d, k), d) / (0.35 + np.clip(s, 0, 1)))
+
+
+def _both_ways(before: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[tuple[list[int], list[int]]]:
+    return [(K.path(before, a, b), K.path(before, b, a)) for a, b in zip(u.tolist(), v.tolist(), strict=True)]
+
+
+def _mean_support(s: np.ndarray, way: list[int]) -> float:
+    return float(np.mean([s[x, y] for x, y in zip(way[:-1], way[1:], strict=True)])) if len(way) > 1 else 0.0
+
+
 def direction_features(points: DataFrame, edges: DataFrame, keys: Sequence[str], support: DataFrame, k: int = 12, id_col: str = "vec_id") -> DataFrame:
     """Forward against backward shortest paths when each arc's length is divided by 0.35 + its support."""
 
     def run(p, u, v, s):
-        d = K.pairwise(p)
-        w = K.connect(K.knn_adjacency(d, k), d) / (0.35 + np.clip(s, 0, 1))
-        g, before = K.shortest_paths(w)
-
-        def along(a, b):
-            way = K.path(before, a, b)
-            return len(way) - 1, float(np.mean([s[x, y] for x, y in zip(way[:-1], way[1:], strict=True)]))
-
-        there, back = [along(a, b) for a, b in zip(u, v, strict=True)], [along(b, a) for a, b in zip(u, v, strict=True)]
-        h1, s1 = np.array(there).T
-        h2, s2 = np.array(back).T
+        g, before = _directed(p, s, k)
+        ways = _both_ways(before, u, v)
+        h1, h2 = (np.array([len(w[i]) - 1 for w in ways]) for i in (0, 1))
+        s1, s2 = (np.array([_mean_support(s, w[i]) for w in ways]) for i in (0, 1))
         return {
             "log_ratio": np.log((g[u, v] + 1e-9) / (g[v, u] + 1e-9)), "forward": g[u, v], "backward": g[v, u], "hop_gap": h1 - h2, "support_gap": s1 - s2,
             "path_support": (s1 + s2) / 2, "margin": s[u, v] - s[v, u],
@@ -123,30 +153,50 @@ def direction_features(points: DataFrame, edges: DataFrame, keys: Sequence[str],
     return per_edge(points, edges, keys, run, DIRECTION, support, id_col)
 
 
-def swapped_direction(df: DataFrame) -> DataFrame:
-    """direction_features() with the ends exchanged; twice gives the same again."""
-    return df.select(
-        *[c for c in df.columns if c not in {s.split()[0] for s in DIRECTION}],
-        (-F.col("log_ratio")).alias("log_ratio"), F.col("backward").alias("forward"), F.col("forward").alias("backward"), (-F.col("hop_gap")).alias("hop_gap"),
-        (-F.col("support_gap")).alias("support_gap"), "path_support", (-F.col("margin")).alias("margin"),
-    )
+#: Columns that change their sign when the ends of an edge are exchanged, besides all *_gap.
+SIGNED = ("log_ratio", "margin")
+
+
+def swapped(df: DataFrame) -> DataFrame:
+    """Directional features with the ends exchanged; twice gives the same again. Columns named for the
+    forward and the backward way, or for u and v, change places; gaps, ratios and margins their
+    sign; all others stay."""
+    other = {"forward": "backward", "backward": "forward", "u": "v", "v": "u"}
 
+    def seen(c):
+        head, _, end = c.rpartition("_")
+        if c in ("u", "v"):
+            return F.col(c)
+        if c in SIGNED or end == "gap":
+            return (-F.col(c)).alias(c)
+        twin = f"{head}_{other[end]}" if head and end in other else other.get(c)
+        return F.col(twin).alias(c) if twin in df.columns else F.col(c)
 
-TORSION = [f"{a}_{b} double" for b in ("forward", "backward") for a in ("turn", "turn_sd", "torsion_abs", "torsion")]
+    return df.select(*[seen(c) for c in df.columns])
 
 
-def path_torsion(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, id_col: str = "vec_id") -> DataFrame:
-    """Turning and torsion of each edge's shortest path in the first three components, both ways."""
+_BOTH = ("forward", "backward", "gap")
+TORSION = ["log_ratio double", "hop_gap double", "support_gap double"] + [f"{a}_{b} double" for a in ("turn", "turn_sd", "torsion_abs", "torsion") for b in _BOTH] + ["length double", "margin double"]
+
+
+def path_torsion(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, id_col: str = "vec_id", support: DataFrame | None = None) -> DataFrame:
+    """Turning and torsion of each edge's shortest path in the first three components, both ways and
+    their gap, with the ways' ratio of lengths, gaps of hops and of mean support, mean length and the
+    edge's margin. With support, arcs are as long as in direction_features()."""
+
+    aimed = support is not None
 
     def run(p, u, v, s):
-        del s
-        _, _, before = _geodesic(p, k)
+        g, before = _directed(p, s, k) if aimed else _geodesic(p, k)[1:]
         q = p - p.mean(0)
         q = q @ np.linalg.svd(q, full_matrices=False)[2][:3].T
-        rows = np.array([[*K.turning(q[K.path(before, a, b)]), *K.turning(q[K.path(before, b, a)])] for a, b in zip(u.tolist(), v.tolist(), strict=True)])
-        return {c.split()[0]: rows[:, i] for i, c in enumerate(TORSION)}
+        ways = _both_ways(before, u, v)
+        there, back = (np.array([[*K.turning(q[w[i]]), len(w[i]) - 1, _mean_support(s, w[i])] for w in ways]) for i in (0, 1))
+        turns = [x for c in range(4) for x in (there[:, c], back[:, c], there[:, c] - back[:, c])]
+        columns = [np.log((g[v, u] + 1e-8) / (g[u, v] + 1e-8)), back[:, 4] - there[:, 4], there[:, 5] - back[:, 5], *turns, (g[u, v] + g[v, u]) / 2, s[u, v] - s[v, u]]
+        return {c.split()[0]: x for c, x in zip(TORSION, columns, strict=True)}
 
-    return per_edge(points, edges, keys, run, TORSION, None, id_col)
+    return per_edge(points, edges, keys, run, TORSION, support, id_col)
 
 
 def dropped_geodesics(points: DataFrame, edges: DataFrame, keys: Sequence[str], share: float = 0.1, repeats: int = 3, k: int = 12, id_col: str = "vec_id") -> DataFrame:
@@ -287,35 +337,41 @@ def sectional_features(points: DataFrame, edges: DataFrame, keys: Sequence[str],
     return per_edge(points, edges, keys, run, SECTION, support, id_col)
 
 
-def swapped_sections(df: DataFrame) -> DataFrame:
-    """sectional_features() with the ends exchanged; twice gives the same again."""
-    turned = {c: -F.col(c) for c in ("anisotropy_gap", "planarity_gap", "omnivariance_gap", "align_gap", "margin")}
-    return df.withColumns(turned | {"align_u": F.col("align_v"), "align_v": F.col("align_u")})
+FRACTURE = [f"{a}_{b} double" for a in ("count", "density", "most", "mean_angle", "sd_angle") for b in _BOTH] + ["hops_forward double", "hops_backward double", "log_ratio double"]
 
 
-FRACTURE = ["count double", "density double", "most double", "mean_angle double", "sd_angle double"]
+def _fractures(way: np.ndarray, window: int, angle: float) -> list[float]:
+    if len(way) < max(window + 1, 4):
+        return [0.0] * 5
+    axes = []
+    for i in range(len(way) - window + 1):
+        q = way[i : i + window] - way[i : i + window].mean(0)
+        axes.append(np.linalg.svd(q, full_matrices=False)[2][0])
+    turn = np.degrees(np.arccos(np.clip([abs(x @ y) for x, y in zip(axes[:-1], axes[1:], strict=True)], 0, 1)))
+    return [(turn > angle).sum(), (turn > angle).mean(), turn.max(), turn.mean(), turn.std()]
 
 
-def path_fractures(points: DataFrame, edges: DataFrame, keys: Sequence[str], window: int = 4, angle: float = 35.0, k: int = 12, id_col: str = "vec_id") -> DataFrame:
+def path_fractures(points: DataFrame, edges: DataFrame, keys: Sequence[str], window: int = 4, angle: float = 35.0, k: int = 12, id_col: str = "vec_id", support: DataFrame | None = None) -> DataFrame:
     """Along each edge's shortest path, angles in degrees between the first axes of successive windows: how
-    many exceed `angle`, their share, the largest, mean and deviation."""
+    many exceed `angle`, their share, the largest, mean and deviation; there, back and their gap, with
+    the hops and the ways' ratio of lengths. Paths too short for two windows have no fracture."""
+
+    aimed = support is not None
 
     def run(p, u, v, s):
-        del s
-        _, _, before = _geodesic(p, k)
-        out = []
-        for a, b in zip(u.tolist(), v.tolist(), strict=True):
-            way = p[K.path(before, a, b)]
-            axes = [np.linalg.svd(way[i : i + window] - way[i : i + window].mean(0), full_matrices=False)[2][0] for i in range(max(0, len(way) - window + 1))]
-            turn = np.degrees(np.arccos(np.clip([abs(x @ y) for x, y in zip(axes[:-1], axes[1:], strict=True)], 0, 1))) if len(axes) > 1 else np.zeros(1)
-            out.append([(turn > angle).sum(), (turn > angle).mean(), turn.max(), turn.mean(), turn.std()])
-        return {c.split()[0]: x for c, x in zip(FRACTURE, np.array(out, float).T, strict=True)}
+        g, before = _directed(p, s, k) if aimed else _geodesic(p, k)[1:]
+        ways = _both_ways(before, u, v)
+        there, back = (np.array([[*_fractures(p[w[i]], window, angle), max(1, len(w[i]) - 1)] for w in ways], float) for i in (0, 1))
+        columns = [x for c in range(5) for x in (there[:, c], back[:, c], there[:, c] - back[:, c])]
+        columns += [there[:, 5], back[:, 5], np.log((g[v, u] + 1e-8) / (g[u, v] + 1e-8))]
+        return {c.split()[0]: x for c, x in zip(FRACTURE, columns, strict=True)}
 
-    return per_edge(points, edges, keys, run, FRACTURE, None, id_col)
+    return per_edge(points, edges, keys, run, FRACTURE, support, id_col)
 
 
 def path_curvature(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, id_col: str = "vec_id") -> DataFrame:
-    """(mean, least, sd, drift, hops): Forman curvature of the neighbour graph's edges along each path."""
+    """(mean, least, sd, drift, hops): Forman curvature of the neighbour graph's edges along each path;
+    drift is the distance from the first edge's to the last's. A step that is no edge has curvature 0."""
     schema = ["mean double", "least double", "sd double", "drift double", "hops double"]
 
     def run(p, u, v, s):
@@ -327,48 +383,72 @@ def path_curvature(points: DataFrame, edges: DataFrame, keys: Sequence[str], k:
         out = []
         for a, b in zip(u.tolist(), v.tolist(), strict=True):
             way = np.array(K.path(before, a, b))
-            c = 4.0 - deg[way[:-1]] - deg[way[1:]]
-            out.append([c.mean(), c.min(), c.std(), np.abs(np.diff(c)).sum(), len(c)])
+            c = np.where(np.isfinite(w[way[:-1], way[1:]]), 4.0 - deg[way[:-1]] - deg[way[1:]], 0.0)
+            out.append([c.mean(), c.min(), c.std(), abs(c[-1] - c[0]), len(c)] if len(c) else [0, 0, 0, 0, 1])
         return {c.split()[0]: x for c, x in zip(schema, np.array(out, float).T, strict=True)}
 
     return per_edge(points, edges, keys, run, schema, None, id_col)
 
 
 def edge_thinness(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, thirds: int = 24, id_col: str = "vec_id") -> DataFrame:
-    """(thinness): minus the mean slack of geodesic triangles over both ends' neighbours, at most `thirds`."""
+    """(thinness): minus the mean slack of geodesic triangles over both ends' neighbours, or over all other
+    nodes where those are fewer than three; of more than `thirds`, so many drawn by a hash of the edge and the third."""
 
     def run(p, u, v, s):
         del s
         d, g, _ = _geodesic(p, k)
-        near = K.nearest(d, k)
+        near, every = K.nearest(d, k), np.arange(len(p))
         out = []
         for a, b in zip(u.tolist(), v.tolist(), strict=True):
-            c = np.setdiff1d(np.union1d(near[a], near[b]), [a, b])[:thirds]
+            c = np.setdiff1d(np.union1d(near[a], near[b]), [a, b])
+            c = c if len(c) >= 3 else np.setdiff1d(every, [a, b])
+            if len(c) > thirds:
+                c = c[np.argsort(K.scattered(c, a, b), kind="stable")[:thirds]]
             sides = np.array([np.full(len(c), g[a, b]), g[a, c], g[b, c]])
-            out.append(-float((0.5 * np.maximum(0, sides.sum(0) - 2 * sides.max(0))).mean()) if len(c) else np.nan)
+            out.append(-float((0.5 * np.maximum(0, sides.sum(0) - 2 * sides.max(0))).mean()) if len(c) else 0.0)
         return {"thinness": out}
 
     return per_edge(points, edges, keys, run, ["thinness double"], None, id_col)
 
 
-def dimension_phase(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, id_col: str = "vec_id") -> DataFrame:
-    """(flips, hysteresis, slope_gap, level, dispersion): local dimension along each path and back."""
-    schema = ["flips double", "hysteresis double", "slope_gap double", "level double", "dispersion double"]
+PHASE = ["flips double", "hysteresis double", "slope_gap double", "length_gap double", "level double", "dispersion double"]
 
-    def run(p, u, v, s):
-        del s
-        d, _, before = _geodesic(p, k)
+
+def _flips(x: np.ndarray) -> int:
+    step = np.diff(x)
+    step = np.sign(step[np.abs(step) > 1e-6])
+    return int((step[1:] != step[:-1]).sum())
+
+
+def phase_of(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """A profile along a path and one along the way back: turns of either, mean gap between the two at
+    the same place over the mean level, sum of the rises from start to end, gap of the lengths, level
+    and dispersion."""
+    back = y[::-1]
+    m = min(len(x), len(back))
+    level = max(float(np.abs(np.concatenate([x[:m], back[:m]])).mean()), 1e-8)
+    return [
+        _flips(x) + _flips(y), float(np.abs(x[:m] - back[:m]).mean()) / level, (x[-1] - x[0]) + (y[-1] - y[0]), len(x) - len(y),
+        (x.mean() + y.mean()) / 2, (x.std() + y.std()) / 2,
+    ]
+
+
+def dimension_phase(points: DataFrame, edges: DataFrame, keys: Sequence[str], k: int = 12, id_col: str = "vec_id", support: DataFrame | None = None, draws: int = 0) -> DataFrame:
+    """(flips, hysteresis, slope_gap, length_gap, level, dispersion): local dimension along each path and back;
+    with draws in so many drawn orders of either path's values (perm_idx)."""
+
+    aimed = support is not None
+
+    def run(p, u, v, s, draw=None):
+        _, before = _directed(p, s, k) if aimed else _geodesic(p, k)[1:]
+        d = K.pairwise(p)
         near = np.sort(d + np.where(np.eye(len(p), dtype=bool), np.inf, 0), axis=1)
         local = np.clip(1 / np.log(np.maximum(near[:, 1], 1e-12) / np.maximum(near[:, 0], 1e-12) + 1e-12), 0.1, 200)
-        out = []
-        for a, b in zip(u.tolist(), v.tolist(), strict=True):
-            x, y = local[K.path(before, a, b)], local[K.path(before, b, a)]
-            step = np.sign(np.diff(x)[np.abs(np.diff(x)) > 1e-6])
-            line = lambda t: np.polyfit(np.arange(len(t)), t, 1)[0] if len(t) > 1 else 0.0
-            out.append([(step[1:] * step[:-1] < 0).sum(), abs(x.mean() - y.mean()), line(x) + line(y), x.mean(), x.std()])
-        return {c.split()[0]: x for c, x in zip(schema, np.array(out, float).T, strict=True)}
+        mixed = (lambda x: x) if draw is None else draw.permutation
+        rows = np.array([phase_of(mixed(local[there]), mixed(local[back])) for there, back in _both_ways(before, u, v)], float)
+        return {c.split()[0]: x for c, x in zip(PHASE, rows.T, strict=True)}
 
-    return per_edge(points, edges, keys, run, schema, None, id_col)
+    return per_edge(points, edges, keys, run, PHASE, support, id_col, draws=draws)
 
 
 def tangent_turns(layers: DataFrame, keys: Sequence[str], k: int = 12, dims: int = 3, order: str = "layer", id_col: str = "vec_id") -> DataFrame:

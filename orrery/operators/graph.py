@@ -4,9 +4,13 @@ aggregates, so a graph may be larger than a machine; only components() goes in r
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -110,18 +114,38 @@ def assortativity(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ends.groupBy(*keys).agg(correlation("e.a", "e.b").alias("assortativity"))
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """See to it that rounds can be written to the folder that spark.checkpoint.dir names. A local session
+    that names none (tests) gets a temporary one, deleted at its end; on a cluster that would be each
+    machine's own, so one must be named."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="orrery-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", base)
+    spark.sparkContext.setCheckpointDir(base)
+
+
+def numbered(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with the place of each row in order of a column without ties, from 0. Rows are dealt out by ranges
+    of the column, counted where they are and moved up by the ranges before: no task sees all rows. The
+    ranges are written to the session's checkpoint folder, so that they stay as they are."""
+    checkpoints(df.sparkSession)
+    ranged = df.repartitionByRange(column).withColumn("__part", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.withColumn("__before", before).drop("__n"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1
+    return ranged.withColumn("__at", place).join(starts, "__part").withColumn(out, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
+
+
 def components(edges: DataFrame, keys: Sequence[str] = (), nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node that can be reached; all slices go through the rounds together.
     A round takes the least label of the neighbours and then the label's own label. nodes adds ones
     without edges. Rounds are written to the session's checkpoint folder."""
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+    checkpoints(edges.sparkSession)
     on = list(keys)
     links = both_ways(edges, keys).checkpoint()
     every = links.select(*keys, F.col("a").alias("node")).distinct()
@@ -295,3 +319,26 @@ def hop_distances(edges: DataFrame, most: int) -> DataFrame:
         front = ahead.join(seen.select("u", "v"), ["u", "v"], "left_anti").withColumn("hops", F.lit(k))
         seen = seen.unionByName(front)
     return seen
+
+
+def hop_matrix(edges: DataFrame, nodes: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(source, target, hops) of all pairs of the given nodes, a bounded selection: steps over edges between
+    them, whatever their direction; unreachable pairs have one more than the farthest, or the number of
+    nodes where there is no edge. The frontier goes in checkpointed rounds until nothing is new."""
+    n = nodes.select("node").distinct()
+    inside = edges.join(n.withColumnRenamed("node", source), source, "left_semi").join(n.withColumnRenamed("node", target), target, "left_semi")
+    step = both_ways(undirected(inside, (), source, target)).distinct()
+    checkpoints(edges.sparkSession)
+    seen = step.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("hops")).checkpoint()
+    front, k = seen, 1
+    while not front.isEmpty():
+        k += 1
+        ahead = front.select("u", F.col("v").alias("a")).join(step, "a").select("u", F.col("b").alias("v")).where("u <> v").distinct()
+        front = ahead.join(seen.select("u", "v"), ["u", "v"], "left_anti").withColumn("hops", F.lit(k)).checkpoint()
+        seen = seen.unionByName(front)
+    size = n.agg(F.count(F.lit(1)).alias("__n"))
+    most = seen.agg(F.max("hops").alias("__most")).crossJoin(size).select(F.coalesce(F.col("__most") + 1, F.col("__n")).alias("__far"))
+    every = n.withColumnRenamed("node", "source").crossJoin(n.withColumnRenamed("node", "target")).crossJoin(F.broadcast(most))  # the result has all pairs
+    rows = every.join(seen.select(F.col("u").alias("source"), F.col("v").alias("target"), "hops"), ["source", "target"], "left")
+    hops = F.when(F.col("source") == F.col("target"), 0).otherwise(F.coalesce("hops", "__far"))
+    return rows.select("source", "target", hops.cast("double").alias("hops"))

@@ -84,6 +84,14 @@ def path(before: np.ndarray, a: int, b: int) -> list[int]:
     return out[::-1]
 
 
+def scattered(x: np.ndarray, *tags: int) -> np.ndarray:
+    """Hashes of whole numbers and tags, as draws that any run repeats."""
+    h = np.asarray(x).astype(np.uint64)
+    for t in (*tags, 0):
+        h = (h ^ (h >> np.uint64(31)) ^ np.uint64(t)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
 def without(w: np.ndarray, gone: np.ndarray) -> np.ndarray:
     w = w.copy()
     w[gone, :] = np.inf
@@ -91,24 +99,29 @@ def without(w: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return w
 
 
-def triangle_defects(g: np.ndarray, u: np.ndarray, v: np.ndarray, ks=(8, 16, 24)) -> dict[str, np.ndarray]:
-    """Relative excess of the way over a third node, for the k thirds of the shortest such way: median,
-    90 % point, share of 0.05 or less; means over the k, and their dispersion and span."""
+def triangle_defects(g: np.ndarray, u: np.ndarray, v: np.ndarray, ks=(8, 16, 24), draw: np.random.Generator | None = None) -> dict[str, np.ndarray]:
+    """Relative excess, at least 0, of the way over a third node, for the k thirds of the shortest such
+    way, or k drawn ones: median, 90 % point and share of 0.05 or less, means over the k; the mean
+    distance from median to 90 % point, and the 90 % point's growth from the first k to the last."""
+    base = np.maximum(g[u, v], 1e-8)[:, None]
+    ways = g[u] + g[v]
+    at = np.arange(len(u))
+    ways[at, u] = ways[at, v] = np.inf
+    ways = np.sort(ways, axis=1)
     med, tail, close = [], [], []
     for k in ks:
-        ways = g[u] + g[v]
-        ways[np.arange(len(u)), u] = np.inf
-        ways[np.arange(len(u)), v] = np.inf
-        base = np.maximum(g[u, v], 1e-9)[:, None]
-        kept = np.sort(ways, axis=1)[:, : min(k, ways.shape[1] - 2)]
-        excess = (kept - g[u, v][:, None]) / base
+        some = ways[:, : max(1, min(k, ways.shape[1] - 2))]
+        if draw is not None:
+            some = np.take_along_axis(ways, np.argsort(draw.random((len(u), ways.shape[1] - 2)), axis=1)[:, : some.shape[1]], axis=1)
+        excess = np.maximum((some - base) / base, 0)
         med.append(np.quantile(excess, 0.5, axis=1))
         tail.append(np.quantile(excess, 0.9, axis=1))
         close.append((excess <= 0.05).mean(axis=1))
-    med, tail, close = np.array(med), np.array(tail), np.array(close)
+    none = (u == v) | (ways.shape[1] < 3)
+    med, tail, close = (np.where(none, 0.0, np.array(x)) for x in (med, tail, close))
     return {
         "defect_median": med.mean(0), "defect_tail": tail.mean(0), "defect_close": close.mean(0),
-        "defect_dispersion": med.std(0), "defect_span": med.max(0) - med.min(0),
+        "defect_dispersion": (tail - med).mean(0), "defect_span": tail[-1] - tail[0],
     }
 
 
@@ -117,18 +130,22 @@ def z(x: np.ndarray) -> np.ndarray:
     return np.zeros_like(x) if not np.isfinite(s) or s < 1e-8 else np.nan_to_num((x - np.nanmean(x)) / s)
 
 
-def base_score(g: np.ndarray, support: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The common baseline of an edge: near, supported, with a clear direction and flat triangles.
-    support[i, j] is directed."""
-    f = triangle_defects(g, u, v)
-    s = (support[u, v] + support[v, u]) / 2
+def base_score(g: np.ndarray, support: np.ndarray, u: np.ndarray, v: np.ndarray, f: dict[str, np.ndarray]) -> np.ndarray:
+    """The common baseline of an edge: near, supported from u to v, with a clear direction and flat
+    triangles. support[i, j] is directed; f: triangle_defects()."""
     margin = np.abs(support[u, v] - support[v, u])
     return (
-        z(-g[u, v]) + 0.75 * z(s) + 0.35 * z(margin) + 0.35 * z(-f["defect_median"]) + 0.25 * z(-f["defect_tail"])
+        z(-g[u, v]) + 0.75 * z(support[u, v]) + 0.35 * z(margin) + 0.35 * z(-f["defect_median"]) + 0.25 * z(-f["defect_tail"])
         + 0.2 * z(f["defect_close"]) + 0.1 * z(-f["defect_span"]) + 0.1 * z(-f["defect_dispersion"])
     )
 
 
+def support_score(g: np.ndarray, support: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """An edge's length over its support, its support both ways and its direction's clearness."""
+    s = np.clip((support[u, v] + support[v, u]) / 2, 0, 1)
+    return z(-g[u, v] / (0.35 + s)) + 0.7 * z(s) + 0.3 * z(np.abs(support[u, v] - support[v, u]))
+
+
 def ball_deficit(g: np.ndarray, u: np.ndarray, v: np.ndarray, k: int = 8) -> np.ndarray:
     """1 - Jaccard of the balls that reach the k-th neighbour of either end."""
     radius = np.sort(g, axis=1)[:, min(k, len(g) - 1)]
@@ -138,21 +155,26 @@ def ball_deficit(g: np.ndarray, u: np.ndarray, v: np.ndarray, k: int = 8) -> np.
 
 
 def turning(points: np.ndarray) -> tuple[float, float, float, float]:
-    """Mean and deviation of the turning angle, mean absolute and mean torsion along a path in 3-d."""
+    """Mean and deviation of the turning angle, mean absolute and mean torsion along a path in 3-d. A
+    step without length is at a right angle to all; torsion is asked of three steps that span space
+    and is 0 where they lie in a plane."""
     p = points[:, :3]
     if p.shape[1] < 3:
         p = np.pad(p, ((0, 0), (0, 3 - p.shape[1])))
     e = np.diff(p, axis=0)
-    length = np.linalg.norm(e, axis=1)
-    e = e[length > 1e-10] / length[length > 1e-10, None]
     if len(e) < 2:
         return 0.0, 0.0, 0.0, 0.0
+    length = np.linalg.norm(e, axis=1, keepdims=True)
+    e = np.where(length < 1e-10, 0.0, e / np.maximum(length, 1e-10))
     turn = np.arccos(np.clip((e[1:] * e[:-1]).sum(1), -1, 1))
-    if len(e) < 3:
-        return float(turn.mean()), float(turn.std()), 0.0, 0.0
     n = np.cross(e[:-1], e[1:])
-    m = np.cross(n[:-1], e[1:-1])
-    torsion = np.arctan2((m * n[1:]).sum(1), (n[:-1] * n[1:]).sum(1))
+    a, b, mid = n[:-1], n[1:], e[1:-1]
+    size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    ok = size >= 1e-10
+    if not ok.any():
+        return float(turn.mean()), float(turn.std()), 0.0, 0.0
+    side = np.sign((np.cross(a, b) * mid).sum(1))[ok]
+    torsion = side * np.arccos(np.clip((a * b).sum(1)[ok] / size[ok], -1, 1))
     return float(turn.mean()), float(turn.std()), float(np.abs(torsion).mean()), float(torsion.mean())
 
 
@@ -214,9 +236,9 @@ def zigzag_h1(n: int, first: set, second: set) -> dict[str, float]:
     return {"first": a, "second": b, "union": both, "long": one, "total": float(a + b + both - one)}
 
 
-def double_edge_swaps(edges: np.ndarray, n: int, uniform: np.ndarray) -> np.ndarray:
+def double_edge_swaps(edges: np.ndarray, n: int, uniform: np.ndarray, stratum=None) -> np.ndarray:
     """Swap ends of pairs of edges as the rows of uniform (three numbers in [0, 1)) say, where neither a
-    loop nor a double edge comes of it. Degrees stay."""
+    loop nor a double edge comes of it. Degrees stay; with stratum(a, b) the strata of both edges do too."""
     edges = edges.copy()
     held = {(min(a, b), max(a, b)) for a, b in edges.tolist()}
     for x, y, side in uniform:
@@ -227,12 +249,37 @@ def double_edge_swaps(edges: np.ndarray, n: int, uniform: np.ndarray) -> np.ndar
         new = [(min(a, d), max(a, d)), (min(c, b), max(c, b))]
         if i == j or a == d or c == b or new[0] == new[1] or new[0] in held or new[1] in held:
             continue
+        if stratum is not None and sorted((stratum(a, b), stratum(c, d))) != sorted((stratum(*new[0]), stratum(*new[1]))):
+            continue
         held -= {(min(a, b), max(a, b)), (min(c, d), max(c, d))}
         held |= set(new)
         edges[i], edges[j] = (a, d), (c, b)
     return edges
 
 
+def parts(edges: np.ndarray) -> int:
+    """Components of the graph that the edges make of their ends."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges.tolist():
+        root[find(a)] = find(b)
+    return sum(find(x) == x for x in list(root))
+
+
+def doubly_stochastic(n: int, draw: np.random.Generator, rounds: int = 30) -> np.ndarray:
+    """A random positive matrix whose rows and columns have all the same sum, 1 together."""
+    m = draw.random((n, n)) + 1e-8
+    for _ in range(rounds):
+        m = m / np.maximum(m.sum(1, keepdims=True), 1e-12)
+        m = m / np.maximum(m.sum(0, keepdims=True), 1e-12)
+    return m / max(m.sum(), 1e-12)
+
+
 def assignment(cost: np.ndarray) -> np.ndarray:
     """Column of each row in a least-cost matching (shortest augmenting paths), rows <= columns."""
     n, m = cost.shape

@@ -3,6 +3,7 @@ AUC, and null families over them."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import auc, quantile
 from . import kernels as K
+from .vectors import _matrix
 
 
 def cv_logistic(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], baseline: str | None = None, l1: float = 0.0, l2: float = 1e-3) -> DataFrame:
@@ -111,16 +113,125 @@ def subset_delta_auc(df: DataFrame, label: str, base: str, other: str, keys: Seq
     return rows.select(*keys, "n", F.when(F.col("n") >= least, F.col("b") - F.col("a")).alias("delta_auc"))
 
 
-def rewired(edges: DataFrame, keys: Sequence[str], swaps_per_edge: int = 4, replicate: int = 0) -> DataFrame:
-    """(keys, u, v): each slice's undirected edges after double-edge swaps that keep every degree."""
+def _generator(keys: Sequence[str], key, draw: str | None, *seed: int) -> np.random.Generator:
+    """Of the seed, and of the value of the key column `draw` if there is one."""
+    return np.random.default_rng([*seed, *([int(key[list(keys).index(draw)].as_py())] if draw else [])])
+
+
+def rewired(edges: DataFrame, keys: Sequence[str], swaps_per_edge: int = 4, replicate: int = 0, draw: str | None = None) -> DataFrame:
+    """(keys, u, v): each slice's undirected edges after double-edge swaps that keep every degree. Slices of
+    another value of the key column `draw` are swapped in another way."""
 
     def run(key, table):
         e = np.column_stack([table.column("u").to_numpy(), table.column("v").to_numpy()])
         e = e[np.lexsort((e[:, 1], e[:, 0]))]
-        rng = np.random.default_rng(7919 + replicate)
+        rng = _generator(keys, key, draw, 7919 + replicate)
         out = K.double_edge_swaps(e, 0, rng.random((swaps_per_edge * len(e), 3)))
         n = len(out)
         return pa.table({c: pa.array([v.as_py()] * n, table.schema.field(c).type) for c, v in zip(keys, key, strict=True)} | {"u": out.min(1), "v": out.max(1)})
 
     kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in [*keys, "u", "v"])
     return edges.select(*keys, "u", "v").groupBy(*keys).applyInArrow(run, kinds)
+
+
+def linear_predict(train: DataFrame, test: DataFrame, features: Sequence[str], y: str, out: str = "predicted") -> DataFrame:
+    """test with least-squares predictions learnt from train; null where train has fewer than 3 rows. The
+    sums of products are one aggregate; only they, (features + 1) squared numbers, are solved in one task."""
+    names = ["__1", *features]
+    t = train.select(F.lit(1.0).alias("__1"), *[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("double").alias("__y")).na.drop()
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = t.agg(F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs], *[F.sum(F.col(a) * F.col("__y")) for a in names]).alias("s"), F.count(F.lit(1)).alias("n"))
+
+    def solve(batches):
+        for b in batches:
+            found = []
+            for s, n in zip(b.column("s").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if n < 3:
+                    found.append(None)
+                    continue
+                m, k = np.zeros((len(names), len(names))), len(pairs)
+                for (x, z), v in zip(pairs, s[:k], strict=True):
+                    m[names.index(x), names.index(z)] = m[names.index(z), names.index(x)] = v
+                found.append(np.linalg.lstsq(m, np.array(s[k:]), rcond=None)[0].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64()))], ["__w"])
+
+    w = sums.mapInArrow(solve, "__w array<double>")
+    total = F.col("__w")[0]
+    for i, f in enumerate(features):
+        total = total + F.col("__w")[i + 1] * F.col(f)
+    return test.crossJoin(F.broadcast(w)).withColumn(out, total).drop("__w")  # one row
+
+
+def rewired_in_strata(edges: DataFrame, strata: DataFrame, keys: Sequence[str], swaps_per_edge: int = 4, replicate: int = 0, draw: str | None = None) -> DataFrame:
+    """(keys, u, v): double-edge swaps that keep every degree and the number of edges of each stratum;
+    strata: (keys, u, v, stratum) of all pairs u < v that may be an edge, unlisted ones are stratum -1."""
+
+    def run(key, left, right):
+        e = np.column_stack([left.column("u").to_numpy(), left.column("v").to_numpy()])
+        e = e[np.lexsort((e[:, 1], e[:, 0]))]
+        of = {(a, b): s for a, b, s in zip(*(right.column(c).to_pylist() for c in ("u", "v", "stratum")), strict=True)}
+        draws = _generator(keys, key, draw, 7919 + replicate).random((swaps_per_edge * len(e), 3))
+        out = K.double_edge_swaps(e, 0, draws, lambda a, b: of.get((min(a, b), max(a, b)), -1))
+        n = len(out)
+        return pa.table({c: pa.array([v.as_py()] * n, left.schema.field(c).type) for c, v in zip(keys, key, strict=True)} | {"u": out.min(1) if n else e[:0, 0], "v": out.max(1) if n else e[:0, 0]})
+
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in [*keys, "u", "v"])
+    right = strata.select(*keys, "u", "v", "stratum")
+    return edges.select(*keys, "u", "v").groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, kinds)
+
+
+def rewired_to_lengths(edges: DataFrame, points: DataFrame, keys: Sequence[str], bins: int = 8, trials: int = 6, good: float = 0.1, swaps_per_edge: int = 4, replicate: int = 0, id_col: str = "vec_id", draw: str | None = None) -> DataFrame:
+    """(keys, u, v): of some rewired graphs that keep every degree and hang together, the one whose edge
+    lengths, in quantile bins of those before, are spread most like them; the first within `good`, as a
+    share of the edges. A slice none of whose trials hangs together keeps its edges."""
+
+    def run(key, left, right):
+        right = right.sort_by("id")
+        ids, p = right.column("id").to_numpy(), _matrix(right)
+        e = np.column_stack([left.column("u").to_numpy(), left.column("v").to_numpy()])
+        e = e[np.lexsort((e[:, 1], e[:, 0]))]
+        far = lambda x: np.linalg.norm(p[np.searchsorted(ids, x[:, 0])] - p[np.searchsorted(ids, x[:, 1])], axis=1)
+        cuts = np.quantile(far(e), np.linspace(0, 1, bins + 1)[1:-1]) if len(e) else np.empty(0)
+        spread = lambda x: np.bincount(np.searchsorted(cuts, far(x)), minlength=bins)
+        best, best_gap = e, np.inf
+        for t in range(trials if len(e) > 1 else 0):
+            out = K.double_edge_swaps(e, 0, _generator(keys, key, draw, 7919, replicate, t).random((swaps_per_edge * len(e), 3)))
+            if K.parts(out) > max(1, K.parts(e)):
+                continue
+            gap = np.abs(spread(out) - spread(e)).sum() / len(e)
+            if gap < best_gap:
+                best, best_gap = out, gap
+            if gap <= good:
+                break
+        n = len(best)
+        return pa.table({c: pa.array([v.as_py()] * n, left.schema.field(c).type) for c, v in zip(keys, key, strict=True)} | {"u": best.min(1) if n else e[:0, 0], "v": best.max(1) if n else e[:0, 0]})
+
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in [*keys, "u", "v"])
+    cloud = points.select(*keys, F.col(id_col).alias("id"), "vec")
+    return edges.select(*keys, "u", "v").groupBy(*keys).cogroup(cloud.groupBy(*keys)).applyInArrow(run, kinds)
+
+
+def drawn_by_degree(edges: DataFrame, keys: Sequence[str], replicate: int = 0, value: str = "distance") -> DataFrame:
+    """(keys, u, v, value): as many random edges as a slice has, ends drawn in proportion to their degrees,
+    and its values dealt to them in random order. Where draws repeat too often, the first pairs by id fill up."""
+
+    def run(key, table):
+        u, v, x = (table.column(c).to_numpy() for c in ("u", "v", value))
+        ids, degree = np.unique(np.concatenate([u, v]), return_counts=True)
+        rng = np.random.default_rng([104729, replicate])
+        share = degree / degree.sum()
+        found: set[tuple] = set()
+        for a, b in zip(*(rng.choice(len(ids), 40 * len(u), p=share).tolist() for _ in range(2)), strict=True):
+            if len(found) == len(u):
+                break
+            if a != b:
+                found.add((min(a, b), max(a, b)))
+        if len(found) < max(4, len(u) // 2):
+            rest = ((a, b) for a in range(len(ids)) for b in range(a + 1, len(ids)) if (a, b) not in found)
+            found.update(itertools.islice(rest, len(u) - len(found)))
+        e = np.array(sorted(found), np.int64).reshape(-1, 2)
+        n = len(e)
+        return pa.table({c: pa.array([k.as_py()] * n, table.schema.field(c).type) for c, k in zip(keys, key, strict=True)} | {"u": ids[e[:, 0]], "v": ids[e[:, 1]], value: rng.permutation(x)[:n]})
+
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in [*keys, "u", "v", value])
+    return edges.select(*keys, "u", "v", value).groupBy(*keys).applyInArrow(run, kinds)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import random as R
-from .graph import top_nodes
+from .graph import numbered, top_nodes
 
 
 def phase(layer: Column, n_layers: int) -> Column:
@@ -42,8 +42,8 @@ def first_seen(rows: DataFrame, symbol: str, node: str, order: str) -> DataFrame
 
 
 def positions(nodes: DataFrame, column: str = "node") -> DataFrame:
-    """Distinct nodes with their position from 0, in order; for the nodes of a slice."""
-    return nodes.select(column).distinct().withColumn("pos", F.row_number().over(Window.orderBy(column)) - 1)
+    """Distinct nodes with their position from 0, in order."""
+    return numbered(nodes.select(column).distinct(), column, "pos")
 
 
 def edges_within(edges: DataFrame, nodes: DataFrame, source: str = "source", target: str = "target") -> DataFrame:

@@ -125,16 +125,18 @@ def anchor_weights(symbols: DataFrame, listed: DataFrame, hit: DataFrame) -> Dat
     return rows.select("symbol", (1 + F.coalesce("l", F.lit(0.0)) + F.coalesce("h", F.lit(0.0))).alias("weight"))
 
 
-def obstruction(edges: DataFrame, charts: DataFrame) -> DataFrame:
+def obstruction(edges: DataFrame, charts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Edges (source, target, margin) with the mean margin of their pair of charts, how far they are from
     it, exp(-obstruction), the pair's share of all edges, and whether it joins two charts or an unknown."""
     for end in ("source", "target"):
-        edges = edges.join(charts.select(F.col("node").alias(end), F.col("chart").alias(f"c_{end}")), end, "left").na.fill(-1, [f"c_{end}"])
-    w = Window.partitionBy("c_source", "c_target")
-    gap = F.abs(F.col("margin") - F.avg("margin").over(w))
-    return edges.select(
-        "source", "target", gap.alias("obstruction"), F.exp(-gap).alias("compatibility"),
-        (F.count(F.lit(1)).over(w) / F.count(F.lit(1)).over(Window.partitionBy())).alias("frequency"),
+        edges = edges.join(charts.select(*keys, F.col("node").alias(end), F.col("chart").alias(f"c_{end}")), [*keys, end], "left").na.fill(-1, [f"c_{end}"])
+    pair = [*keys, "c_source", "c_target"]
+    means = edges.groupBy(*pair).agg(F.avg("margin").alias("__m"), F.count(F.lit(1)).alias("__n"))
+    total = means.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    means = means.join(total, list(keys)) if keys else means.crossJoin(F.broadcast(total))  # one row
+    gap = F.abs(F.col("margin") - F.col("__m"))
+    return edges.join(means, pair).select(
+        *keys, "source", "target", gap.alias("obstruction"), F.exp(-gap).alias("compatibility"), (F.col("__n") / F.col("__all")).alias("frequency"),
         (F.col("c_source") != F.col("c_target")).cast("int").alias("boundary"), F.least("c_source", "c_target").alias("lowest_chart"),
     )
 

@@ -47,6 +47,16 @@ def betti_curve(pairs: DataFrame, nodes: DataFrame, shares: Sequence[float], key
     return ranks.select(*keys, "level", F.col("n_components").alias("betti0"), F.col("rank").alias("betti1"), "n_nodes")
 
 
+def cycle_surrogate(pairs: DataFrame, nodes: DataFrame, shares: Sequence[float], keys: Sequence[str] = (), value: str = "distance", least: int = 8) -> DataFrame:
+    """(keys, mean, most): cycle ranks of a slice's graphs over the quantiles of value; null under `least` nodes or pairs."""
+    b = betti_curve(pairs, nodes, shares, keys, value).groupBy(*keys).agg(F.avg("betti1").alias("__mean"), F.max("betti1").cast("double").alias("__most"))
+    n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    m = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
+    rows = b.join(n, list(keys)).join(m, list(keys)) if keys else b.crossJoin(n).crossJoin(m)
+    enough = (F.col("__n") >= least) & (F.col("__m") >= least)
+    return rows.select(*keys, F.when(enough, F.col("__mean")).alias("mean"), F.when(enough, F.col("__most")).alias("most"))
+
+
 def bifiltration_curve(pairs: DataFrame, nodes: DataFrame, shares: Sequence[float], support_shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     f = bifiltration(pairs, shares, support_shares, keys)
     near, strong = thresholds(pairs, "distance", shares, keys), thresholds(pairs, "support", support_shares, keys, "s_level")

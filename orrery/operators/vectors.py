@@ -45,9 +45,10 @@ def knn(points: DataFrame, k: int, keys: Sequence[str] = (), id_col: str = "vec_
     """(keys, id, neighbour, distance, rank): the k nearest others, ties by id. metric: euclidean or cosine."""
     size = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__blocks"))
     dealt = (points.join(size, list(keys)) if keys else points.crossJoin(size)).select(*keys, F.col(id_col).alias("id"), "vec", "__blocks", F.pmod(F.xxhash64(id_col), F.col("__blocks")).alias("__own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    queries = dealt.select(*keys, F.col("__own").alias("qb"), other.alias("db"), "id", "vec", F.lit(0).alias("side"))
-    data = dealt.select(*keys, other.alias("qb"), F.col("__own").alias("db"), "id", "vec", F.lit(1).alias("side"))
+    # each point once as a query against every block, and once as data for every block's queries
+    roles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__blocks").cast("long") - 1), lambda o: F.array(
+        F.struct(F.col("__own").alias("qb"), o.alias("db"), F.lit(0).alias("side")), F.struct(o.alias("qb"), F.col("__own").alias("db"), F.lit(1).alias("side"))))
+    dealt = dealt.select(*keys, "id", "vec", F.explode(F.flatten(roles)).alias("r")).select(*keys, "r.qb", "r.db", "id", "vec", "r.side")
     schema = ", ".join([*(f"{c} {points.schema[c].dataType.simpleString()}" for c in keys), f"id {points.schema[id_col].dataType.simpleString()}", f"neighbour {points.schema[id_col].dataType.simpleString()}", "distance double"])
     names = [*keys, "id", "neighbour", "distance"]
 
@@ -67,7 +68,8 @@ def knn(points: DataFrame, k: int, keys: Sequence[str] = (), id_col: str = "vec_
         out = {c: pa.array([v.as_py()] * len(row), table.schema.field(c).type) for c, v in zip(keys, key, strict=False)}
         return pa.table(out | {"id": pa.array(qi[row]), "neighbour": pa.array(di[col]), "distance": pa.array(dist[row, col])})
 
-    found = queries.unionByName(data).groupBy(*keys, "qb", "db").applyInArrow(near, schema)
+    # dealt out by pairs of blocks, not by the slices that the counts were joined on
+    found = dealt.repartition(*keys, "qb", "db").groupBy(*keys, "qb", "db").applyInArrow(near, schema)
     w = Window.partitionBy(*keys, "id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

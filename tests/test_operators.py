@@ -43,9 +43,9 @@ def test_direction_swaps(cloud, edges, support):
     there = G.direction_features(cloud, edges, ["layer"], support, k=4)
     turned = edges.select("layer", F.col("v").alias("u"), F.col("u").alias("v"))
     other = back(G.direction_features(cloud, turned, ["layer"], support, k=4), names)
-    swapped = back(G.swapped_direction(there), names)
+    swapped = back(G.swapped(there), names)
     assert all(other[(k[0], k[2], k[1])] == pytest.approx(v) for k, v in swapped.items())
-    twice = back(G.swapped_direction(G.swapped_direction(there)), names)
+    twice = back(G.swapped(G.swapped(there)), names)
     assert all(v == pytest.approx(twice[k]) for k, v in back(there, names).items())
 
 
@@ -54,7 +54,7 @@ def test_sections_swap(cloud, edges, support):
     there = G.sectional_features(cloud, edges, ["layer"], support, k=6)
     turned = edges.select("layer", F.col("v").alias("u"), F.col("u").alias("v"))
     other = back(G.sectional_features(cloud, turned, ["layer"], support, k=6), names)
-    assert all(other[(k[0], k[2], k[1])] == pytest.approx(v) for k, v in back(G.swapped_sections(there), names).items())
+    assert all(other[(k[0], k[2], k[1])] == pytest.approx(v) for k, v in back(G.swapped(there), names).items())
 
 
 @pytest.mark.parametrize("f", [G.path_torsion, G.path_fractures, G.path_curvature, G.edge_thinness, G.dimension_phase, G.dropped_geodesics])
