@@ -163,9 +163,9 @@ def relabel(df: DataFrame, node: str, degree: str, name: str, replicate: str, ke
     return R.permuted(binned.withColumn("__n", F.col(node)), ["__n"], node, name, [*keys, "__bin"], replicate).select(*keys, replicate, node, F.col("__n_perm").alias(f"{node}_perm"))
 
 
-def rewire(edges: DataFrame, keys: Sequence[str], replicate: int) -> DataFrame:
-    """Undirected edges after swaps that keep every degree."""
-    return models.rewired(edges, keys, replicate=replicate)
+def rewire(edges: DataFrame, keys: Sequence[str], replicate: str) -> DataFrame:
+    """Undirected edges, fanned out by replicate, after swaps that keep every degree."""
+    return models.rewired(edges, [*keys, replicate], draw=replicate)
 
 
 def axis(vec: str, node: str, name: str, replicate: str) -> Column:

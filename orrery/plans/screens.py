@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,8 @@ from pyspark.sql.window import Window
 from ..functions import expressions as X
 from ..functions import random as R
 from ..functions.stats import degree_bins, rank_bins
-from ..operators import alignment, geometry, graph, models, topology, vectors
+from ..operators import alignment, descriptors, geometry, graph, models, topology, vectors
+from ..operators import support as support_ops
 from . import audit, nulls
 
 # The hypotheses, each with its family and the null families that it names.
@@ -322,10 +322,15 @@ def dimension(s: Slices):
     return _ends(s, *NODES["intrinsic_dimensionality"](s))
 
 
-def filtration(s: Slices):
+def _trajectories(s: Slices) -> DataFrame:
     e = vectors.knn_edges(_near(s), s.keys)
     nodes = s.points.select(*s.keys, F.col("vec_id").alias("node"))
-    rows = topology.trajectory_shape(topology.edge_connectivity(s.edges, e, nodes, [0.1, 0.25, 0.5, 0.75], s.keys))
+    rows = topology.edge_connectivity(s.edges, e, nodes, [0.1, 0.25, 0.5, 0.75], s.keys)
+    return rows.withColumn("edge", F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string")))
+
+
+def filtration(s: Slices):
+    rows = topology.trajectory_shape(_trajectories(s))
     rows = rows.withColumn("onset", F.col("onset").cast("double"))
     return _on_edges(s, rows, ["area", "onset", "slope"])
 
@@ -393,8 +398,98 @@ FEATURES: dict[str, Callable[[Slices], tuple[DataFrame, list[str]]]] = {
 }
 
 
+def _named(schema: Sequence[str]) -> list[str]:
+    return [c.split()[0] for c in schema]
+
+
+def directions(s: Slices):
+    """Shortest paths there and back, their lengths over support."""
+    return _on_edges(s, geometry.direction_features(s.points, s.edges, s.keys, s.support, s.k), _named(geometry.DIRECTION))
+
+
+def torsion(s: Slices):
+    """Turning and torsion of the paths there and back."""
+    return _on_edges(s, geometry.path_torsion(s.points, s.edges, s.keys, s.k, support=s.support), _named(geometry.TORSION))
+
+
+def fractures(s: Slices):
+    """Breaks between the first axes of successive windows of the paths there and back."""
+    return _on_edges(s, geometry.path_fractures(s.points, s.edges, s.keys, k=s.k, support=s.support), _named(geometry.FRACTURE))
+
+
+def _phase(s: Slices, draws: int = 0) -> DataFrame:
+    by = [*s.keys, "u", "v"]
+    near = geometry.edge_geometry(s.points, s.edges, s.keys, s.support, s.k).select(*by, "base_score")
+    rows = geometry.dimension_phase(s.points, s.edges, s.keys, s.k, support=s.support, draws=draws).join(near, by)
+    made = descriptors.phase_model(F.col("base_score"), {c: F.col(c) for c in _named(geometry.PHASE)})
+    return rows.select(*by, *(["perm_idx"] if draws else []), *[c.alias(f"phase_{n}") for n, c in made.items()])
+
+
+PHASE_NAMES = [f"phase_{c}" for c in ("base", *_named(geometry.PHASE), "base_hysteresis", "base_slope_gap")]
+
+
+def phases(s: Slices):
+    """Local dimension along the paths there and back, and its products with the baseline score."""
+    return _on_edges(s, _phase(s), PHASE_NAMES)
+
+
+SHEAF_NAMES = [
+    "same", "motif", "consistent", "confidence", "confident", "boundary", "unknown", "obstruction", "compatibility", "frequency",
+    "obstruction_consistent", "obstruction_confidence", "boundary_same", "score", "score_compatibility", "score_consistent_compatibility",
+]
+
+
+def _backbone(s: Slices) -> DataFrame:
+    """Edges with the same community, a support path of two steps from u to v, the margin's sign, mean
+    support, whether that is in the slice's upper quarter, and the baseline score."""
+    by = [*s.keys, "u", "v"]
+    rows, _ = modules(s)
+    hop = s.support.select(*s.keys, "source", "target")
+    motif = hop.withColumnRenamed("target", "mid").join(hop.withColumnRenamed("source", "mid"), [*s.keys, "mid"]).where("source <> target")
+    motif = motif.select(*s.keys, F.col("source").alias("u"), F.col("target").alias("v"), F.lit(1.0).alias("motif")).distinct()
+    cut = rows.groupBy(*s.keys).agg(F.percentile("strength", F.lit(0.75)).alias("__cut"))
+    score = geometry.edge_geometry(s.points, s.edges, s.keys, s.support, s.k).select(*by, F.col("base_score").alias("score"))
+    rows = rows.join(motif, by, "left").na.fill(0.0, ["motif"]).join(cut, list(s.keys)).join(score, by, "left").na.fill(0.0, ["score"])
+    return rows.select(*by, "y", "same", "motif", "margin", "score", (F.col("margin") > 0).cast("double").alias("consistent"), F.col("strength").alias("confidence"), (F.col("strength") >= F.col("__cut")).cast("double").alias("confident"))
+
+
+def _charts(s: Slices) -> DataFrame:
+    return geometry.communities(s.points, s.keys, s.k, "labels").select(*s.keys, F.col("id").alias("node"), F.col("community").alias("chart"))
+
+
+def _sheaf(s: Slices, rows: DataFrame, charts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows of _backbone() with how their margins agree with those of the same pair of charts."""
+    by = [*keys, "u", "v"]
+    o = support_ops.obstruction(rows.select(*keys, F.col("u").alias("source"), F.col("v").alias("target"), "margin"), charts, keys)
+    o = o.select(*keys, F.col("source").alias("u"), F.col("target").alias("v"), "obstruction", "compatibility", "frequency", F.col("boundary").cast("double").alias("boundary"), (F.col("lowest_chart") < 0).cast("double").alias("unknown"))
+    c = {n: F.col(n) for n in ("boundary", "unknown", "obstruction", "compatibility", "frequency")}
+    made = descriptors.sheaf_model(F.col("score"), F.col("same"), F.col("motif"), F.col("consistent"), F.col("confidence"), F.col("confident"), c)
+    made = {n.replace("base", "score", 1): v for n, v in made.items()}
+    rest = [x for x in rows.columns if x not in SHEAF_NAMES and x not in by]
+    return rows.join(o, by).select(*by, *rest, *[made[n].alias(n) for n in SHEAF_NAMES])
+
+
+def sheaf(s: Slices):
+    """How an edge's margin agrees with its charts', on the backbone of communities, motifs and support."""
+    rows = _sheaf(s, _backbone(s), _charts(s), s.keys)
+    return rows.select(*s.keys, "u", "v", "y", *SHEAF_NAMES), SHEAF_NAMES
+
+
+def signed_modules(s: Slices):
+    """The backbone of communities, two-step motifs, the margin and its sign, and support."""
+    rows = _backbone(s).withColumn("motif_same", F.col("motif") * F.col("same")).withColumn("margin_motif", F.col("margin") * F.col("motif"))
+    names = ["same", "motif", "margin", "consistent", "confidence", "confident", "motif_same", "margin_motif"]
+    return rows.select(*s.keys, "u", "v", "y", *names), names
+
+
 #: Screens whose features are not those of their family.
-OWN_FEATURES: dict[str, Callable[[Slices], tuple[DataFrame, list[str]]]] = {"H136": sections, "H139": sections, "H142": sections}
+OWN_FEATURES: dict[str, Callable[[Slices], tuple[DataFrame, list[str]]]] = {
+    "H121": directions, "H123": signed_modules, "H126": torsion, "H132": fractures, "H134": phases, "H136": sections, "H138": sheaf, "H139": sections, "H142": sections,
+}
+#: Of those the ones whose columns say by their names how they change when an edge's ends are exchanged.
+TURNED = ("H121", "H126", "H132", "H136", "H139", "H142")
+#: Null families that turn half of the edges of a bin around.
+REVERSED = ("direction_flip_within_path_length_bins", "path_reversal_within_length_bins", "path_order_permutation")
 #: Strata in which the reference permutes labels, where they are not distance bins.
 LABEL_STRATA = {"H61": ["degree_bin"], "H62": [], "H63": ["degree_bin"], "H118": ["bin", "degree_bin"], "H136": ["bin", "degree_bin"]}
 
@@ -421,8 +516,10 @@ def strata(screen: Screen, kind: str) -> list[str]:
 
 def _ends_swapped(screen: Screen, df: DataFrame) -> DataFrame:
     """Features as they are with u and v exchanged; those not named here are the same both ways."""
-    if screen.name in OWN_FEATURES:
-        return geometry.swapped_sections(df)
+    if screen.name in TURNED:
+        return geometry.swapped(df)
+    if screen.name == "H134":
+        return df.withColumns({c: -F.col(c) for c in ("phase_slope_gap", "phase_length_gap", "phase_base_slope_gap")})
     if screen.family == "cross_model_alignment":
         return df.withColumns({"there": F.col("back"), "back": F.col("there")})
     return df.withColumn("margin", -F.col("margin")) if "margin" in df.columns else df
@@ -462,6 +559,47 @@ def _layers_exchanged(nodes: DataFrame, columns: Sequence[str], kind: str, keys:
     return out.drop("__pair")
 
 
+def _layers_reordered(s: Slices, bare: DataFrame, rows: DataFrame, kind: str, names: Sequence[str], replicates: int) -> DataFrame:
+    """Each slice's features from the layer that a replicate's random order of the layers puts in its place;
+    edges that are not in that layer are left out."""
+    rest = [k for k in s.keys if k != "layer"]
+    layers = R.replicates(s.points.select("layer").distinct(), replicates)
+    by = Window.partitionBy("perm_idx")
+    place = layers.withColumn("__at", F.row_number().over(by.orderBy("layer")))
+    mover = layers.select("perm_idx", F.col("layer").alias("__from"), F.row_number().over(by.orderBy(R.key("layer", "perm_idx", salt=kind), "layer")).alias("__at"))
+    order = place.join(mover, ["perm_idx", "__at"]).drop("__at")
+    moved = rows.select(*rest, "u", "v", "perm_idx", F.col("layer").alias("__from"), *names)
+    return bare.join(F.broadcast(order), ["perm_idx", "layer"]).join(moved, [*rest, "u", "v", "perm_idx", "__from"]).drop("__from")  # a row a layer and replicate
+
+
+def _half_turned(screen: Screen, rows: DataFrame, kind: str, by: Sequence[str]) -> DataFrame:
+    """Half of the edges of each distance bin with their ends exchanged; the only edge of a bin stays."""
+    lone = F.count(F.lit(1)).over(Window.partitionBy(*by, "bin")) < 2
+    hit = (R.number("edge", "perm_idx", salt=kind) % 2 == 0) & ~lone
+    marked = rows.withColumn("__hit", hit)
+    return marked.where("not __hit").unionByName(_ends_swapped(screen, marked.where("__hit"))).drop("__hit")
+
+
+def _fanned(s: Slices, replicates: int) -> Slices:
+    """The same slices once for every replicate, with perm_idx as one more key."""
+    more = lambda df: R.replicates(df, replicates) if df is not None else None
+    return Slices(more(s.points), more(s.edges), (*s.keys, "perm_idx"), more(s.support), more(s.other), s.k)
+
+
+def _rewired(s: Slices, many: Slices, kind: str, how: str) -> DataFrame:
+    """(keys, perm_idx, u, v): the neighbour graph rewired for each replicate: matched in its edges' lengths, in
+    length bins of all pairs, or keeping degrees alone."""
+    e = vectors.knn_edges(_near(s), s.keys).select(*s.keys, "u", "v").join(many.points.select(*many.keys).distinct(), list(s.keys))
+    if how == "rewire_matched":
+        return models.rewired_to_lengths(e, many.points, many.keys, draw="perm_idx")
+    if "length" in kind:
+        far = vectors.pairs(s.points, s.keys).select(*s.keys, "u", "v", X.distance("x", "y").alias("__d"))
+        strata = far.select(*s.keys, "u", "v", rank_bins("__d", 4, list(s.keys)).alias("stratum"))
+        slices = many.points.select(*many.keys).distinct()
+        return models.rewired_in_strata(e, strata.join(slices.toDF(*many.keys), list(s.keys)), many.keys, draw="perm_idx")
+    return nulls.rewire(e, s.keys, "perm_idx")
+
+
 def remade(screen: Screen, s: Slices, rows: DataFrame, kind: str, names: Sequence[str], replicates: int) -> DataFrame | None:
     """rows, fanned out by perm_idx, with features made anew after points, layers, nodes or ends moved; None
     for a null family that moves rows of features or labels. Raises for one that has no implementation."""
@@ -478,8 +616,27 @@ def remade(screen: Screen, s: Slices, rows: DataFrame, kind: str, names: Sequenc
             turned = R.replicates(_fitted(s.points, _other(s), keys), replicates)
             turned = nulls.dimensions(turned, "vec", kind, "perm_idx") if how == "dimensions" else nulls.permutation(turned, ["vec"], "vec_id", kind, "perm_idx", keys)
         return _across(s, bare, turned, by)
-    if screen.name in OWN_FEATURES and kind == "tangent_basis_random_rotation":
+    if kind == "tangent_basis_random_rotation" and features_of(screen) is sections:
         return _random_axes(s, rows, kind, replicates)
+    if screen.name in TURNED and kind in REVERSED:
+        return _half_turned(screen, rows, kind, by)
+    if screen.name == "H134" and kind == "id_profile_permutation_along_path":
+        return bare.join(_phase(s, replicates).select(*by, "u", "v", *names), [*by, "u", "v"])
+    if screen.name == "H138" and kind == "chart_relabel_preserving_chart_size":
+        moved = nulls.permutation(R.replicates(_charts(s), replicates), ["chart"], "node", kind, "perm_idx", keys)
+        back = bare.join(_backbone(s).drop("y"), [*keys, "u", "v"])
+        return _sheaf(s, back, moved, by)
+    if screen.family == "manifold_distance" and features_of(screen) is manifold and how in ("thirds", "rewire", "rewire_matched"):
+        if how == "thirds":
+            made = geometry.edge_geometry(s.points, s.edges, s.keys, s.support, s.k, draws=replicates)
+        else:
+            many = _fanned(s, replicates)
+            made = geometry.edge_geometry(many.points, many.edges, many.keys, many.support, s.k, graph=_rewired(s, many, kind, how))
+        return bare.join(made.select(*by, "u", "v", *names), [*by, "u", "v"], "left").na.fill(0.0, names)
+    if screen.family == "topology_stability" and how == "order" and screen.name not in OWN_FEATURES:
+        shapes = nulls.order(R.replicates(_trajectories(s), replicates), "trajectory", "edge", kind, "perm_idx", shared=True)
+        shapes = topology.trajectory_shape(shapes.drop("edge")).withColumn("onset", F.col("onset").cast("double"))
+        return bare.join(shapes.select(*by, "u", "v", *names), [*by, "u", "v"], "left").na.fill(0.0, names)
     if screen.family == "module_structure" and kind == "community_size_preserving_label_shuffle":
         moved = nulls.permutation(R.replicates(_communities(s), replicates), ["community"], "node", kind, "perm_idx", keys)
         return _same(rows.drop("same"), moved, by)
@@ -495,10 +652,10 @@ def remade(screen: Screen, s: Slices, rows: DataFrame, kind: str, names: Sequenc
         if kind.startswith("endpoint_swap") or how == "swap":
             aimed = nulls.permutation(bare.withColumn("__v", F.col("v")), ["v"], "edge", kind, "perm_idx", keys, strata(screen, kind))
             return _met(aimed, many, columns, by).drop("v").withColumnRenamed("__v", "v")
-        if kind == "degree_preserving_edge_swap" and screen.family == "graph_topology":
-            e = vectors.knn_edges(_near(s), keys)
-            parts = [nulls.rewire(e, keys, r).withColumn("perm_idx", F.lit(r)) for r in range(replicates)]
-            return _met(bare, _graph_nodes(reduce(DataFrame.unionByName, parts), by), columns, by)
+        if how == "rewire" and screen.family == "graph_topology":
+            return _met(bare, _graph_nodes(_rewired(s, _fanned(s, replicates), kind, how), by), columns, by)
+    if how == "order" and kind.startswith("layer_order") and "layer" in keys:
+        return _layers_reordered(s, bare, rows, kind, names, replicates)
     if how not in ("permutation", "stratified", "sign", "draw", "columns", "swap"):
         raise NotImplementedError(f"{screen.name}: the null family {kind} ({how}) has no implementation for {screen.family}")
     return None
@@ -511,7 +668,7 @@ def resampled(screen: Screen, df: DataFrame, kind: str, features: Sequence[str],
     if kind.startswith(("label_permutation", "label_shuffle")) or kind.endswith("conditioned_label_permutation"):
         values = ["y"]
     elif screen.family == "module_structure" and "sign_shuffle" in kind and "margin" in features:
-        values = ["margin", "strength"]
+        values = [c for c in ("margin", "strength", "consistent", "margin_motif") if c in features]
     within = strata(screen, kind)
     if how == "sign":
         return nulls.sign(df, values, "edge", kind, "perm_idx")
@@ -537,7 +694,7 @@ def _binned(s: Slices, rows: DataFrame) -> DataFrame:
 
 def run(screen: Screen | str, slices: Slices, replicates: int | None = None, folds: int = 3, l1: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """(results, nulls) of a screen: cross-validated AUC of distance and features against distance alone, and
-    the same under each null family. Features are made once and cached before the fan-out; null families that
+    the same under each null family. Features are made once, and written to the checkpoint folder before the fan-out; null families that
     move points, layers or nodes make them again from what was moved."""
     screen = SCREENS[screen] if isinstance(screen, str) else screen
     replicates = REPLICATES.get(screen.name, DEFAULT_REPLICATES) if replicates is None else replicates
@@ -547,7 +704,9 @@ def run(screen: Screen | str, slices: Slices, replicates: int | None = None, fol
     rows = rows.select(*keys, "u", "v", "y", *names).join(far, [*keys, "u", "v"])
     rows = rows.withColumn("edge", F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string")))
     rows = _binned(slices, R.folds(rows, folds, "edge", "y", "fold", keys))
-    rows = rows.select(*keys, "u", "v", "edge", "y", "fold", "bin", "degree_bin", "source_bin", "base", *names).persist()
+    rows = rows.select(*keys, "u", "v", "edge", "y", "fold", "bin", "degree_bin", "source_bin", "base", *names)
+    graph.checkpoints(rows.sparkSession)
+    rows = rows.checkpoint()
     seen = models.cv_logistic(rows, ["base", *names], "y", keys, "base", l1)
     many = R.replicates(rows, replicates)
     out = None

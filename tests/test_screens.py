@@ -26,7 +26,7 @@ def slices(spark):
 def moved(slices, name, kind):
     screen = C.SCREENS[name]
     rows, names = C.features_of(screen)(slices)
-    rows = rows.withColumn("edge", F.concat_ws("-", "u", "v")).withColumn("base", F.lit(0.0)).persist()
+    rows = rows.withColumn("edge", F.concat_ws("-", "u", "v")).withColumn("base", F.lit(0.0)).withColumn("bin", F.lit(0)).persist()
     out = C.remade(screen, slices, R.replicates(rows, 2), kind, names, 2)
     assert out.count() == 2 * rows.count()
     get = lambda df, extra: {(*(r[k] for k in KEYS), r.u, r.v, *(r[x] for x in extra)): [r[n] for n in names] for r in df.collect()}
@@ -67,7 +67,35 @@ def test_families_take_the_strata_that_they_name(slices):
     assert got != {(*k, p): v for k, v in seen.items() for p in (0, 1)} and names == ["degree_mean", "degree_gap", "clustering_mean", "clustering_gap"]
 
 
-@pytest.mark.parametrize("name,kind", [("H69", "matched_random_third_nodes"), ("H72", "layer_order_permutation"), ("H51", "degree_rewire"), ("H108", "perturbation_schedule_permutation")])
+REMADE = [
+    ("H69", "matched_random_third_nodes"), ("H134", "id_profile_permutation_along_path"), ("H138", "chart_relabel_preserving_chart_size"), ("H126", "path_reversal_within_length_bins"),
+    ("H121", "direction_flip_within_path_length_bins"), ("H132", "path_order_permutation"), ("H97", "degree_plus_length_bin_swap"), ("H89", "layer_order_permutation"),
+]
+
+
+@pytest.mark.parametrize("name,kind", [x for x in REMADE if x[1] in C.SCREENS[x[0]].null_kinds])
+def test_features_are_made_again(slices, name, kind):
+    names, seen, got = moved(slices, name, kind)
+    assert set(got) == {(*k, p) for k in seen for p in (0, 1)} and all(np.isfinite(v).all() for v in got.values())
+    assert any(got[k] != pytest.approx(seen[k[:-1]]) for k in got)
+
+
+def test_turned_edges_have_the_features_of_their_exchanged_ends(slices):
+    names, seen, got = moved(slices, "H126", "path_reversal_within_length_bins")
+    turned = dict(zip(names, range(len(names)), strict=True))
+    for k, v in got.items():
+        was = seen[k[:-1]]
+        back = [-was[i] if n.endswith("gap") or n in ("log_ratio", "margin") else was[turned[n.replace("forward", "#").replace("backward", "forward").replace("#", "backward")]] for n, i in turned.items()]
+        assert v == pytest.approx(was) or v == pytest.approx(back)
+
+
+def test_layers_are_put_in_another_order(slices):
+    names, seen, got = moved(slices, "H89", "layer_order_permutation")
+    for _, layer, u, v, p in got:
+        assert any(got[0, layer, u, v, p] == pytest.approx(seen[0, other, u, v]) for other in (0, 1))
+
+
+@pytest.mark.parametrize("name,kind", [("H51", "degree_rewire"), ("H108", "perturbation_schedule_permutation"), ("H131", "cycle_order_shuffle"), ("H98", "radius_order_permutation")])
 def test_a_family_without_an_implementation_is_refused(slices, name, kind):
     with pytest.raises(NotImplementedError, match=kind):
         moved(slices, name, kind)
@@ -80,7 +108,9 @@ def test_replicates_are_the_references(slices):
 
 
 def test_the_model_screen_takes_twelve_replicates(spark, monkeypatch):
-    from orrery import queries as Q
+    from orrery import queries, registry
+
+    registry.load()
 
     class Taken(Exception):
         pass
@@ -88,6 +118,6 @@ def test_the_model_screen_takes_twelve_replicates(spark, monkeypatch):
     def take(edges, features, baseline, strata, keys, replicates=12, **rest):
         raise Taken(replicates)
 
-    monkeypatch.setattr(Q.screen, "model_screen", take)
+    monkeypatch.setattr(queries.screen, "model_screen", take)
     with pytest.raises(Taken, match="12"):
-        Q.QUERIES["cv_logit_delta"](spark, "/root/testdata/sf0.001")
+        registry.QUERIES["cv_logit_delta"](spark, "/root/testdata/sf0.001")
