@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +65,22 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return g.select(*keys, "n", *[F.col("p")[i].alias(c) for i, c in enumerate(names)])
 
 
+def box_panels(df: DataFrame, values: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, panel, least, q25, median, q75, most): boxes of several values, a panel each."""
+    long = df.select(*keys, F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("i", "x"))
+    panel = F.array(*[F.lit(v) for v in values])[F.col("i")]
+    b = box_stats(long.select(*keys, panel.alias("panel"), "x"), "x", [*keys, "panel"])
+    return b.select(*keys, "panel", F.col("low").alias("least"), "q25", "median", "q75", F.col("high").alias("most"))
+
+
+def observed_and_null(df: DataFrame, measures: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
+    """(keys, measure, observed, null_mean): means of measures beside those of their null columns, as
+    bars with a line show them."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), missing(m).alias("o"), missing(n).alias("x")) for m, n in measures.items()]))
+    long = df.select(*keys, each.alias("e"))
+    return long.groupBy(*keys, F.col("e.measure").alias("measure")).agg(F.avg("e.o").alias("observed"), F.avg("e.x").alias("null_mean"))
+
+
 def layer_bars(df: DataFrame, p: str = "p_upper", floor: float = 1e-10) -> DataFrame:
     """Rows with -log10 p for bars, and a flag for p under 5 %."""
     return df.withColumn("minus_log10_p", -F.log10(F.greatest(F.col(p), F.lit(floor)))).withColumn("significant", (F.col(p) < 0.05).cast("int"))

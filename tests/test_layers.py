@@ -2,7 +2,9 @@
 
 import pytest
 
-from orrery import queries as Q
+from orrery import registry as Q
+
+Q.load()
 
 SF = "/root/testdata/sf0.001"
 

@@ -4,9 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from orrery import queries as Q
+from orrery import registry as Q
 from orrery.sources.tables import TABLES
 
+Q.load()
+
 SF = "/root/testdata/sf0.001"
 
 
