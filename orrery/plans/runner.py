@@ -1,0 +1,72 @@
+"""Runs registered queries from a command line: `python -m orrery.plans.runner --tables DIR --out DIR NAME...`.
+
+Settings come from defaults, a JSON file (--config) and the command line, in that order. Each result is
+written as Parquet under its query's name, and an event is appended to the log for each query's end.
+"""
+
+from __future__ import annotations
+
+import argparse
+import time
+from collections.abc import Sequence
+
+from pyspark.sql import SparkSession
+
+from .. import registry
+from ..sources import files, tables
+
+DEFAULTS = {"tables": None, "out": None, "queries": [], "overwrite": False, "stop_at_error": False}
+
+
+def parsed(argv: Sequence[str] | None = None) -> dict[str, object]:
+    """Settings of a run; queries: names, or all where none is given."""
+    p = argparse.ArgumentParser(prog="orrery")
+    p.add_argument("queries", nargs="*", default=None)
+    p.add_argument("--config")
+    p.add_argument("--tables")
+    p.add_argument("--out")
+    p.add_argument("--overwrite", action="store_const", const=True)
+    p.add_argument("--stop-at-error", dest="stop_at_error", action="store_const", const=True)
+    a = vars(p.parse_args(argv))
+    config = a.pop("config")
+    a["queries"] = a["queries"] or None
+    settings = files.read_config(config, a, DEFAULTS)
+    if not settings["tables"] or not settings["out"]:
+        raise ValueError("tables and out must be given")
+    return settings
+
+
+def run(spark: SparkSession, settings: dict[str, object]) -> dict[str, str]:
+    """Each query's outcome: written, or the error's first line. Errors don't keep others from running unless
+    stop_at_error is set."""
+    registry.load()
+    names = settings["queries"] or sorted(registry.QUERIES)
+    if unknown := sorted(set(names) - set(registry.QUERIES)):
+        raise ValueError(f"unknown queries: {', '.join(unknown)}")
+    outcome: dict[str, str] = {}
+    for name in names:
+        began = time.time()
+        try:
+            df = registry.QUERIES[name](spark, str(settings["tables"]))
+            df.write.mode("overwrite" if settings["overwrite"] else "errorifexists").parquet(f"{settings['out']}/{name}")
+            outcome[name] = "written"
+        except Exception as e:
+            if settings["stop_at_error"]:
+                raise
+            outcome[name] = str(e).splitlines()[0][:200] if str(e) else type(e).__name__
+        row = [(name, outcome[name], round(time.time() - began, 3))]
+        tables.append_events(spark.createDataFrame(row, "query string, outcome string, seconds double"), f"{settings['out']}/events")
+    return outcome
+
+
+def main(argv: Sequence[str] | None = None) -> int:
+    settings = parsed(argv)
+    spark = SparkSession.builder.appName("orrery").getOrCreate()
+    outcome = run(spark, settings)
+    for name, what in outcome.items():
+        print(f"{name}: {what}")
+    return int(any(what != "written" for what in outcome.values()))
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
