@@ -464,27 +464,3 @@ def test_cascade_orders_by_rejection_per_cost():
     cascade = rules.Cascade([slow, quick], sample=20)
     assert [cascade.keeps(rules.Text(b"a b")) for _ in range(20)] == [False] * 20
     assert cascade.rules[0].name == "quick" and not cascade.keeps(rules.Text(b"a")) and cascade.keeps(rules.Text(b"a b c d e"))
-
-
-# pipeline
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, kept = docs.columns, docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, stage(spark, kept, SF).cache()
-        assert kept.columns == columns and kept.dtypes == docs.dtypes
-        if name in ("quality", "near_dedup"):
-            assert kept.exceptAll(before).count() == 0 and 0 < kept.count() <= before.count()
-        if name == "near_dedup":
-            groups = {r.doc_id: r.component_id for r in simhash.near_groups(before).collect()}
-            assert {r.doc_id for r in kept.collect()} == set(groups.values()) and kept.count() == len(set(groups.values()))
-        if name == "line_dedup":
-            want = brute_lines([(r.doc_id, r.text) for r in before.collect()])
-            assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (x[2], len(x[2])) for i, x in want.items()}
-    pieces = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in kept.collect()}
-    assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
