@@ -411,7 +411,8 @@ def minimum_tree(d: np.ndarray) -> list[tuple[int, int, float]]:
 
 def logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 0.0, rounds: int = 300, balanced: bool = True) -> np.ndarray:
     """Coefficients, intercept last and not penalised, by accelerated proximal steps on standardised
-    columns. l1 and l2 are per-row penalties."""
+    columns, which start anew where they turn back and end where they stand still. l1 and l2 are
+    per-row penalties."""
     mu, sd = x.mean(0), np.maximum(x.std(0), 1e-8)
     a = np.c_[(x - mu) / sd, np.ones(len(x))]
     w = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if balanced else np.ones(len(y))
@@ -426,7 +427,12 @@ def logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 0.0, rou
         g[:-1] += l2 * c[:-1]
         new = c - step * g
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * l1, 0)
+        moved = new - b
+        if (c - new) @ moved > 0:
+            t2 = 1.0
         old, b, t = b, new, t2
+        if np.abs(moved).max() < 1e-7 and np.abs(new - c).max() < 1e-7:
+            break
     out = b.copy()
     out[:-1] = b[:-1] / sd
     out[-1] = b[-1] - (out[:-1] * mu).sum()
