@@ -157,11 +157,11 @@ FROM p LEFT JOIN f USING (payload_digest)""",
 WITH d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM documents
 ), b AS (
-  SELECT depth, h >> (52 - depth) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM d, (SELECT unnest(range(21)) AS depth) GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT}
+  SELECT depth, h >> (52 - depth) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM d, (SELECT unnest(range(53)) AS depth) GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT} OR depth = 52
 ), l AS (
   SELECT doc_id, n_bytes, h, min(depth) AS depth FROM d JOIN b ON h >> (52 - depth) = prefix GROUP BY doc_id, n_bytes, h
 )
-SELECT doc_id, n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE left(lpad(bin(h), 52, '0'), CAST(l.depth AS INTEGER)) END AS shard, shard_bytes, true AS fits
+SELECT doc_id, n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE left(lpad(bin(h), 52, '0'), CAST(l.depth AS INTEGER)) END AS shard, shard_bytes, shard_bytes <= {sharding.LIMIT} AS fits
 FROM l JOIN b ON l.depth = b.depth AND l.h >> (52 - l.depth) = b.prefix""",
     "op10_rules": rf"""
 WITH d AS (
