@@ -3,6 +3,12 @@
 Stages: quality classifier, line dedup, SimHash near-dedup, mixing to target weights, packing. All
 but the last return the columns of documents. A stage's result is written to the shared folder and
 read again as the next one's input.
+
+Null and empty texts are texts without words, lines or tokens: they are scored by the classifier's
+bias, keep their one empty line, are near copies of each other, weigh nothing in the mix and are
+packed as an end token. Rows without an id or source, and rows that repeat one, go through as rows
+of their own; near_dedup alone leaves one of a repeated row. Ties fall by id, then by text. Empty
+tables stay empty, extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -16,7 +22,8 @@ from orrery.llm.queries import table, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, scores 0.5 or more stay."""
+    """Documents that the classifier, trained on the labelled ones, scores 0.5 or more stay; where no label can
+    be learnt from, all score 0.5 and stay."""
     model = classifier.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return classifier.score(docs, model, out="__score").where("__score >= 0.5").drop("__score")
 
@@ -37,12 +44,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat as their source's rate says."""
+    """Documents repeat as their source's rate says; those of a source without words go, as its rate is 0."""
     return mixing.emit(mixing.mix(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 4096."""
+    """Pieces of token sequences of at most 4096; each row is a document of its own, whatever its id."""
     bounded_batches(spark)
     return packing.pack(docs, tokenizer=tokenizer_path(), end=2)
 

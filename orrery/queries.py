@@ -559,7 +559,13 @@ def bifiltration_edges(spark, sf):
     return f.groupBy("level", "s_level").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("u") * 31 + F.col("v")).alias("check_sum"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADE}, {PAIRS}, d AS (SELECT unnest(q) AS cut, CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS level FROM (SELECT quantile_cont(1000.0 / w, [0.05, 0.1]) AS q FROM pairs)),
+s AS (SELECT unnest(q) AS s_cut, CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS s_level FROM (SELECT quantile_cont(CAST(w AS DOUBLE), [0.9, 0.95]) AS q FROM pairs)),
+f AS (SELECT level, s_level, u, v FROM pairs, d, s WHERE 1000.0 / w <= cut AND w >= s_cut), b AS (SELECT level, s_level, u AS a, v AS b FROM f UNION ALL SELECT level, s_level, v, u FROM f),
+n AS (SELECT level, s_level, CAST(n_nationkey AS INTEGER) AS node FROM nation, d, s),
+r AS (SELECT level, s_level, node, node AS root FROM n UNION SELECT r.level, r.s_level, b.b, r.root FROM r JOIN b ON r.level = b.level AND r.s_level = b.s_level AND r.node = b.a),
+k AS (SELECT level, s_level, count(DISTINCT root) AS betti0, count(*) AS n_nodes FROM (SELECT level, s_level, node, min(root) AS root FROM r GROUP BY ALL) GROUP BY ALL)
+SELECT level, s_level, betti0, greatest(0, (SELECT count(*) FROM f WHERE f.level = k.level AND f.s_level = k.s_level) - n_nodes + betti0) AS betti1 FROM k""")
 def bifiltration_connectivity(spark, sf):
     nodes = T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"))
     return topology.bifiltration_curve(_trade_pairs(spark, sf), nodes, [0.05, 0.1], [0.9, 0.95])
@@ -777,10 +783,18 @@ def transport_alignment(spark, sf):
     return alignment.transport(a.join(b, "slice").select("slice", "i", "j", X.distance("x", "y").alias("cost")), ["slice"]).select(*r6("cost", "monotone", "matched_cost"))
 
 
-@query()
+@query(f"""WITH {KNN}, b AS (SELECT layer, u AS node FROM knn_edges UNION ALL SELECT layer, v FROM knn_edges), n AS (SELECT layer, count(*) AS n_edges FROM knn_edges GROUP BY layer)
+SELECT layer, node, count(*) AS degree, any_value(n_edges) AS n_edges, true AS moved FROM b JOIN n USING (layer) GROUP BY ALL""")
 def degree_swap_null(spark, sf):
-    """Degrees after rewiring, which are those before."""
-    return graph.degrees(models.rewired(_edges(spark, sf), ["layer"]), ["layer"])
+    """Degrees and edges of each layer's graph after rewiring, which are as many as before, though over half
+    of the edges are others."""
+    e = _edges(spark, sf).select("layer", "u", "v")
+    graph.checkpoints(spark)
+    new = models.rewired(e, ["layer"]).checkpoint()
+    same = new.join(e, ["layer", "u", "v"], "left_semi").groupBy("layer").agg(F.count(F.lit(1)).alias("same"))
+    whole = new.distinct().groupBy("layer").agg(F.count(F.lit(1)).alias("n_edges")).join(same, "layer", "left")
+    stats = whole.select("layer", "n_edges", (2 * F.coalesce("same", F.lit(0)) < F.col("n_edges")).alias("moved"))
+    return graph.degrees(new, ["layer"]).join(F.broadcast(stats), "layer")  # a row a slice
 
 
 @query()
