@@ -82,6 +82,8 @@ def per_edge(points: DataFrame, edges: DataFrame, keys: Sequence[str], fn: Calla
         return pa.table(out | ({"perm_idx": pa.array(np.repeat(np.arange(len(made), dtype=np.int32), len(eu)))} if draws else {}))
 
     schema = [*schema, "perm_idx int"] if draws else schema
+    # dealt out anew: a union's parts may have been dealt out each in its own way
+    links = links.repartition(*keys)
     return rows.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInArrow(run, ", ".join([*_types(points, keys), f"u {kind}", f"v {kind}", *schema]))
 
 
