@@ -29,10 +29,10 @@ OPEN_WINDOWS = 64
 LEAST_PIECE = 32
 #: So many partitions' leftovers are merged in one task: at most MERGED * OPEN_WINDOWS windows.
 MERGED = 16
-#: Entries of either cache, some 12 MB together. Beyond, the half that is asked for most stays.
-CACHED = 150_000
+#: Entries of the caches, some 15 MB together. Beyond, the half that is asked for most stays.
+CACHED_WORDS, CACHED_PIECES = 100_000, 250_000
 #: Bytes of text that are tokenized at once; a longer text is cut between words for it.
-PORTION = 1 << 20
+PORTION = 3 << 19
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part long, win long, offset long, ids binary"
 
@@ -40,6 +40,7 @@ PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long,
 #: What is not plain: plain words are printable, up to U+017F but for U+0130, whose lower case is two
 #: characters; their normal form is their lower case. Others are left to the tokenizer one by one.
 ODD = regex.compile("[^\n!-~\u00a1-\u012f\u0131-\u017f]")
+ODD_RE2 = r"[^\n!-~\x{a1}-\x{12f}\x{131}-\x{17f}]"
 SPACE = regex.compile(rb"[ \t-\r]")
 
 
@@ -52,6 +53,12 @@ def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np
     return pool[places], ends
 
 
+def _joined(names: pa.Array) -> bytes:
+    """Words as lines."""
+    held = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(pa.binary()))
+    return pc.binary_join(held, b"\n")[0].as_py()
+
+
 class _Known:
     """A bounded table of strings and their ids, in Arrow and numpy."""
 
@@ -109,7 +116,7 @@ class WordTokens:
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.words, self.pieces = _Known(self._learn_words, CACHED), _Known(self._learn_pieces, CACHED)
+        self.words, self.pieces = _Known(self._learn_words, CACHED_WORDS), _Known(self._learn_pieces, CACHED_PIECES)
 
     def _one(self, word: str) -> list[int]:
         if self.whole is None:  # most texts never need it
@@ -132,15 +139,22 @@ class WordTokens:
             out.append((ids, np.diff(ends, prepend=0)) if len(ends) == len(part) else self._singly(part))
         return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
 
+    def _odd(self, names: pa.Array, text: str) -> np.ndarray:
+        """Which of the words, whose lines `text` holds, are not plain or hold a special token's text."""
+        if "\ufffd" in text:  # bytes that are no UTF-8
+            return np.array([bool(ODD.search(t)) or any(x.decode() in t for x in self.special) for t in text.split("\n")], bool)
+        odd = pc.match_substring_regex(names, ODD_RE2)
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(names, x.decode()))
+        return odd.to_numpy(zero_copy_only=False)
+
     def _learn_words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words = names.to_pylist()
-        joined = b"\n".join(words)
-        text = joined.decode("utf-8", "replace")
-        odd, lines = np.zeros(len(words), bool), None
-        if ODD.search(text) or any(x in joined for x in self.special):
-            lines = text.split("\n")
-            odd[:] = [bool(ODD.search(t)) or any(x in w for x in self.special) for t, w in zip(lines, words, strict=True)]
-            text = "\n".join(t for t, o in zip(lines, odd.tolist(), strict=True) if not o)
+        n, odd, lines = len(names), None, []
+        text = _joined(names).decode("utf-8", "replace")
+        if ODD.search(text) or any(x.decode() in text for x in self.special):
+            odd = self._odd(names.view(pa.large_string()), text)
+            lines = [w.decode("utf-8", "replace") for w in names.filter(pa.array(odd)).to_pylist()]
+            text = _joined(names.filter(pa.array(~odd))).decode()
         coded = pa.array(self.split.findall(text.lower()), pa.large_string()).dictionary_encode()
         piece, names = coded.indices.to_numpy(), coded.dictionary
         end = pc.index(names, "\n").as_py()
@@ -152,10 +166,10 @@ class WordTokens:
         pool, starts, sizes = self.pieces(names.cast(pa.large_binary()))
         ids, _ = _gathered(pool, starts, sizes, piece)
         plain = np.bincount(word, weights=sizes[piece], minlength=1).astype(np.int64)
-        if lines is None:
-            return ids, np.concatenate([plain, np.zeros(len(words) - len(plain), np.int64)])
-        more, counts = self._singly([t for t, o in zip(lines, odd.tolist(), strict=True) if o])
-        out = np.zeros(len(words), np.int64)
+        if odd is None:
+            return ids, np.concatenate([plain, np.zeros(n - len(plain), np.int64)])
+        more, counts = self._singly(lines)
+        out = np.zeros(n, np.int64)
         plain_at = np.flatnonzero(~odd)
         out[plain_at[: len(plain)]] = plain[: len(plain_at)]
         out[odd] = counts

@@ -247,7 +247,8 @@ def test_packing_long_texts_repeats_and_full_caches(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    monkeypatch.setattr(packing, "CACHED", 20)
+    for name in ("CACHED_WORDS", "CACHED_PIECES"):
+        monkeypatch.setattr(packing, name, 20)
     rng = random.Random(9)
     encode = packing.WordTokens(tokenizer_path())
     texts = [prose(rng, 50) + " Ünïque%d 漢字 x" % k for k in range(40)] + ["", "  "]
