@@ -7,10 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, exact, lines, mixing, packing, rules, sharding, simhash, substrings, warc
-from ._work import bounded_batches
+from . import classifier, exact, lines, mixing, neighbours, packing, ranking, rules, sharding, simhash, substrings, warc
+from ._work import LOWER, UPPER, bounded_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +87,17 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, report=True).select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op4_substrings, op5_exact, op6_packing, op7_warc, op8_classifier, op9_sharding, op10_rules)}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.neighbours(vectors, F.pmod("vec_id", F.lit(50)) == 0)
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = ranking.index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ranking.search(shards, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op4_substrings, op5_exact, op6_packing, op7_warc, op8_classifier, op9_sharding, op10_rules, op11_neighbours, op12_ranking)}
 
 SQL = {
     "op1_mixing": rf"""
@@ -190,4 +201,21 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT (base_failed OR 100 * n_symbols > 20 * n_words OR (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines)
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM f""",
+    "op12_ranking": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(text, '{TERM}'), lambda x: translate(x, '{UPPER}', '{LOWER}')) AS ts FROM documents
+), s AS (SELECT count(*) AS n_all, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+i AS (
+  SELECT DISTINCT item_id, text, unnest(list_transform(regexp_extract_all(text, '{TERM}'), lambda x: translate(x, '{UPPER}', '{LOWER}'))) AS term
+  FROM benchmark
+), w AS (
+  SELECT item_id, text, i.term, CAST(floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM i JOIN df ON i.term = df.term, s
+), c AS (
+  SELECT item_id, text, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_all) // l)))) AS BIGINT) AS score
+  FROM f JOIN w ON f.term = w.term, s GROUP BY item_id, text, r, doc_id
+), o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
 }
