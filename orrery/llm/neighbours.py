@@ -278,7 +278,7 @@ def build(nodes: DataFrame, k: int = 40, reverse: int = 40, width: int = 6, tree
         members = _with_reverse(lists, reverse, took)
         # a list without a fresh entry has no pair to bring together
         members = members.where(F.exists("fresh", lambda x: x))
-        named = members.select("cell", F.explode("c").alias("n")).distinct()
+        named = members.select(F.col("cell").alias("cell"), F.explode("c").alias("n")).distinct()
         known = codes.select("n", "code").join(lists.select("n", "least"), "n", "left").withColumn("least", F.coalesce("least", F.lit(-1.5).cast("float")))
         found = members.groupBy("cell").cogroup(named.join(known, "n").groupBy("cell")).applyInArrow(_meet(width), LISTS)
         lists = stored(lists.select("cell", "n", "c", "s").groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_take(k), GRAPH), "ann-lists")
