@@ -56,10 +56,16 @@ def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), out: st
     missing score are left out."""
     rows = df.where(missing(score).isNotNull() & F.col(label).isNotNull())
     counted = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("__p"), F.count(F.lit(1)).alias("__n"))
+    return counted_auc(counted, score, "__p", "__n", keys, out)
+
+
+def counted_auc(counted: DataFrame, score: str, positive: str, rows: str, keys: Sequence[str] = (), out: str = "auc") -> DataFrame:
+    """ROC AUC of each slice from how many rows, and how many positive ones, have each score."""
     w = Window.partitionBy(*keys).orderBy(score)
-    below = F.coalesce(F.sum(F.col("__n") - F.col("__p")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counted.withColumn("__w", F.col("__p") * (below + (F.col("__n") - F.col("__p")) / 2))
-    p, n = F.sum("__p"), F.sum(F.col("__n") - F.col("__p"))
+    others = F.col(rows) - F.col(positive)
+    below = F.coalesce(F.sum(others).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = counted.withColumn("__w", F.col(positive) * (below + others / 2))
+    p, n = F.sum(positive), F.sum(others)
     return wins.groupBy(*keys).agg(F.when((p > 0) & (n > 0), F.sum("__w") / (p * n)).alias(out), p.alias("n_positive"), n.alias("n_negative"))
 
 

@@ -114,18 +114,23 @@ def assortativity(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ends.groupBy(*keys).agg(correlation("e.a", "e.b").alias("assortativity"))
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """See to it that rounds can be written to the folder that spark.checkpoint.dir names. A local session
-    that names none (tests) gets a temporary one, deleted at its end; on a cluster that would be each
-    machine's own, so one must be named."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+_FOLDERS: dict[str, str] = {}
+
+
+def checkpoints(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, in which rounds are written. A local session that names
+    none (tests) gets a temporary one, deleted at its end; on a cluster that would be each machine's own,
+    so one must be named."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = tempfile.mkdtemp(prefix="orrery-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = tempfile.mkdtemp(prefix="orrery-")
+        atexit.register(shutil.rmtree, _FOLDERS[app], ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(_FOLDERS[app])
+    return _FOLDERS[app]
 
 
 def numbered(df: DataFrame, column: str, out: str) -> DataFrame:
