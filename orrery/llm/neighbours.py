@@ -20,8 +20,6 @@ id. Empty tables give empty results; columns other than the id and the vector ar
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,41 +85,57 @@ def _nearest(owner: np.ndarray, other: np.ndarray, score: np.ndarray, most: int)
     return order[np.arange(len(o)) - np.searchsorted(o, o) < most]
 
 
-def _by_owner(owner: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) -> pa.Table:
-    """Rows (cell, n, c, s) of the `most` nearest of each owner."""
+def _packed(owner: np.ndarray, other: np.ndarray, score: np.ndarray, most: int, size: int) -> pa.Table:
+    """The `most` nearest of each owner, a row for each cell (of `size` nodes) of owners."""
     at = _nearest(owner, other, score, most)
-    n, sizes = np.unique(owner[at], return_counts=True)
-    return pa.table({"cell": n // CELL, "n": n, "c": _lists(sizes, other[at], pa.int64()), "s": _lists(sizes, score[at].astype(np.float32), pa.float32())})
+    cell, sizes = np.unique(owner[at] // size, return_counts=True)
+    lists = {k: _lists(sizes, x[at], kind) for k, x, kind in (("n", owner, pa.int64()), ("c", other, pa.int64()), ("s", score.astype(np.float32), pa.float32()))}
+    return pa.table({"cell": cell, **lists})
 
 
-LISTS = "cell long, n long, c array<bigint>, s array<float>"
+FOUND = "cell long, n array<bigint>, c array<bigint>, s array<float>"
 
 
-def _leaf(most: int):
+def _leaf(most: int, size: int):
     def run(rows: pa.Table) -> pa.Table:
         n, m = rows["n"].to_numpy(), _matrix(rows["code"])
         if len(n) < 2:
-            return _by_owner(n[:0], n[:0], np.zeros(0, np.float32), most)
+            return _packed(n[:0], n[:0], np.zeros(0, np.float32), most, size)
         score = m @ m.T
         np.fill_diagonal(score, -2)
         k = min(most, len(n) - 1)
         near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        return _by_owner(np.repeat(n, k), n[near].ravel(), np.take_along_axis(score, near, 1).ravel(), most)
+        return _packed(np.repeat(n, k), n[near].ravel(), np.take_along_axis(score, near, 1).ravel(), most, size)
 
     return run
 
 
-def _meet(width: int):
+SERVED = "cell long, n array<bigint>, code binary, least array<float>"
+
+
+def _serve(asked: pa.Table, codes: pa.Table) -> pa.Table:
+    """For each cell that asks, the codes of those of this cell's nodes that it names, as one row."""
+    by, lists = asked["by"], asked["n"].combine_chunks()
+    order = np.argsort(codes["n"].to_numpy())
+    ids, m, least = codes["n"].to_numpy()[order], _matrix(codes["code"]).astype(np.float16)[order], codes["least"].to_numpy()[order]
+    row, n = _flat(lists)
+    at = np.searchsorted(ids, n)
+    ends = np.searchsorted(row, np.arange(len(by) + 1))
+    blobs = [m[at[ends[i] : ends[i + 1]]].tobytes() for i in range(len(by))]
+    return pa.table({"cell": by, "n": _lists(np.diff(ends), n, pa.int64()), "code": pa.array(blobs, pa.binary()), "least": _lists(np.diff(ends), least[at], pa.float32())})
+
+
+def _meet(width: int, cell: int):
     """At each node of a cell, the members of its list meet; a pair goes to an end where it is nearer than the
     farthest that end has, the `width` nearest of a node and list, and of a node and cell."""
 
     def run(lists: pa.Table, members: pa.Table) -> pa.Table:
-        empty = _by_owner(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), width)
         if not lists.num_rows or not members.num_rows:
-            return empty
-        ids = members["n"].to_numpy()
+            return _packed(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), width, cell)
+        ids = _flat(members["n"])[1]
         order = np.argsort(ids)
-        ids, codes, least = ids[order], _matrix(members["code"])[order], members["least"].to_numpy()[order]
+        codes = np.frombuffer(b"".join(members["code"].to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)[order]
+        ids, least = ids[order], _flat(members["least"])[1][order]
         row, c = _flat(lists["c"])
         new = _flat(lists["fresh"])[1].astype(bool)
         order = np.lexsort((~new, c, row))  # an entry that is there twice is new if either is
@@ -151,22 +165,22 @@ def _meet(width: int):
             i, j, x = np.nonzero(s > -2)
             found.append((a[i, j], other[i, j, x], s[i, j, x]))
         owner, other, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        return _by_owner(ids[owner], ids[other], score, 2 * width)
+        return _packed(ids[owner], ids[other], score, 2 * width, cell)
 
     return run
 
 
-GRAPH = f"{LISTS}, fresh array<boolean>, least float"
+GRAPH = "cell long, n long, c array<bigint>, s array<float>, fresh array<boolean>, least float"
 
 
-def _take(most: int):
+def _take(most: int, size: int):
     """The lists of a cell's nodes with what has been found for them: the `most` nearest, and which are fresh."""
 
     def run(lists: pa.Table, found: pa.Table) -> pa.Table:
-        sides = []
-        for side, table in ((0, lists), (1, found)):
-            row, c = _flat(table["c"])
-            sides.append((table["n"].to_numpy()[row], c, _flat(table["s"])[1], np.full(len(c), side, np.int8)))
+        row, c = _flat(lists["c"])
+        sides = [(lists["n"].to_numpy()[row], c, _flat(lists["s"])[1], np.zeros(len(c), np.int8))]
+        c = _flat(found["c"])[1]
+        sides.append((_flat(found["n"])[1], c, _flat(found["s"])[1], np.ones(len(c), np.int8)))
         owner, other, score, side = (np.concatenate(x) for x in zip(*sides, strict=True))
         # what was there before comes first of equal entries, so that it doesn't count as fresh
         order = np.argsort(side, kind="stable")
@@ -177,7 +191,7 @@ def _take(most: int):
         least = np.where(sizes < most, np.float32(-1.5), kept[starts + sizes - 1]) if len(n) else np.zeros(0, np.float32)
         return pa.table(
             {
-                "cell": n // CELL,
+                "cell": n // size,
                 "n": n,
                 "c": _lists(sizes, other[at], pa.int64()),
                 "s": _lists(sizes, kept, pa.float32()),
@@ -189,8 +203,8 @@ def _take(most: int):
     return run
 
 
-def _cell(n: Column) -> Column:
-    return F.floor(n / CELL).cast("long")
+def _cell(n: Column, size: int) -> Column:
+    return F.floor(n / size).cast("long")
 
 
 def _mean(nodes: DataFrame, dim: int) -> np.ndarray:
@@ -253,24 +267,29 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str, keep: int) -> DataFra
     return whole.select(F.struct(F.element_at("ids", 1).alias("id"), F.xxhash64("vec").alias("h")).alias("node"), "vec", "ids")
 
 
-def build(nodes: DataFrame, k: int = 40, reverse: int = 40, width: int = 6, trees: int = 3, still: float = 0.1, rounds: int = 10, seed: int = 11) -> dict:
+def build(nodes: DataFrame, k: int = 40, reverse: int = 40, width: int = 6, trees: int = 3, still: float = 0.1, rounds: int = 10, seed: int = 11, cell: int = CELL, leaf: int = LEAF) -> dict:
     """The graph of a table (node, vec): tables `codes` (node, n, cell, code) and `lists` (n, c), where c are the
     `k` nearest found and up to `reverse` nodes, drawn by hash, that have n as theirs; and the rounds it took.
-    Rounds end when at most the share `still` of the entries is fresh."""
+    To begin with, a node's nearest are those in its leaves in `trees` orders: random projections and, last, a random
+    order, without which leaves could be worlds of their own. Rounds end when at most the share `still` of the entries is fresh."""
     first = nodes.select(F.size("vec")).head()
     dim = first[0] if first else 1
     mean = _mean(nodes, dim)
-    codes = stored(_placed(_encoded(nodes, dim, mean, seed), "n").withColumn("cell", _cell(F.col("n"))), "ann-codes")
+    codes = stored(_placed(_encoded(nodes, dim, mean, seed), "n").withColumn("cell", _cell(F.col("n"), cell)), "ann-codes")
     total = codes.count()
     lists = None
     for t in range(trees):
-        placed = codes.withColumn("leaf", F.floor(F.col("n") / LEAF))
+        placed = codes.withColumn("leaf", F.floor(F.col("n") / leaf))
         if t:
-            own = _placed(_encoded(codes.select(F.col("n").alias("node"), "code"), dim, mean, seed + t), "at")
-            placed = own.select(F.col("node").alias("n"), "code", F.floor(F.col("at") / LEAF).alias("leaf"))
-        found = placed.groupBy("leaf").applyInArrow(_leaf(k), LISTS)
-        before = lists if lists is not None else found.limit(0)
-        lists = stored(before.select("cell", "n", "c", "s").groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_take(k), GRAPH), "ann-lists")
+            again = codes.select(F.col("n").alias("node"), "code")
+            if t == trees - 1:
+                own = _placed(again.withColumn("__sign", F.xxhash64("node", F.lit(seed))).withColumn("__along", F.lit(0.0)), "at")
+            else:
+                own = _placed(_encoded(again, dim, mean, seed + t), "at")
+            placed = own.select(F.col("node").alias("n"), "code", F.floor(F.col("at") / leaf).alias("leaf"))
+        found = placed.groupBy("leaf").applyInArrow(_leaf(k, cell), FOUND)
+        before = lists if lists is not None else codes.sparkSession.createDataFrame([], GRAPH)
+        lists = stored(before.select("cell", "n", "c", "s").groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_take(k, cell), GRAPH), "ann-lists")
     lists = lists.withColumn("fresh", F.transform("c", lambda _: F.lit(True)))
     took = 0
     while took < rounds and total > 1:
@@ -278,15 +297,17 @@ def build(nodes: DataFrame, k: int = 40, reverse: int = 40, width: int = 6, tree
         members = _with_reverse(lists, reverse, took)
         # a list without a fresh entry has no pair to bring together
         members = members.where(F.exists("fresh", lambda x: x))
-        named = members.select(F.col("cell").alias("cell"), F.explode("c").alias("n")).distinct()
-        known = codes.select("n", "code").join(lists.select("n", "least"), "n", "left").withColumn("least", F.coalesce("least", F.lit(-1.5).cast("float")))
-        found = members.groupBy("cell").cogroup(named.join(known, "n").groupBy("cell")).applyInArrow(_meet(width), LISTS)
-        lists = stored(lists.select("cell", "n", "c", "s").groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_take(k), GRAPH), "ann-lists")
+        named = members.select(F.col("cell").alias("by"), F.explode("c").alias("n"))
+        asked = named.groupBy(_cell(F.col("n"), cell).alias("cell"), F.col("by")).agg(F.collect_set("n").alias("n"))
+        known = codes.select("n", "code").join(lists.select("n", "least"), "n", "left").select(_cell(F.col("n"), cell).alias("cell"), "n", "code", F.coalesce("least", F.lit(-1.5).cast("float")).alias("least"))
+        served = asked.groupBy("cell").cogroup(known.groupBy("cell")).applyInArrow(_serve, SERVED)
+        found = members.groupBy("cell").cogroup(served.groupBy("cell")).applyInArrow(_meet(width, cell), FOUND)
+        lists = stored(lists.select("cell", "n", "c", "s").groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_take(k, cell), GRAPH), "ann-lists")
         fresh = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("c"))).first()
         if (fresh[0] or 0) <= still * (fresh[1] or 1):
             break
     both = _with_reverse(lists, reverse, 0).select("n", F.array_distinct("c").alias("c"))
-    return {"codes": codes, "lists": stored(both, "ann-graph"), "rounds": took, "dim": dim}
+    return {"codes": codes, "lists": stored(both, "ann-graph"), "rounds": took, "dim": dim, "cell": cell}
 
 
 def _with_reverse(lists: DataFrame, reverse: int, salt: int) -> DataFrame:
@@ -362,7 +383,7 @@ def search(graph: dict, queries: DataFrame, beam: int = 128) -> DataFrame:
         rest = F.expr("array_except(c, transform(nodes, x -> x.n))")
         least = F.when(F.size("nodes") < beam, F.lit(-1.5).cast("float")).otherwise(F.element_at("nodes", -1).getField("s"))
         asked = named.join(state, "q").select("q", "code", least.alias("least"), F.explode(rest).alias("c"))
-        asked = asked.groupBy("q", _cell(F.col("c")).alias("cell")).agg(F.collect_list("c").alias("c"), F.first("code").alias("code"), F.first("least").alias("least"))
+        asked = asked.groupBy("q", _cell(F.col("c"), graph["cell"]).alias("cell")).agg(F.collect_list("c").alias("c"), F.first("code").alias("code"), F.first("least").alias("least"))
         found = asked.groupBy("cell").cogroup(codes.select("cell", "n", "code").groupBy("cell")).applyInArrow(_open(beam), "q long, c array<bigint>, s array<float>")
         news = F.transform(F.arrays_zip("s", "c"), lambda x: F.struct(x.s.alias("s"), x.c.alias("n"), F.lit(False).alias("done")))
         found = found.groupBy("q").agg(F.flatten(F.collect_list(news)).alias("news"))

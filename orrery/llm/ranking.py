@@ -66,7 +66,7 @@ def _shard(number: int, ids: list, texts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, ids, lengths, vocabulary, ends.tolist(), *flat), _ARROW, strict=True)], schema=_ARROW)
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The shards of a table, stored in the shared folder."""
 
     def run(batches):
@@ -75,7 +75,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for b in batches:
             for i, t in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
                 size = len(t) if t else 0
-                if ids and held + size > SHARD_BYTES:
+                if ids and held + size > shard_bytes:
                     yield _shard(first + n, ids, texts)
                     ids, texts, held, n = [], [], 0, n + 1
                 ids.append(i)
@@ -179,18 +179,18 @@ def _answers(items: list[list[int]], weights: dict[bytes, tuple[int, int]], n_al
     return run
 
 
-def search(shards: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def search(shards: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(item_id, rank, doc_id, score) of each item's k best documents."""
     spark = shards.sparkSession
     kind = items.schema[id_col].dataType.simpleString()
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("length(text) > 0").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = math.ceil(size / BLOCK_BYTES)
+    blocks = math.ceil(size / block_bytes)
     sums = shards.select(F.size(F.filter("lengths", lambda x: x > 0)).alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.sum("n"), F.sum("l")).first()
     n_all, n_terms = sums[0] or 0, sums[1] or 0
     out = None
     for block in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # BLOCK_BYTES of text
+        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # block_bytes of text
         sets = [set(terms(x.text)) for x in own]
         found = shards.select("terms", "ends").mapInArrow(tidy(_frequencies(set().union(*sets))), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
         weights = {bytes(x.term): (i, math.floor(1000 * math.log((2 * n_all + 2) / (2 * x.df + 1)))) for i, x in enumerate(found)}
