@@ -1,30 +1,31 @@
 """Mixing sources to target weights.
 
 Words are summed per source, the target words of each source follow from the weights by water
-filling, and each document is emitted floor(rate) times plus one copy drawn by a Bernoulli trial
-whose random number is a hash of the seed and the document's id.
-
-Independent trials leave a source of ten documents 40 % off its target, so the trials of a source are
-tied to each other: its documents are taken in the order of their hashes for as long as that brings
-the source's words nearer the target. Documents of over a hundredth of their source come first, by
-halving sizes, and what they take too much or too little is made up by the smaller ones.
+filling, and each document is emitted floor(rate) times plus one copy drawn by a Bernoulli trial with
+the fraction as its probability, whose random number is a hash of the seed and the document's id.
+
+Trials of a small source may leave its words far from its target. So they are tried again, up to
+`TRIES` times, and a source keeps the first try whose words are within `NEAR` of its target, or the
+nearest. A document's number moves on from try to try by a step that is another part of its hash. Large
+sources keep an early try; the fewer and the more unequal a source's documents, the more its choice of
+a try ties their copies to each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._work import WORD, broadcast_if, join_counted, stored
+from ._work import WORD, join_counted, stored
 
 #: A source table of at most so many rows is broadcast, a larger one joined by shuffle.
 BROADCAST_SOURCES = 50_000
-#: And so many drawn large documents (some 60 MB).
-BROADCAST_LARGE = 1_000_000
+#: Tries of a source's trials, and how many one pass over the documents adds up.
+TRIES, PASS = 256, 16
+#: A try within this share of the target is near enough.
+NEAR = 0.02
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -33,19 +34,22 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Bits of a document's random number, and so many of them that one refinement of a cut takes.
-BITS, STEP = 52, 12
-#: A document of over the LARGE-th part of its source's words is drawn before the others; a source has
-#: fewer than LARGE of them.
-LARGE = 100
-#: A source's documents around its cut are put in order in one task if they are at most so many.
-ORDERED = 10_000
+#: Bits of a document's random number.
+BITS = 52
 
 
-def draw(key: Column, seed: int) -> Column:
-    """A long of 52 bits of MD5 of key and seed; the same in every run and engine. Null keys draw alike."""
+def draw(key: Column, seed: int) -> tuple[Column, Column]:
+    """Two longs of 52 bits of MD5 of key and seed, the second odd; the same in every run and engine. Null keys
+    draw alike."""
     digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    number = lambda at: F.conv(F.substring(digest, at, 13), 16, 10).cast("long")
+    return number(1), number(14).bitwiseOR(F.lit(1))
+
+
+def taken(x: Column, step: Column, trial: Column, fraction: Column) -> Column:
+    """Whether a document's trial of that number succeeds."""
+    number = (x + trial * step).bitwiseAND(F.lit((1 << BITS) - 1))
+    return number < fraction * F.lit(float(1 << BITS))
 
 
 def source_targets(
@@ -108,59 +112,29 @@ def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return join_counted(rows, sources, KEYS, "rows")
 
 
-def _large(drawn: DataFrame, sources: DataFrame) -> DataFrame:
-    """(KEYS, x, size, own, taken) of the large documents; repeats of one id and size are one, with
-    `own` words together. A source's are taken one after the other, by halving sizes and then by x,
-    where half of one's words still fits into the need of all that are so large."""
-    rows = _with_sources(drawn, sources.select(*KEYS, "rows", "source_size", "need")).where(F.col("size") * LARGE > F.col("source_size"))
-    rows = rows.groupBy(*KEYS, "x", "size").agg(F.sum("size").alias("own"), F.first("source_size").alias("source_size"), F.first("need").alias("need"))
-
-    def take(table):
-        x, size, own, total, need = (table.column(c).to_pylist() for c in ("x", "size", "own", "source_size", "need"))
-        order = sorted(range(len(x)), key=lambda i: (-size[i].bit_length(), x[i], size[i]))
-        upto: dict[int, int] = {}
-        for i in order:
-            upto[size[i].bit_length()] = sum(own[j] for j in order if size[j].bit_length() >= size[i].bit_length())
-        had, taken = 0, [False] * len(order)
-        for i in order:
-            if need[i] > 0 and had + own[i] / 2 <= need[i] * upto[size[i].bit_length()] / total[i] + 1e-6:
-                taken[i], had = True, had + own[i]
-        return table.select([*KEYS, "x", "size", "own"]).append_column("taken", pa.array(taken, pa.bool_()))
-
-    return rows.groupBy(*KEYS).applyInArrow(take, "__mix_key string, __mix_null boolean, x long, size long, own long, taken boolean")
-
-
-def cuts(drawn: DataFrame, sources: DataFrame) -> DataFrame:
-    """KEYS and cut: from rows (KEYS, x, size) and sources (KEYS, rows, need) the largest x up to which
-    a source's rows are taken; none for a source without need. A source's rows, taken in the order of x, come
-    nearest `need` words.
-
-    Sums by the first bits of x tell in which cell a source's cut lies; the cell's rows are summed
-    by further bits until they are few enough to be put in order. Rows of one x stay together."""
-    by = [*KEYS, F.col("cell")]
-    order = Window.partitionBy(*KEYS).orderBy("cell")
-    at, left = drawn, BITS
-    wanted = sources.where("need > 0")
-    bounds = wanted.withColumn("before", F.lit(0).cast("long"))
-    while True:
-        left -= STEP
-        cells = _with_sources(at, bounds.select(*KEYS, "rows", "need", "before")).withColumn("cell", F.shiftright("x", max(left, 0)))
-        sums = cells.groupBy(*by).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("before").alias("before"))
-        summed = sums.withColumn("upto", F.col("before") + F.sum("size").over(order))
-        crossing = summed.where("upto > need").withColumn("k", F.row_number().over(order)).where("k = 1")
-        bounds = stored(crossing.select(*KEYS, F.col("n").alias("rows"), "need", (F.col("upto") - F.col("size")).alias("before"), "cell"), "mix-cells")
-        marked = F.shiftright("x", max(left, 0)).alias("cell")
-        inside = at.select(*KEYS, "x", "size", marked).join(broadcast_if(bounds.select(*KEYS, "cell"), bounds.count(), BROADCAST_SOURCES), [*KEYS, "cell"], "left_semi")
-        at = stored(inside.select(*KEYS, "x", "size"), "mix-inside")
-        if left <= 0 or (bounds.agg(F.max("rows")).first()[0] or 0) <= ORDERED:
+def tries(drawn: DataFrame, sources: DataFrame) -> DataFrame:
+    """KEYS and trial: from rows (KEYS, x, step, size) and sources (KEYS, rows, source_size, target, whole, fraction) the
+    first trial within NEAR of each source's target, or the nearest. A pass adds up PASS trials of those
+    sources that have none yet."""
+    open_ = stored(sources.withColumn("best", F.lit(None).cast("struct<gap:double,trial:bigint>")), "mix-open")
+    done = []
+    for first in range(0, TRIES, PASS):
+        rows = _with_sources(drawn, open_.select(*KEYS, "rows", "fraction"))
+        sums = rows.groupBy(*KEYS).agg(*[F.sum(F.when(taken(F.col("x"), F.col("step"), F.lit(first + r), F.col("fraction")), F.col("size")).otherwise(0)).alias(f"t{r}") for r in range(PASS)])
+        gap = lambda r: F.abs(F.col("whole") * F.col("source_size") + F.col(f"t{r}") - F.col("target"))
+        new = F.array(*[F.struct(gap(r).alias("gap"), F.lit(first + r).cast("long").alias("trial")) for r in range(PASS)])
+        near = F.get(F.filter(new, lambda t: t["gap"] <= NEAR * F.col("target")), 0)
+        best = F.array_min(F.array_compact(F.concat(F.array("best"), new)))
+        seen = stored(open_.join(sums, KEYS).select(*[c for c in open_.columns if c != "best"], near.alias("near"), best.alias("best")), "mix-tries")
+        done.append(seen.where("near is not null").select(*KEYS, F.col("near.trial").alias("trial")))
+        open_ = seen.where("near is null").drop("near")
+        if open_.isEmpty():
             break
-    rows = at.groupBy(*KEYS, "x").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy(*KEYS).orderBy("x"))
-    placed = rows.join(bounds.select(*KEYS, "need", "before"), KEYS).withColumn("middle", F.col("before") + upto - F.col("size") / 2)
-    last = placed.where(F.col("middle") <= F.col("need") + 1e-6).groupBy(*KEYS).agg(F.max("x").alias("last"))
-    below = F.shiftleft(F.col("cell"), max(left, 0)) - 1  # the last x before the cell, where no row of it is taken
-    inner = bounds.join(last, KEYS, "left").select(*KEYS, F.coalesce("last", below).alias("cut"))
-    return wanted.select(*KEYS).join(inner, KEYS, "left").select(*KEYS, F.coalesce("cut", F.lit(1 << BITS)).alias("cut"))  # no cell crosses: all
+    done.append(open_.select(*KEYS, F.col("best.trial").alias("trial")))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def mix(
@@ -183,27 +157,19 @@ def mix(
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     names = docs.columns
-    drawn = docs.select(F.col(source_col).alias("source"), *_keyed(source_col), word_count(text_col).alias("size"), draw(F.col(id_col), seed).alias("x"))
+    x, step = draw(F.col(id_col), seed)
+    drawn = docs.select(F.col(source_col).alias("source"), *_keyed(source_col), word_count(text_col).alias("size"), x.alias("x"), step.alias("step"))
     drawn = stored(drawn, "mix-drawn")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = source_targets(drawn.select("source", "size"), weights, share, most).select(*_keyed("source"), "rows", "source_size", "target", F.floor(rate).alias("whole"))
-    targets = stored(targets.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    drawn = drawn.drop("source")
-    large = stored(_large(drawn, targets.select(*KEYS, "rows", "source_size", "need")), "mix-large")
-    had = large.where("taken").groupBy(*KEYS).agg(F.sum("own").alias("had"))
-    targets = stored(targets.join(had, KEYS, "left").withColumn("need", F.col("need") - F.coalesce("had", F.lit(0))).drop("had"), "mix-needs")
-    small = _with_sources(drawn, targets.select(*KEYS, "rows", "source_size")).where(F.col("size") * LARGE <= F.col("source_size"))
-    found = stored(cuts(small.select(*KEYS, "x", "size"), targets.select(*KEYS, "rows", "need")), "mix-cuts")
-    right = targets.join(found, KEYS, "left").select(
-        *KEYS, "rows", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", F.coalesce("cut", F.lit(-1)).alias("cut")
-    )
-    sized = docs.select("*", word_count(text_col).alias("mix_size"), *_keyed(source_col), draw(F.col(id_col), seed).alias("__mix_x"))
-    sized = _with_sources(sized, stored(right, "mix-sources"))
-    chosen = large.where("taken").select(*KEYS, F.col("x").alias("__mix_x"), F.col("size").alias("mix_size"), F.lit(True).alias("__mix_large"))
-    sized = sized.join(broadcast_if(chosen, chosen.count(), BROADCAST_LARGE), [*KEYS, "__mix_x", "mix_size"], "left")
-    small_one = F.col("mix_size") * LARGE <= F.col("mix_source_size")
-    again = F.coalesce("__mix_large", small_one & (F.col("__mix_x") <= F.col("cut"))).cast("long")
-    return sized.select(*names, "mix_size", "mix_source_size", "mix_target", (F.col("whole") + again).cast("long").alias("mix_copies"))
+    targets = source_targets(drawn.select("source", "size"), weights, share, most)
+    targets = targets.select(*_keyed("source"), "rows", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("fraction"))
+    targets = stored(targets, "mix-targets")
+    found = targets.join(tries(drawn.drop("source"), targets), KEYS)
+    right = stored(found.select(*KEYS, "rows", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "fraction", "trial"), "mix-sources")
+    sized = docs.select("*", word_count(text_col).alias("mix_size"), *_keyed(source_col), x.alias("__mix_x"), step.alias("__mix_step"))
+    sized = _with_sources(sized, right.withColumnsRenamed({c: f"__mix_{c}" for c in ("whole", "fraction", "trial")}))
+    again = taken(F.col("__mix_x"), F.col("__mix_step"), F.col("__mix_trial"), F.col("__mix_fraction")).cast("long")
+    return sized.select(*names, "mix_size", "mix_source_size", "mix_target", (F.col("__mix_whole") + again).cast("long").alias("mix_copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

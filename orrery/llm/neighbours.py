@@ -406,9 +406,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "v
     """(query_id, rank, vec_id, score) of the k nearest rows found for each row that `queries`, a condition on
     the id column, names. The `exact` nearest of a beam are scored on the original vectors."""
     nodes = stored(classes(vectors, id_col, vec_col, k + 1), "ann-nodes")
-    scale = F.array_max(F.transform("vec", F.abs))
-    scaled = nodes.withColumn("vec", F.transform("vec", lambda x: x / scale))
-    graph = build(scaled.select("node", "vec"), **how)
+    graph = build(nodes.select("node", "vec"), **how)
     codes = graph["codes"].select("node", "n", "code")
     # the rows asked for, and their nodes: the same vector is searched once
     rows = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias("vec")).where(queries)

@@ -101,7 +101,7 @@ QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op4_subst
 
 SQL = {
     "op1_mixing": rf"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -118,30 +118,14 @@ WITH RECURSIVE d AS (
 t AS (SELECT source, source_size, least(cap, w * level) AS target FROM p, l),
 u AS (
   SELECT d.doc_id, d.size, t.source, t.source_size, t.target, floor(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END) AS whole,
-         CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR) || ':17'), 1, 13) AS BIGINT) AS x
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END - floor(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END) AS fraction,
+         CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR) || ':17'), 1, 13) AS BIGINT) AS x, CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR) || ':17'), 14, 13) AS BIGINT) | 1 AS step
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), w AS (SELECT *, target - whole * source_size AS need, 100 * size > source_size AS large, length(bin(size)) AS class FROM u),
-h AS (
-  SELECT source, x, size, class, sum(size) AS own, any_value(need) AS need, any_value(source_size) AS total, row_number() OVER (PARTITION BY source ORDER BY class DESC, x, size) AS k
-  FROM w WHERE large GROUP BY source, x, size, class
-), o AS (SELECT *, CAST(sum(own) OVER (PARTITION BY source ORDER BY class DESC) AS DOUBLE) AS upto FROM h),
-g AS (
-  SELECT source, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS had, false AS taken, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS size FROM t
-  UNION ALL
-  SELECT o.source, o.k, CAST(g.had + CASE WHEN o.need > 0 AND g.had + o.own / 2 <= o.need * o.upto / o.total + 1e-6 THEN o.own ELSE 0 END AS BIGINT),
-         o.need > 0 AND g.had + o.own / 2 <= o.need * o.upto / o.total + 1e-6, o.x, o.size
-  FROM g JOIN o ON o.source IS NOT DISTINCT FROM g.source AND o.k = g.k + 1
-), e AS (SELECT source, max(had) AS had FROM g GROUP BY source),
-r2 AS (
-  SELECT w.*, need - had AS rest, sum(size) OVER (PARTITION BY w.source ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY w.source, x) AS own
-  FROM w JOIN e ON w.source IS NOT DISTINCT FROM e.source WHERE NOT large
-), v AS (
-  SELECT doc_id, size, source_size, target, whole, rest > 0 AND upto - own / 2 <= rest + 1e-6 AS again FROM r2
-  UNION ALL
-  SELECT doc_id, w.size, source_size, target, whole, taken FROM w JOIN g ON w.large AND w.source IS NOT DISTINCT FROM g.source AND w.x = g.x AND w.size = g.size AND g.k > 0
-)
+), n AS (SELECT u.*, trial, (x + trial * step) & 4503599627370495 < fraction * 4503599627370496.0::DOUBLE AS again FROM u, (SELECT unnest(range({mixing.TRIES})) AS trial)),
+g AS (SELECT source, trial, abs(any_value(whole * source_size) + sum(CASE WHEN again THEN size ELSE 0 END) - any_value(target)) AS gap, any_value(target) AS target FROM n GROUP BY source, trial),
+c AS (SELECT source, coalesce(min(trial) FILTER (WHERE gap <= {mixing.NEAR} * target), arg_min(trial, (gap, trial))) AS trial FROM g GROUP BY source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST((whole + CASE WHEN again THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM v""",
+FROM n JOIN c ON n.source IS NOT DISTINCT FROM c.source AND n.trial = c.trial""",
     "op3_lines": r"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (

@@ -165,23 +165,36 @@ def test_mixing_repeats_nulls_clashes_and_long_texts(spark):
     assert all(len({r.mix_copies for r in got if r.doc_id == i}) == 1 for i in (7, None)) and max(r.mix_copies for r in got) <= 2
 
 
-@pytest.mark.parametrize("step", [12, 3])
-def test_mixing_is_near_its_targets_whatever_the_sizes(spark, monkeypatch, step):
-    rng = random.Random(step)
-    monkeypatch.setattr(mixing, "STEP", step)
-    monkeypatch.setattr(mixing, "ORDERED", 20)
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1 if step == 3 else 50_000)
-    monkeypatch.setattr(mixing, "BROADCAST_LARGE", -1 if step == 3 else 50_000)
+@pytest.mark.parametrize("most", [50_000, -1])
+def test_mixing_is_near_its_targets_whatever_the_sizes(spark, monkeypatch, most):
+    rng = random.Random(most)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     rows = [(i, prose(rng, rng.choice([1, 2, 5, 30, 200])), rng.choice(["a", "b", "c", None]), 1) for i in range(900)] + [(2000 + k, prose(rng, 3000 >> k), "few", 1) for k in range(8)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, x int")).collect()
-    taken, target, large = Counter(), {}, Counter()
+    taken, target = Counter(), {}
     for r in got:
         taken[r.source] += r.mix_copies * r.mix_size
         target[r.source] = r.mix_target
-        large[r.source] = max(large[r.source], r.mix_size)
     assert len(got) == len(rows)
     for s, t in target.items():
-        assert abs(taken[s] - t) <= (30 if s == "few" else 15)
+        assert abs(taken[s] - t) <= (0.05 if s == "few" else 0.02) * t
+
+
+def test_a_document_is_drawn_with_the_chance_of_its_fraction(spark):
+    """200 sources of the same 50 sizes stand for 200 seeds: ids, and so hashes, differ."""
+    rng = random.Random(11)
+    sizes = [max(1, round(rng.lognormvariate(4, 1))) for _ in range(50)]
+    rows = [(1000 * k + i, "w " * n, f"s{k:03d}") for k in range(200) for i, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0,), share=1.3).collect()
+    drawn, taken = Counter(), Counter()
+    for r in got:
+        assert r.mix_copies in (1, 2)
+        drawn[r.doc_id % 1000] += r.mix_copies - 1
+        taken[r.source] += r.mix_copies * r.mix_size
+    assert all(abs(t - 1.3 * sum(sizes)) <= 0.02 * 1.3 * sum(sizes) for t in taken.values())
+    chances = [drawn[i] / 200 for i in range(50)]
+    assert all(abs(c - 0.3) <= 0.15 for c in chances)
+    assert sum(abs(c - 0.3) for c in chances) / 50 < 0.05
 
 
 # 3, 4, 5
