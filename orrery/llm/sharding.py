@@ -18,8 +18,8 @@ LIMIT = 64 << 20
 HASH_BITS = 52
 #: Bits that a pass adds at most: the first, and each of the others.
 FIRST, STEP = 18, 9
-#: So many cells of the directory are broadcast at most (some 60 MB); more are joined by shuffle.
-BROADCAST_CELLS = 1 << 20
+#: So many leaves of one depth are broadcast at most (some 80 MB); more are joined by shuffle.
+BROADCAST_LEAVES = 1 << 21
 
 
 def key_hash(c: Column) -> Column:
@@ -27,10 +27,9 @@ def key_hash(c: Column) -> Column:
 
 
 def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """From rows (h, n_bytes) the directory (bits, cell, depth, shard_bytes, whole), a stored table.
-
-    The hash's first `bits` bits being `cell`, the row's shard has the first `depth` of them. whole is
-    false for a bucket of one hash that exceeds the limit by itself. The first pass looks at as many
+    """From rows (h, n_bytes) the directory (depth, prefix, shard_bytes, whole), a stored table of a row a shard:
+    the shard of all rows whose hash's first `depth` bits are `prefix`. whole is false for a bucket of
+    one hash that exceeds the limit by itself. The first pass looks at as many
     bits as the total calls for, each other at STEP more bits of the buckets that are still too
     large, and of their rows alone. A bucket is a leaf if it fits and the one that it was split from
     doesn't. The driver holds no more than the number of passes.
@@ -53,18 +52,13 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         leaves = child.join(split, ["depth", "from"], "left_semi")
         if above == 0:  # the bucket of all rows was split from none
             leaves = leaves.unionByName(sums.where(F.col("depth") == 0).where(F.col("n") <= limit).withColumn("from", F.lit(0).cast("long")))
-        left = F.lit(width) - F.col("depth")
-        first = F.call_function("shiftleft", F.col("prefix"), left)
-        last = F.call_function("shiftleft", F.col("prefix") + 1, left) - 1
-        part = leaves.select(
-            F.lit(width).alias("bits"), F.explode(F.sequence(first, last)).alias("cell"), "depth", F.col("n").alias("shard_bytes"), (F.col("n") <= limit).alias("whole")
-        )
+        part = leaves.select("depth", "prefix", F.col("n").alias("shard_bytes"), (F.col("n") <= limit).alias("whole"))
         found = part if found is None else found.unionByName(part)
         large = sums.where((F.col("depth") == width) & (F.col("n") > limit)).select(F.col("prefix").alias("top"))
         if width == HASH_BITS or (n := large.count()) == 0:
             return stored(found, "directory")
         top = F.shiftright("h", HASH_BITS - width)
-        at = rows.join(broadcast_if(large, n, BROADCAST_CELLS), top == F.col("top"), "left_semi")
+        at = rows.join(broadcast_if(large, n, BROADCAST_LEAVES), top == F.col("top"), "left_semi")
         above, bits = width, min(STEP, HASH_BITS - width)
 
 
@@ -80,18 +74,15 @@ def shard(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", l
     names = docs.columns
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     found = directory(docs.select(key_hash(F.col(key_col)).alias("h"), size.alias("n_bytes")), limit)
-    widths = [r["bits"] for r in found.select("bits").distinct().orderBy("bits").collect()]
+    sizes = {r["depth"]: r["count"] for r in found.groupBy("depth").count().collect()}  # a row a depth, 53 at most
     out = docs.withColumn("__h", key_hash(F.col(key_col)))
-    made = []
-    for w in widths:  # most often one
-        cells = found.where(F.col("bits") == w).select(
-            F.col("cell").alias(f"__cell{w}"), F.col("depth").alias(f"__depth{w}"), F.col("shard_bytes").alias(f"__bytes{w}"), F.col("whole").alias(f"__whole{w}")
-        )
-        out = out.join(broadcast_if(cells, cells.count(), BROADCAST_CELLS), F.shiftright("__h", HASH_BITS - w) == F.col(f"__cell{w}"), "left")
-        made.append(w)
-    pick = lambda what: F.coalesce(*[F.col(f"__{what}{w}") for w in made]) if made else F.lit(None)
+    for d, n in sorted(sizes.items()):  # three or four, as hashes are even
+        leaves = found.where(F.col("depth") == d).select(F.col("prefix").alias(f"__prefix{d}"), F.col("shard_bytes").alias(f"__bytes{d}"), F.col("whole").alias(f"__whole{d}"))
+        out = out.join(broadcast_if(leaves, n, BROADCAST_LEAVES), F.shiftright("__h", HASH_BITS - d) == F.col(f"__prefix{d}"), "left")
+    pick = lambda what: F.coalesce(*[F.col(f"__{what}{d}") for d in sizes]) if sizes else F.lit(None)
+    depth = F.coalesce(*[F.when(F.col(f"__prefix{d}").isNotNull(), d) for d in sizes]) if sizes else F.lit(0)
     bits = F.lpad(F.bin("__h"), HASH_BITS, "0")
-    return out.select(*names, F.substr(bits, F.lit(1), pick("depth")).alias("shard"), pick("bytes").alias("shard_bytes"), pick("whole").alias("fits"))
+    return out.select(*names, F.substr(bits, F.lit(1), depth).alias("shard"), pick("bytes").alias("shard_bytes"), pick("whole").alias("fits"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -7,7 +7,8 @@ choice of that many blocks; fingerprints filed together are verified by their Ha
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -150,10 +151,27 @@ def _filed(distance: int, most: int):
     return run
 
 
-def _ball(radius: int) -> list[int]:
-    """Signed longs with at most `radius` bits set."""
-    masks = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(64), r)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+def _ball(radius: int, strip: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The numbers of 64 bits with at most `radius` bits set, in arrays of `strip` at most."""
+    masks = (sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(64), r))
+    while part := list(islice(masks, strip)):
+        yield np.array(part, np.uint64)
+
+
+def _around(radius: int):
+    """(fp, point) of all points within `radius` of each fingerprint; a task holds a strip of them."""
+
+    def run(batches):
+        for b in batches:
+            fps = b.column("fp").to_numpy().view(np.uint64)
+            for masks in _ball(radius):
+                few = max(1, (1 << 16) // len(masks))
+                for k in range(0, len(fps), few):
+                    own = fps[k : k + few]
+                    points = (own[:, None] ^ masks[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(masks)).view(np.int64)), pa.array(points.view(np.int64))], ["fp", "point"])
+
+    return run
 
 
 def hamming_links(fps: DataFrame, *, distance: int = 4, blocks: int = 8, most: int = BUCKET_PAIRS) -> DataFrame:
@@ -181,9 +199,8 @@ def _through_points(hot: DataFrame, distance: int) -> DataFrame:
     within half the distance, each point keeps the least of its fingerprints and links the rest to
     it; where the distance is odd, those one bit further out are linked to it too."""
 
-    def at(radius):
-        return hot.select("fp", F.explode(F.array(*[F.lit(m) for m in _ball(radius)])).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("point"))
-
+    hot = stored(hot, "hot-fingerprints")
+    at = lambda radius: hot.repartition(max(1, -(-hot.count() // 1024))).mapInArrow(tidy(_around(radius)), "fp long, point long")
     near, far = at(distance // 2), at(distance - distance // 2)
     least = near.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top"))
     least = least.where("b != top" if distance % 2 == 0 else "true").drop("top")
