@@ -10,10 +10,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from . import kernels as K
+from . import vectors
+from .graph import with_ends
 from .vectors import _matrix
 
 
@@ -96,14 +99,14 @@ def _geodesic(p: np.ndarray, k: int, adjacent: np.ndarray | None = None) -> tupl
 
 EDGE_GEOMETRY = [
     "euclidean double", "geodesic double", "detour double", "hops double", "deficit double", "defect_median double", "defect_tail double",
-    "defect_close double", "defect_dispersion double", "defect_span double", "diffusion double", "base_score double", "support_score double",
+    "defect_close double", "defect_dispersion double", "defect_span double", "diffusion double", "base_score double", "support_score double", "weighted_score double",
 ]
 
 
 def edge_geometry(points: DataFrame, edges: DataFrame, keys: Sequence[str], support: DataFrame | None = None, k: int = 12, steps: int = 2, id_col: str = "vec_id", draws: int = 0, graph: DataFrame | None = None) -> DataFrame:
     """Euclidean and geodesic distance of each edge, their ratio, hops, ball deficit, triangle defects,
-    distance between rows of the diffusion kernel's power, the common baseline score, and the score of
-    length over support. With draws, the triangles' thirds are drawn so many times (perm_idx); with a graph
+    distance between rows of the diffusion kernel's power, the common baseline score, the score of
+    length over support, and the baseline score where all geodesics are divided by 0.35 + mean support. With draws, the triangles' thirds are drawn so many times (perm_idx); with a graph
     (keys, u, v), geodesics follow its edges rather than the neighbours'."""
 
     def run(p, u, v, s, adjacent=None, draw=None):
@@ -114,9 +117,12 @@ def edge_geometry(points: DataFrame, edges: DataFrame, keys: Sequence[str], supp
         t = np.linalg.matrix_power(kern / kern.sum(1, keepdims=True), steps)
         hops = np.array([len(K.path(before, a, b)) - 1 for a, b in zip(u.tolist(), v.tolist(), strict=True)])
         defects = K.triangle_defects(g, u, v, draw=draw)
+        weighted = g / (0.35 + np.clip((s + s.T) / 2, 0, 1))
+        np.fill_diagonal(weighted, 0.0)
         return {
             "euclidean": d[u, v], "geodesic": g[u, v], "detour": g[u, v] / np.maximum(d[u, v], 1e-9), "hops": hops, "deficit": K.ball_deficit(g, u, v),
             **defects, "diffusion": np.linalg.norm(t[u] - t[v], axis=1), "base_score": K.base_score(g, s, u, v, defects), "support_score": K.support_score(g, s, u, v),
+            "weighted_score": K.base_score(weighted, s, u, v, K.triangle_defects(weighted, u, v)),
         }
 
     return per_edge(points, edges, keys, run, EDGE_GEOMETRY, support, id_col, graph, draws)
@@ -156,7 +162,7 @@ def direction_features(points: DataFrame, edges: DataFrame, keys: Sequence[str],
 
 
 #: Columns that change their sign when the ends of an edge are exchanged, besides all *_gap.
-SIGNED = ("log_ratio", "margin")
+SIGNED = ("log_ratio", "margin", "apart_margin")
 
 
 def swapped(df: DataFrame) -> DataFrame:
@@ -313,30 +319,36 @@ def shape_descriptor(points: DataFrame, keys: Sequence[str], k: int = 12, id_col
     return per_slice(points, keys, run, [f"{c} double" for c in names], id_col)
 
 
-SECTION = [f"{c}_{e} double" for e in ("mean", "gap") for c in ("anisotropy", "planarity", "omnivariance")] + ["align_u double", "align_v double", "align_mean double", "align_gap double", "margin double", "margin_abs double"]
+SECTION = [f"{c} double" for c in ("anisotropy_u", "anisotropy_v", "anisotropy_apart", "anisotropy_mean", "planarity_mean", "omnivariance_mean", "margin", "align_u", "align_v", "align_pair", "apart_margin", "mean_pair")]
+#: Of those the columns that depend on the first axes.
+AXIAL = ("align_u", "align_v", "align_pair", "mean_pair")
 
 
-def sectional_features(points: DataFrame, edges: DataFrame, keys: Sequence[str], support: DataFrame, k: int = 12, id_col: str = "vec_id") -> DataFrame:
-    """Shape of the neighbourhoods at both ends, how the edge lies to their first axes, and its margin."""
+def axial_columns(way: Column, axis_u: Column, axis_v: Column, mean: Column) -> dict[str, Column]:
+    """How an edge of unit direction `way` lies to the first axes of its ends, and these to each other."""
+    dot = lambda a, b: F.abs(X.dot(a, b))
+    pair = dot(axis_u, axis_v)
+    return {"align_u": dot(way, axis_u), "align_v": dot(way, axis_v), "align_pair": pair, "mean_pair": mean * pair}
 
-    def run(p, u, v, s):
-        near = K.nearest(K.pairwise(p), k)
-        shape, axis = [], []
-        for i in range(len(p)):
-            q = p[near[i]] - p[near[i]].mean(0)
-            _, sv, vt = np.linalg.svd(q, full_matrices=False)
-            lam = np.maximum(np.pad(sv**2, (0, max(0, 3 - len(sv))))[:3], 1e-12)
-            shape.append([np.log1p(lam[0] / lam[2]), (lam[1] - lam[2]) / lam[0], np.prod(lam) ** (1 / 3)])
-            axis.append(vt[0])
-        shape, axis = np.array(shape), np.array(axis)
-        way = p[v] - p[u]
-        way = way / np.maximum(np.linalg.norm(way, axis=1, keepdims=True), 1e-10)
-        au, av = np.abs((way * axis[u]).sum(1)), np.abs((way * axis[v]).sum(1))
-        m = s[u, v] - s[v, u]
-        columns = [*((shape[u] + shape[v]) / 2).T, *(shape[u] - shape[v]).T, au, av, (au + av) / 2, au - av, m, np.abs(m)]
-        return {c.split()[0]: x for c, x in zip(SECTION, columns, strict=True)}
-
-    return per_edge(points, edges, keys, run, SECTION, support, id_col)
+
+def section_columns(rows: DataFrame) -> DataFrame:
+    """SECTION of edges with <shape>_u, <shape>_v, axis_u, axis_v, the unit vector `way` from u to v, and the margin."""
+    both = lambda c: (F.col(f"{c}_u") + F.col(f"{c}_v")) / 2
+    apart, mean = F.abs(F.col("anisotropy_u") - F.col("anisotropy_v")), both("anisotropy")
+    made = {"anisotropy_apart": apart, "anisotropy_mean": mean, "planarity_mean": both("planarity"), "omnivariance_mean": both("omnivariance"), "apart_margin": apart * F.col("margin")}
+    return rows.withColumns(made | axial_columns(F.col("way"), F.col("axis_u"), F.col("axis_v"), mean))
+
+
+def sectional_features(points: DataFrame, edges: DataFrame, keys: Sequence[str], support: DataFrame, k: int = 12, id_col: str = "vec_id") -> DataFrame:
+    """Shape of the neighbourhoods at both ends, how the edge lies to their first axes, and its margin: the
+    support of (u, v) less that of (v, u), none being 0. A slice is not one task: nodes and edges are rows."""
+    nodes = vectors.section_shape(vectors.knn(points, k, keys, id_col), points, keys, id_col).withColumnRenamed("id", "node")
+    rows = with_ends(edges.select(*keys, "u", "v"), nodes, ["anisotropy", "planarity", "omnivariance", "axis"], keys)
+    way = vectors.edge_vectors(edges.select(*keys, "u", "v"), points, keys, id_col).select(*keys, "u", "v", X.unit(F.zip_with("y", "x", lambda a, b: a - b)).alias("way"))
+    there = support.select(*keys, F.col("source").alias("u"), F.col("target").alias("v"), F.col("support").alias("__there"))
+    back = support.select(*keys, F.col("source").alias("v"), F.col("target").alias("u"), F.col("support").alias("__back"))
+    rows = rows.join(way, [*keys, "u", "v"]).join(there, [*keys, "u", "v"], "left").join(back, [*keys, "u", "v"], "left").na.fill(0.0, ["__there", "__back"])
+    return section_columns(rows.withColumn("margin", F.col("__there") - F.col("__back"))).select(*keys, "u", "v", *[c.split()[0] for c in SECTION])
 
 
 FRACTURE = [f"{a}_{b} double" for a in ("count", "density", "most", "mean_angle", "sd_angle") for b in _BOTH] + ["hops_forward double", "hops_backward double", "log_ratio double"]

@@ -5,9 +5,11 @@ aggregates, so a graph may be larger than a machine; only components() goes in r
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,6 +135,25 @@ def checkpoints(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def _clear(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # best effort, at the program's end
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the checkpoint folder, read back: its lineage ends there. The tables of a program are
+    deleted at its end."""
+    spark = df.sparkSession
+    folder = f"{checkpoints(spark)}/orrery-core-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS[folder] = folder
+        atexit.register(_clear, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with the place of each row in order of a column without ties, from 0. Rows are dealt out by ranges
     of the column, counted where they are and moved up by the ranges before: no task sees all rows. The

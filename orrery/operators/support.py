@@ -53,6 +53,34 @@ def shared_terms(terms: DataFrame) -> DataFrame:
     return rows.select("u", "v", "shared", (F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))).alias("jaccard"))
 
 
+def similar_terms(terms: DataFrame, least: float, hot: int = 10_000) -> DataFrame:
+    """The rows of shared_terms() whose jaccard is at least `least` > 0, without going through common terms.
+
+    A symbol's terms are put in order from the rarest. Two sets that are so similar share one of the first
+    n - ceil(least * n) + 1 terms of each, so only those prefixes meet; a pair whose sizes are too different is
+    not counted, and the sets of the rest are compared once, where they meet at their first common prefix
+    term. A term that is in over `hot` prefixes is dealt out in squares of that many symbols."""
+    t = terms.select("symbol", "term").distinct()
+    rare = t.join(t.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    sets = rare.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("own"))
+    n = F.size("own")
+    upto = (n - F.ceil(least * n - 1e-9) + 1).cast("int")
+    first = sets.select("symbol", "own", F.posexplode(F.slice("own", 1, upto)).alias("at", "term"))
+    parts = first.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / hot).cast("long").alias("parts"))
+    dealt = first.join(parts, "term").withColumn("part", F.pmod(F.xxhash64("symbol"), F.col("parts")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    a = dealt.select("term", F.col("part").alias("pu"), F.explode(others).alias("pv"), F.col("symbol").alias("u"), F.col("own").alias("x"), F.col("at").alias("i"))
+    b = dealt.select("term", F.explode(others).alias("pu"), F.col("part").alias("pv"), F.col("symbol").alias("v"), F.col("own").alias("y"), F.col("at").alias("j"))
+    met = a.join(b, ["term", "pu", "pv"]).where("u < v")
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    met = met.where(small >= least * large - 1e-9)
+    # at the first term that both prefixes hold, and there alone
+    earlier = F.arrays_overlap(F.slice("x", F.lit(1), F.col("i")), F.slice("y", F.lit(1), F.col("j")))
+    shared = F.size(F.array_intersect("x", "y"))
+    rows = met.where(~earlier).select("u", "v", shared.cast("long").alias("shared"), (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard"))
+    return rows.where(F.col("jaccard") >= least - 1e-9)
+
+
 def information_content(terms: DataFrame) -> DataFrame:
     """(term, n, ic): ln((symbols + 1) / (symbols of the term + 1))."""
     t = terms.select("symbol", "term").distinct()

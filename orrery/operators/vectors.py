@@ -145,6 +145,34 @@ def local_participation_ratio(neighbours: DataFrame, points: DataFrame, keys: Se
     return cov.groupBy(*keys, "id").agg((trace * trace / F.greatest(F.sum(F.col("v") * F.col("v")), F.lit(1e-18))).alias("ratio"))
 
 
+def section_shape(neighbours: DataFrame, points: DataFrame, keys: Sequence[str] = (), id_col: str = "vec_id") -> DataFrame:
+    """(id, anisotropy, planarity, omnivariance, axis) of each point's neighbours, from the three largest eigenvalues
+    a >= b >= c of their covariance, none under 1e-8: (a - b) / (a + b + c), (b - c) / a, the cube root of abc over
+    a + b + c, and the first eigenvector. All zero with fewer than three neighbours."""
+    p = points.select(*keys, F.col(id_col).alias("neighbour"), F.col("vec").alias("nv"))
+    rows = neighbours.join(p, [*keys, "neighbour"]).groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("rank", "nv"))).alias("near"))
+    rows = rows.select(*keys, "id", F.transform("near", lambda x: x["nv"]).alias("near"))
+    names = [*keys, "id", "anisotropy", "planarity", "omnivariance", "axis"]
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "id"]), "anisotropy double, planarity double, omnivariance double, axis array<double>"])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for near in b.column("near").to_pylist():
+                n = np.array(near, float)
+                if len(n) < 3:
+                    out.append((0.0, 0.0, 0.0, [0.0] * n.shape[1]))
+                    continue
+                lam, axes = np.linalg.eigh(np.cov(n.T).reshape(n.shape[1], n.shape[1]))
+                top = np.maximum(np.pad(lam[::-1], (0, max(0, 3 - len(lam))))[:3], 1e-8)
+                total = top.sum()
+                out.append((float((top[0] - top[1]) / total), float((top[1] - top[2]) / top[0]), float(np.cbrt(top.prod()) / total), axes[:, -1].tolist()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keys, "id"]), *(pa.array(c, pa.float64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.float64()))], names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def local_shape(neighbours: DataFrame, points: DataFrame, keys: Sequence[str] = (), id_col: str = "vec_id", ridge: float = 1e-3) -> DataFrame:
     """(id, anisotropy, planarity, omnivariance, residual, tail_share): eigenvalues of each point's
     neighbourhood, and how well its neighbours rebuild it (relative error of ridge weights)."""

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import expressions as X
 from ..functions import random as R
 from ..functions.stats import degree_bins, rank_bins
-from ..operators import alignment, descriptors, geometry, graph, models, topology, vectors
+from ..operators import alignment, descriptors, fits, geometry, graph, models, topology, vectors
 from ..operators import support as support_ops
 from . import audit, nulls
 
@@ -541,8 +541,7 @@ def _random_axes(s: Slices, rows: DataFrame, kind: str, replicates: int) -> Data
     e = rows.join(ways, [*s.keys, "u", "v"])
     for end in ("u", "v"):
         e = e.join(axes.select(*by, F.col("vec_id").alias(end), F.col("axis").alias(f"axis_{end}")), [*by, end])
-    e = e.withColumn("align_u", F.abs(X.dot("way", "axis_u"))).withColumn("align_v", F.abs(X.dot("way", "axis_v")))
-    return e.withColumn("align_mean", (F.col("align_u") + F.col("align_v")) / 2).withColumn("align_gap", F.col("align_u") - F.col("align_v"))
+    return e.withColumns(geometry.axial_columns(F.col("way"), F.col("axis_u"), F.col("axis_v"), F.col("anisotropy_mean")))
 
 
 def _layers_exchanged(nodes: DataFrame, columns: Sequence[str], kind: str, keys: Sequence[str]) -> DataFrame:
@@ -688,35 +687,49 @@ def _binned(s: Slices, rows: DataFrame) -> DataFrame:
     keys = list(s.keys)
     nodes = graph.degrees(vectors.knn_edges(_near(s), keys), keys)
     rows = graph.with_ends(rows, nodes.withColumnRenamed("degree", "__d"), ["__d"], keys).na.fill(0, ["__d_u", "__d_v"]).withColumn("__d", F.col("__d_u") + F.col("__d_v"))
-    rows = rows.withColumn("bin", rank_bins("base", 4, keys)).withColumn("degree_bin", degree_bins("__d", 6, keys)).withColumn("source_bin", degree_bins("__d_u", 6, keys))
+    rows = rows.withColumn("bin", rank_bins("near", 4, keys)).withColumn("degree_bin", degree_bins("__d", 6, keys)).withColumn("source_bin", degree_bins("__d_u", 6, keys))
     return rows.drop("__d", "__d_u", "__d_v")
 
 
+def baseline(screen: Screen) -> str:
+    """The score that a hypothesis has to add to: minus the distance up to H70, whose own score it is from
+    H71 on, and with all geodesics divided by support from H112 on."""
+    number = int(screen.name[1:])
+    return "near" if number <= 70 else "base_score" if number < 112 else "weighted_score"
+
+
 def run(screen: Screen | str, slices: Slices, replicates: int | None = None, folds: int = 3, l1: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(results, nulls) of a screen: cross-validated AUC of distance and features against distance alone, and
+    """(results, nulls) of a screen: cross-validated AUC of baseline and features against the baseline alone, and
     the same under each null family. Features are made once, and written to the checkpoint folder before the fan-out; null families that
-    move points, layers or nodes make them again from what was moved."""
+    move points, layers or nodes make them again from what was moved. All models, of the slices as they are and of every
+    family and replicate, are fitted together."""
     screen = SCREENS[screen] if isinstance(screen, str) else screen
     replicates = REPLICATES.get(screen.name, DEFAULT_REPLICATES) if replicates is None else replicates
     keys = list(slices.keys)
     rows, names = features_of(screen)(slices)
-    far = vectors.edge_vectors(slices.edges.select(*keys, "u", "v"), slices.points, keys).select(*keys, "u", "v", (-X.distance("x", "y")).alias("base"))
-    rows = rows.select(*keys, "u", "v", "y", *names).join(far, [*keys, "u", "v"])
+    by = [*keys, "u", "v"]
+    far = vectors.edge_vectors(slices.edges.select(*by), slices.points, keys).select(*by, (-X.distance("x", "y")).alias("near"))
+    rows = rows.select(*by, "y", *names).join(far, by)
+    if (score := baseline(screen)) == "near":
+        rows = rows.withColumn("base", F.col("near"))
+    else:
+        scores = geometry.edge_geometry(slices.points, slices.edges, keys, slices.support, slices.k).select(*by, F.col(score).alias("base"))
+        rows = rows.join(scores, by, "left").na.fill(0.0, ["base"])
     rows = rows.withColumn("edge", F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string")))
     rows = _binned(slices, R.folds(rows, folds, "edge", "y", "fold", keys))
-    rows = rows.select(*keys, "u", "v", "edge", "y", "fold", "bin", "degree_bin", "source_bin", "base", *names)
-    graph.checkpoints(rows.sparkSession)
-    rows = rows.checkpoint()
-    seen = models.cv_logistic(rows, ["base", *names], "y", keys, "base", l1)
+    rows = graph.written(rows.select(*by, "edge", "y", "fold", "bin", "degree_bin", "source_bin", "base", *names), "screen-rows")
     many = R.replicates(rows, replicates)
-    out = None
+    fanned = [*keys, "null_kind", "perm_idx"]
+    every = rows.withColumn("null_kind", F.lit("observed")).withColumn("perm_idx", F.lit(-1))
+    every = every.select(*fanned, "y", "fold", "base", *names)
     for kind in screen.null_kinds or ("feature_shuffle",):
         moved = remade(screen, slices, many, kind, names, replicates)
         moved = resampled(screen, many, kind, names, keys) if moved is None else moved
-        fits = models.cv_logistic(moved, ["base", *names], "y", [*keys, "perm_idx"], "base", l1)
-        fits = fits.select(*keys, F.lit(kind).alias("null_kind"), "perm_idx", F.col("delta").alias("null_value"))
-        out = fits if out is None else out.unionByName(fits)
-    return seen, out
+        every = every.unionByName(moved.withColumn("null_kind", F.lit(kind)).select(*fanned, "y", "fold", "base", *names))
+    fitted = fits.cross_validated(every, ["base", *names], "y", fanned, "base", l1, folds=folds)
+    fitted = graph.written(fitted, "screen-fits")
+    seen = fitted.where("perm_idx < 0").drop("null_kind", "perm_idx")
+    return seen, fitted.where("perm_idx >= 0").select(*fanned, F.col("delta").alias("null_value"))
 
 
 def calibrated(screen: Screen | str, slices: Slices, replicates: int | None = None) -> DataFrame:

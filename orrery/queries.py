@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .functions import expressions as X
 from .functions import random as R
 from .functions import stats as S
-from .operators import alignment, geometry, graph, models, sequences, support, topology, vectors
+from .operators import alignment, geometry, graph, models, paths, sequences, support, topology, vectors
 from .plans import audit, screen, screens
 from .registry import KNN, POINTS, SCORED, TERMS, TOKENS, TRADE, auc_sql, query, r6
 from .sources import tables as T
@@ -367,6 +367,14 @@ def term_jaccard(spark, sf):
     return support.shared_terms(T.customer_brands(spark, sf)).select("u", "v", "shared", *r6("jaccard"))
 
 
+@query(f"""WITH {TERMS}, s AS (SELECT symbol, list(DISTINCT term) AS t FROM terms GROUP BY symbol)
+SELECT a.symbol AS u, b.symbol AS v, len(list_intersect(a.t, b.t)) AS shared, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard
+FROM s a JOIN s b ON a.symbol < b.symbol WHERE len(list_intersect(a.t, b.t)) >= 0.3 * len(list_distinct(list_concat(a.t, b.t)))""")
+def similar_terms(spark, sf):
+    """Pairs of term sets with a Jaccard similarity of 0.3 or more, through the rarest terms."""
+    return support.similar_terms(T.customer_brands(spark, sf), 0.3).select("u", "v", "shared", *r6("jaccard"))
+
+
 @query(f"""WITH {TERMS}, n AS (SELECT term, ln(((SELECT count(DISTINCT symbol) FROM terms) + 1) / (count(*) + 1)) AS ic FROM terms GROUP BY term),
 t AS (SELECT symbol, term, ic FROM terms JOIN n USING (term)), o AS (SELECT symbol, sum(ic) AS s, count(*) AS k FROM t GROUP BY symbol),
 g AS (SELECT a.symbol AS u, b.symbol AS v, sum(a.ic) AS c, max(a.ic) AS r, count(*) AS k FROM t a JOIN t b ON a.term = b.term AND a.symbol < b.symbol GROUP BY ALL)
@@ -708,15 +716,93 @@ def _label_edges(spark, sf):
     return p, y.crossJoin(F.broadcast(p.select("layer").distinct()))
 
 
-@query()
+LABELLED = POINTS + """, lnodes AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS at, count(*) OVER (PARTITION BY label) AS size FROM embeddings),
+laimed AS (SELECT label, vec_id AS a, CAST('0x' || substr(md5(vec_id || '|' || draw || '|in'), 1, 13) AS BIGINT) % size AS at FROM lnodes, (SELECT unnest(range(6)) AS draw)),
+lpairs AS (SELECT DISTINCT l.label, least(a, n.vec_id) AS u, greatest(a, n.vec_id) AS v FROM laimed l JOIN lnodes n ON l.label = n.label AND l.at = n.at WHERE a <> n.vec_id),
+llast AS (SELECT e.label, u, v, list_distance(x.vec, y.vec) AS d FROM lpairs e JOIN points x ON x.vec_id = u AND x.layer = 3 JOIN points y ON y.vec_id = v AND y.layer = 3),
+lmed AS (SELECT label, quantile_cont(d, 0.5) AS m FROM llast GROUP BY label),
+ledges AS (SELECT l.label, u, v, CASE WHEN d < m THEN 1 ELSE 0 END AS y, layer FROM llast l JOIN lmed ON l.label = lmed.label, (SELECT CAST(unnest(range(4)) AS INTEGER) AS layer))"""
+CLOUDS = """spots AS (SELECT label, layer, vec_id, vec, row_number() OVER (PARTITION BY label, layer ORDER BY vec_id) AS r FROM points),
+kn AS (SELECT * FROM (SELECT a.label, a.layer, a.r AS i, b.r AS j, list_distance(a.vec, b.vec) AS w, row_number() OVER (PARTITION BY a.label, a.layer, a.vec_id ORDER BY list_distance(a.vec, b.vec), b.vec_id) AS q
+  FROM spots a JOIN spots b ON a.label = b.label AND a.layer = b.layer AND a.r <> b.r) WHERE q <= 12),
+near AS (SELECT label, layer, least(i, j) AS i, greatest(i, j) AS j, min(w) AS w, row_number() OVER (PARTITION BY label, layer ORDER BY min(w), least(i, j), greatest(i, j)) AS place FROM kn GROUP BY label, layer, least(i, j), greatest(i, j))"""
+
+
+def _closure(weight: str, joined: str) -> str:
+    """SQL of the least length of a way between any two points of a slice, over more and more of the points, where
+    the lengths b.d and c.d of two parts of a way are joined to one."""
+    return f"""arcs AS (SELECT label, layer, i, j, CAST({weight} AS DOUBLE) AS w FROM near UNION ALL SELECT label, layer, j, i, {weight} FROM near),
+ways AS (
+  SELECT CAST(0 AS BIGINT) AS k, a.label, a.layer, a.r AS i, b.r AS j, CASE WHEN a.r = b.r THEN 0.0 ELSE coalesce(w, 'inf'::DOUBLE) END AS d
+  FROM spots a JOIN spots b ON a.label = b.label AND a.layer = b.layer LEFT JOIN arcs ON arcs.label = a.label AND arcs.layer = a.layer AND arcs.i = a.r AND arcs.j = b.r
+  UNION ALL
+  SELECT a.k + 1, a.label, a.layer, a.i, a.j, least(a.d, coalesce({joined}, 'inf'::DOUBLE)) FROM ways a
+  LEFT JOIN ways b ON b.label = a.label AND b.layer = a.layer AND b.i = a.i AND b.j = a.k + 1 LEFT JOIN ways c ON c.label = a.label AND c.layer = a.layer AND c.i = a.k + 1 AND c.j = a.j
+  WHERE a.k < (SELECT max(r) FROM spots)),
+closed AS (SELECT w.label, w.layer, a.vec_id AS u, b.vec_id AS v, list_distance(a.vec, b.vec) AS euclidean, d FROM ways w
+  JOIN spots a ON w.label = a.label AND w.layer = a.layer AND w.i = a.r JOIN spots b ON w.label = b.label AND w.layer = b.layer AND w.j = b.r WHERE k = (SELECT max(r) FROM spots))"""
+
+
+GEODESIC = "WITH RECURSIVE " + LABELLED + ", " + CLOUDS + ", " + _closure("w", "b.d + c.d")
+FOREST = "WITH RECURSIVE " + POINTS + ", " + CLOUDS + ", " + _closure("place", "greatest(b.d, c.d)") + """, forest AS (
+  SELECT n.label, n.layer, u, v, w FROM near n JOIN spots a ON n.label = a.label AND n.layer = a.layer AND n.i = a.r JOIN spots b ON n.label = b.label AND n.layer = b.layer AND n.j = b.r
+  JOIN closed c ON c.label = n.label AND c.layer = n.layer AND c.u = a.vec_id AND c.v = b.vec_id WHERE c.d = n.place)"""
+
+
+@query(f"""{GEODESIC}, e AS (SELECT l.*, -euclidean AS a, -d AS b FROM ledges l JOIN closed c ON l.label = c.label AND l.layer = c.layer AND l.u = c.u AND l.v = c.v),
+x AS ({auc_sql("e", "label, layer", "y", "a")}), z AS ({auc_sql("e", "label, layer", "y", "b")}), s AS (SELECT label, layer, count(*) AS n FROM e GROUP BY ALL)
+SELECT s.label, s.layer, n, CASE WHEN n >= 40 THEN round(z.auc - x.auc, 6) END AS delta_auc FROM s JOIN x ON s.label = x.label AND s.layer = x.layer JOIN z ON s.label = z.label AND s.layer = z.layer""")
 def geodesic_delta(spark, sf):
     """AUC of geodesic less that of Euclidean distance, per layer and label."""
     p, e = _label_edges(spark, sf)
-    g = geometry.edge_geometry(p, e, ["label", "layer"]).join(e, ["label", "layer", "u", "v"])
+    g = paths.edge_geodesics(p, e, ["label", "layer"]).join(e, ["label", "layer", "u", "v"])
     g = g.withColumn("a", -F.col("euclidean")).withColumn("b", -F.col("geodesic"))
     return models.subset_delta_auc(g, "y", "a", "b", ["label", "layer"]).select("label", "layer", "n", *r6("delta_auc"))
 
 
+@query(f"{GEODESIC} SELECT l.label, l.layer, l.u, l.v, round(euclidean, 6) AS euclidean, round(d, 6) AS geodesic FROM ledges l JOIN closed c ON l.label = c.label AND l.layer = c.layer AND l.u = c.u AND l.v = c.v")
+def geodesic_lengths(spark, sf):
+    """Shortest paths over the neighbour graph from the ends of labelled edges."""
+    p, e = _label_edges(spark, sf)
+    return paths.edge_geodesics(p, e, ["label", "layer"]).select("label", "layer", "u", "v", *r6("euclidean", "geodesic"))
+
+
+@query(FOREST + " SELECT label, layer, u, v, round(w, 6) AS w FROM forest")
+def spanning_forest(spark, sf):
+    """The lightest spanning forest of each slice's neighbour graph."""
+    return paths.spanning_forest(_near_graph(spark, sf), ["label", "layer"]).select("label", "layer", "u", "v", *r6("w"))
+
+
+@query(FOREST + """, ended AS (SELECT label, layer, count(*) AS bars, round(sum(w), 5) AS total, round(max(w), 6) AS longest FROM forest GROUP BY ALL), n AS (SELECT label, layer, count(*) AS n FROM spots GROUP BY ALL)
+SELECT n.label, n.layer, bars, n - bars AS endless, total, longest FROM n JOIN ended ON n.label = ended.label AND n.layer = ended.layer""")
+def zero_bars(spark, sf):
+    """Bars of connected parts of each slice: how many end, how many don't, their total and longest."""
+    keys = ["label", "layer"]
+    bars = paths.zero_bars(paths.spanning_forest(_near_graph(spark, sf), keys), T.points(spark, sf), keys)
+    return bars.groupBy(*keys).agg(F.count("death").alias("bars"), F.count_if(F.col("death").isNull()).alias("endless"), F.round(F.sum("death"), 5).alias("total"), F.round(F.max("death"), 6).alias("longest"))
+
+
+def _near_graph(spark, sf):
+    p = T.points(spark, sf)
+    return vectors.knn_edges(vectors.knn(p, 12, ["label", "layer"]), ["label", "layer"]).select("label", "layer", "u", "v", F.col("distance").alias("w"))
+
+
+@query(f"""WITH {LABELLED}, e AS (
+  SELECT l.label, l.layer, l.u, l.v, x.vec AS a, z.vec AS b, list_transform(list_zip(x.vec, z.vec), lambda t: t[2] - t[1]) AS w FROM ledges l JOIN points x ON x.vec_id = l.u AND x.layer = l.layer JOIN points z ON z.vec_id = l.v AND z.layer = l.layer),
+d AS (SELECT *, sqrt(list_dot_product(w, w)) AS len, abs(a[1] - b[1]) AS apart, (a[1] + b[1]) / 2 AS mean, a[4] - b[4] AS margin FROM e)
+SELECT label, layer, u, v, round(apart, 6) AS anisotropy_apart, round(mean, 6) AS anisotropy_mean, round((a[2] + b[2]) / 2, 6) AS planarity_mean, round((a[3] + b[3]) / 2, 6) AS omnivariance_mean, round(margin, 6) AS margin,
+  round(abs(list_dot_product(w, a)) / len, 6) AS align_u, round(abs(list_dot_product(w, b)) / len, 6) AS align_v, round(abs(list_dot_product(a, b)), 6) AS align_pair,
+  round(apart * margin, 6) AS apart_margin, round(mean * abs(list_dot_product(a, b)), 6) AS mean_pair FROM d""")
+def section_columns(spark, sf):
+    """The columns of the sectional screens where a point's first parts stand for its shape and the point itself for its axis."""
+    p, e = _label_edges(spark, sf)
+    rows = vectors.edge_vectors(e.select("label", "layer", "u", "v"), p, ["label", "layer"])
+    shape = {f"{c}_{end}": F.col(vec)[i] for end, vec in (("u", "x"), ("v", "y")) for i, c in enumerate(("anisotropy", "planarity", "omnivariance"))}
+    rows = rows.withColumns(shape | {"axis_u": F.col("x"), "axis_v": F.col("y"), "margin": F.col("x")[3] - F.col("y")[3], "way": X.unit(F.zip_with("y", "x", lambda a, b: a - b))})
+    names = [c.split()[0] for c in geometry.SECTION if not c.startswith(("anisotropy_u", "anisotropy_v"))]
+    return geometry.section_columns(rows).select("label", "layer", "u", "v", *r6(*names))
+
+
 @query()
 def base_score_auc(spark, sf):
     p, e = _label_edges(spark, sf)
@@ -724,9 +810,14 @@ def base_score_auc(spark, sf):
     return S.auc(g, "y", "base_score", ["label", "layer"]).select("label", "layer", *r6("auc"))
 
 
-@query()
+@query(f"{GEODESIC} SELECT label, layer, round(avg(d / euclidean), 6) AS mean_distortion, count(*) AS n_pairs FROM closed WHERE u < v AND euclidean > 1e-9 GROUP BY ALL")
 def geodesic_distortion(spark, sf):
-    return geometry.distortion(T.points(spark, sf), ["label", "layer"]).select("label", "layer", "n", *r6("mean_distortion"))
+    """Mean of geodesic over Euclidean distance, over all pairs of points of a slice."""
+    keys = ["label", "layer"]
+    p = T.points(spark, sf)
+    pairs = vectors.pairs(p, keys).select(*keys, "u", "v")
+    g = paths.edge_geodesics(p, pairs, keys).where("euclidean > 1e-9")
+    return g.groupBy(*keys).agg(F.round(F.avg(F.col("geodesic") / F.col("euclidean")), 6).alias("mean_distortion"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 @query()

@@ -1,12 +1,10 @@
-"""Side inputs, lists of files and the runner."""
+"""Side inputs and lists of files."""
 
 import json
 import pickle
 
 import pytest
 
-from orrery import registry
-from orrery.plans import runner
 from orrery.sources import files
 
 
@@ -47,17 +45,3 @@ def test_file_lists_and_settings(tmp_path):
     assert files.read_config(str(tmp_path / "c.json"), {"b": None, "a": 5}, {"a": 1, "b": 1, "c": 1}) == {"a": 5, "b": 3, "c": 1}
     with pytest.raises(ValueError, match="z"):
         files.read_config(None, {"z": 1}, {"a": 1})
-
-
-def test_runner_writes_results_and_goes_on_after_errors(spark, tmp_path, monkeypatch):
-    registry.load()
-    monkeypatch.setitem(registry.QUERIES, "broken", lambda spark, sf: spark.table("nowhere"))
-    settings = runner.parsed(["--tables", "/root/testdata/sf0.001", "--out", str(tmp_path / "out"), "broken", "mean_utility"])
-    outcome = runner.run(spark, settings)
-    assert outcome["mean_utility"] == "written" and outcome["broken"] != "written"
-    assert spark.read.parquet(str(tmp_path / "out" / "mean_utility")).count() > 0
-    assert spark.read.json(str(tmp_path / "out" / "events")).count() == 2
-    with pytest.raises(ValueError):
-        runner.parsed(["mean_utility"])
-    with pytest.raises(ValueError, match="none_such"):
-        runner.run(spark, settings | {"queries": ["none_such"]})
