@@ -43,12 +43,12 @@ _GAPS = ", ".join(f"{k}_2 - {k}_1 AS {k}_gap" for k in D.CONTRASTED)
 _CONTRAST = [f"{k}_{i}" for i in (1, 2) for k in D.SPECTRUM] + [f"{k}_gap" for k in D.CONTRASTED]
 
 
-@query(f"""WITH {POINTS}, p AS (SELECT a.vec_id, a.vec AS t1, b.vec AS t2 FROM points a JOIN points b ON a.vec_id = b.vec_id AND a.layer = 0 AND b.layer = 1),
-s AS (SELECT vec_id, {_spectrum_sql('t1', '_1')}, {_spectrum_sql('t2', '_2')} FROM p), g AS (SELECT *, {_GAPS} FROM s) SELECT vec_id, {_rounded(_CONTRAST)} FROM g""")
+@query(f"""WITH {POINTS}, p AS (SELECT a.vec_id, a.layer, a.vec AS t1, b.vec AS t2 FROM points a JOIN points b ON a.vec_id = b.vec_id AND a.layer + 1 = b.layer),
+s AS (SELECT vec_id, layer, {_spectrum_sql('t1', '_1')}, {_spectrum_sql('t2', '_2')} FROM p), g AS (SELECT *, {_GAPS} FROM s) SELECT vec_id, layer, {_rounded(_CONTRAST)} FROM g""")
 def spectrum_contrast(spark, sf):
     p = T.points(spark, sf)
-    both = p.where("layer = 0").select("vec_id", F.col("vec").alias("t1")).join(p.where("layer = 1").select("vec_id", F.col("vec").alias("t2")), "vec_id")
-    return both.select("vec_id", *[F.round(c, 6).alias(k) for k, c in D.spectrum_contrast("t1", "t2").items()])
+    both = p.select("vec_id", "layer", F.col("vec").alias("t1")).join(p.select("vec_id", (F.col("layer") - 1).alias("layer"), F.col("vec").alias("t2")), ["vec_id", "layer"])
+    return both.select("vec_id", "layer", *[F.round(c, 6).alias(k) for k, c in D.spectrum_contrast("t1", "t2").items()])
 
 
 @query(f"""WITH {POINTS}, s AS (SELECT vec_id, layer, vec, list_avg(vec) AS level, list_transform(range(1, 16), lambda i: vec[i + 1] - vec[i]) AS d1 FROM points),
@@ -124,13 +124,13 @@ def relational_signatures(spark, sf):
     return D.relational_signatures(T.trade_top(spark, sf), nodes).select("node", *r6(*D.RELATIONAL))
 
 
-@query(f"""WITH {TRADE}, l AS (SELECT source, target, CAST(w > (SELECT quantile_cont(w, 0.5) FROM top) AS INTEGER) AS label FROM top), p AS (SELECT * FROM l WHERE label > 0 AND source < 20 AND target < 20)
+@query(f"""WITH {TRADE}, l AS (SELECT source, target, CAST(w > (SELECT quantile_cont(w, 0.5) FROM top) AS INTEGER) AS label FROM top), p AS (SELECT * FROM l WHERE label > 0)
 SELECT i, j, CAST(count(*) AS DOUBLE) AS w FROM (SELECT source AS i, target AS j FROM p UNION ALL SELECT target, source FROM p) GROUP BY ALL""")
 def positive_adjacency(spark, sf):
     top = T.trade_top(spark, sf)
     cut = top.agg(F.percentile("w", F.lit(0.5)).alias("m"))
     edges = top.crossJoin(F.broadcast(cut)).select("source", "target", (F.col("w") > F.col("m")).cast("int").alias("label"))  # one row
-    return D.positive_adjacency(edges, T.table(spark, sf, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("node")))
+    return D.positive_adjacency(edges, T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node")))
 
 
 @query(f"WITH {TRADE} SELECT n_nationkey AS node, CAST(count(DISTINCT target) AS DOUBLE) AS activity FROM nation LEFT JOIN top ON n_nationkey = source GROUP BY 1")
@@ -155,12 +155,12 @@ def module_vectors(spark, sf):
     return n.select("module", "layer", F.posexplode("vec").alias("d", "v")).select("module", "layer", "d", *r6("v"))
 
 
-@query(f"""WITH {POINTS}, c AS (SELECT label AS module, layer, count(*) AS n FROM points WHERE (vec_id + layer) % 4 <> 0 GROUP BY ALL HAVING count(*) >= 3),
-m AS (SELECT module FROM c GROUP BY module HAVING count(*) = (SELECT count(DISTINCT layer) FROM c)), o AS (SELECT label AS module FROM embeddings WHERE label < 7 GROUP BY label HAVING count(*) >= 3)
+@query(f"""WITH {POINTS}, c AS (SELECT label AS module, layer, count(*) AS n FROM points GROUP BY ALL HAVING count(*) >= 3),
+m AS (SELECT module FROM c GROUP BY module HAVING count(*) = (SELECT count(DISTINCT layer) FROM c)), o AS (SELECT label AS module FROM embeddings GROUP BY label HAVING count(*) >= 3)
 SELECT module FROM m JOIN o USING (module)""")
 def common_modules(spark, sf):
-    roles = T.points(spark, sf).where("(vec_id + layer) % 4 <> 0").select("layer", F.col("vec_id").alias("node"), "vec")
-    other = T.whole_points(spark, sf).where("label < 7").select(F.col("vec_id").alias("node"), "vec")
+    roles = T.points(spark, sf).select("layer", F.col("vec_id").alias("node"), "vec")
+    other = T.whole_points(spark, sf).select(F.col("vec_id").alias("node"), "vec")
     m = _modules(spark, sf)
     return D.common_modules(D.module_vectors(m, roles, ["layer"]), D.module_vectors(m, other))
 
@@ -305,10 +305,10 @@ def linear_predict(spark, sf):
     return models.linear_predict(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), ["n_chars"], "quality").select("doc_id", *r6("predicted"))
 
 
-@query(f"""WITH RECURSIVE {TRADE}, n AS (SELECT n_nationkey AS node FROM nation WHERE n_nationkey < 22), b AS (SELECT a, b FROM both_ways WHERE a < 22 AND b < 22),
+@query(f"""WITH RECURSIVE {TRADE}, n AS (SELECT n_nationkey AS node FROM nation), b AS (SELECT a, b FROM both_ways),
 h AS (SELECT a, b, 1 AS k FROM b UNION SELECT h.a, b.b, k + 1 FROM h JOIN b ON h.b = b.a WHERE k < 24 AND h.a <> b.b),
 d AS (SELECT a, b, min(k) AS k FROM h GROUP BY ALL)
 SELECT p.node AS source, q.node AS target, CAST(CASE WHEN p.node = q.node THEN 0 ELSE coalesce(d.k, (SELECT max(k) + 1 FROM d)) END AS DOUBLE) AS hops FROM n p CROSS JOIN n q LEFT JOIN d ON d.a = p.node AND d.b = q.node""")
 def hop_matrix(spark, sf):
-    nodes = T.table(spark, sf, "nation").where("n_nationkey < 22").select(F.col("n_nationkey").alias("node"))
+    nodes = T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"))
     return graph.hop_matrix(T.trade_top(spark, sf), nodes)

@@ -4,6 +4,7 @@ inside the JVM."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,16 +41,20 @@ def scaled(a: Column | str, by: Column | float) -> Column:
     return F.transform(_c(a), lambda x: x * by)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def unit(a: Column | str, floor: float = 1e-12) -> Column:
     """The vector at length 1, or zeros where it is shorter than floor."""
-    n = norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > floor, x / n).otherwise(F.lit(0.0)))
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > floor, x / n).otherwise(F.lit(0.0)))
+    return let(_c(a), lambda v: F.when(v.isNotNull(), let(norm(v), lambda n: scaled(v, n))))
 
 
 def centred(a: Column | str) -> Column:
     """The vector less its own mean."""
-    mean = total(a) / F.size(_c(a))
-    return F.transform(_c(a), lambda x: x - mean)
+    return let(_c(a), lambda v: F.when(v.isNotNull(), let(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))))
 
 
 def centred_cosine(a: Column | str, b: Column | str) -> Column:

@@ -702,7 +702,8 @@ def run(screen: Screen | str, slices: Slices, replicates: int | None = None, fol
     """(results, nulls) of a screen: cross-validated AUC of baseline and features against the baseline alone, and
     the same under each null family. Features are made once, and written to the checkpoint folder before the fan-out; null families that
     move points, layers or nodes make them again from what was moved. All models, of the slices as they are and of every
-    family and replicate, are fitted together."""
+    family and replicate, are fitted together. Null families that have no implementation here are left out, and named in the
+    results' column `refused`."""
     screen = SCREENS[screen] if isinstance(screen, str) else screen
     replicates = REPLICATES.get(screen.name, DEFAULT_REPLICATES) if replicates is None else replicates
     keys = list(slices.keys)
@@ -722,21 +723,31 @@ def run(screen: Screen | str, slices: Slices, replicates: int | None = None, fol
     fanned = [*keys, "null_kind", "perm_idx"]
     every = rows.withColumn("null_kind", F.lit("observed")).withColumn("perm_idx", F.lit(-1))
     every = every.select(*fanned, "y", "fold", "base", *names)
+    refused = []
     for kind in screen.null_kinds or ("feature_shuffle",):
-        moved = remade(screen, slices, many, kind, names, replicates)
-        moved = resampled(screen, many, kind, names, keys) if moved is None else moved
+        try:
+            moved = remade(screen, slices, many, kind, names, replicates)
+            moved = resampled(screen, many, kind, names, keys) if moved is None else moved
+        except NotImplementedError:
+            refused.append(kind)
+            continue
         every = every.unionByName(moved.withColumn("null_kind", F.lit(kind)).select(*fanned, "y", "fold", "base", *names))
     fitted = fits.cross_validated(every, ["base", *names], "y", fanned, "base", l1, folds=folds)
     fitted = graph.written(fitted, "screen-fits")
-    seen = fitted.where("perm_idx < 0").drop("null_kind", "perm_idx")
+    seen = fitted.where("perm_idx < 0").drop("null_kind", "perm_idx").withColumn("refused", F.array(*map(F.lit, refused)).cast("array<string>"))
     return seen, fitted.where("perm_idx >= 0").select(*fanned, F.col("delta").alias("null_value"))
 
 
 def calibrated(screen: Screen | str, slices: Slices, replicates: int | None = None) -> DataFrame:
-    """Results with the pooled null's 95 % point and gap, and the margin to the strictest null family."""
+    """Results with the pooled null's 95 % point and gap, and the margin to the strictest null family; null where a screen
+    has no null family that is implemented."""
     screen = SCREENS[screen] if isinstance(screen, str) else screen
     seen, drawn = run(screen, slices, replicates)
-    kinds = list(screen.null_kinds or ("feature_shuffle",))
+    first = seen.select("refused").first()
+    kinds = [k for k in screen.null_kinds or ("feature_shuffle",) if not first or k not in first[0]]
+    if not kinds:
+        none = [F.lit(None).cast("double").alias(c) for c in ("q95_null", "null_gap", "strict_q95_max", "strict_margin")]
+        return seen.select("*", *none, F.lit(None).cast("int").alias("strict_positive"))
     out = audit.pooled_gap(seen, drawn, slices.keys)
     strict = audit.strict_audit(seen.select(*slices.keys, "delta"), drawn, slices.keys, kinds).select(*slices.keys, "strict_q95_max", "strict_margin", "strict_positive")
     return out.join(strict, list(slices.keys))

@@ -132,10 +132,11 @@ def knn_degree(spark, sf):
 
 
 @query(f"""WITH {KNN}, s AS (SELECT layer, id, list(neighbour) AS n FROM knn GROUP BY ALL)
-SELECT round(avg(len(list_intersect(a.n, b.n)) / len(list_distinct(list_concat(a.n, b.n)))), 6) AS mean_jaccard, count(*) AS n FROM s a JOIN s b ON a.id = b.id AND a.layer = 0 AND b.layer = 1""")
+SELECT a.layer, round(avg(len(list_intersect(a.n, b.n)) / len(list_distinct(list_concat(a.n, b.n)))), 6) AS mean_jaccard, count(*) AS n FROM s a JOIN s b ON a.id = b.id AND a.layer + 1 = b.layer GROUP BY a.layer""")
 def knn_jaccard_blocks(spark, sf):
     n = vectors.knn(T.points(spark, sf), 8, ["layer"])
-    return vectors.mean_jaccard(n.where("layer = 0").drop("layer"), n.where("layer = 1").drop("layer")).select(*r6("mean_jaccard"), "n")
+    ahead = n.select((F.col("layer") - 1).alias("layer"), "id", "neighbour")
+    return vectors.mean_jaccard(n, ahead, ["layer"]).select("layer", *r6("mean_jaccard"), "n")
 
 
 @query(f"""WITH {KNN}, m AS (SELECT layer, quantile_cont(distance, 0.5) AS m FROM knn_edges GROUP BY layer) SELECT layer, u, v, round(exp(-distance / greatest(m, 1e-12)), 6) AS w FROM knn_edges JOIN m USING (layer)""")
@@ -180,32 +181,32 @@ def module_centroid_distances(spark, sf):
     return p.select("layer", "u", "v", "n_u", F.round(X.distance("x", "y"), 6).alias("distance"))
 
 
-@query(f"""WITH {POINTS}, p AS (SELECT a.vec_id, a.vec AS x, b.vec AS y FROM points a JOIN points b USING (vec_id) WHERE a.layer = 0 AND b.layer = 1),
-e AS (SELECT vec_id, i, j, x[i] AS p, y[j] AS q, x[j] AS px, y[i] AS qy FROM p, (SELECT unnest(range(1, 17)) AS i), (SELECT unnest(range(1, 17)) AS j)),
-g AS (SELECT i, j, sum(p * q) - sum(p) * sum(q) / count(*) AS xy, sum(p * px) - sum(p) * sum(px) / count(*) AS xx, sum(qy * q) - sum(qy) * sum(q) / count(*) AS yy FROM e GROUP BY i, j)
-SELECT round(sum(xy * xy) / sqrt(sum(xx * xx) * sum(yy * yy)), 6) AS cka FROM g""")
+@query(f"""WITH {POINTS}, p AS (SELECT a.vec_id, a.layer, a.vec AS x, b.vec AS y FROM points a JOIN points b ON a.vec_id = b.vec_id AND a.layer + 1 = b.layer),
+e AS (SELECT vec_id, layer, i, j, x[i] AS p, y[j] AS q, x[j] AS px, y[i] AS qy FROM p, (SELECT unnest(range(1, 17)) AS i), (SELECT unnest(range(1, 17)) AS j)),
+g AS (SELECT layer, i, j, sum(p * q) - sum(p) * sum(q) / count(*) AS xy, sum(p * px) - sum(p) * sum(px) / count(*) AS xx, sum(qy * q) - sum(qy) * sum(q) / count(*) AS yy FROM e GROUP BY layer, i, j)
+SELECT layer, round(sum(xy * xy) / sqrt(sum(xx * xx) * sum(yy * yy)), 6) AS cka FROM g GROUP BY layer""")
 def linear_cka(spark, sf):
-    return alignment.linear_cka(_paired(spark, sf)).select(*r6("cka"))
+    return alignment.linear_cka(_paired(spark, sf), ["layer"]).select("layer", *r6("cka"))
 
 
-def _paired(spark, sf):
+def _paired(spark, sf, keys=("layer",)):
+    """Each layer's points beside those of the next."""
     p = T.points(spark, sf)
-    return alignment.paired(p.where("layer = 0").drop("layer"), p.where("layer = 1").drop("layer"))
+    return alignment.paired(p, p.withColumn("layer", F.col("layer") - 1), list(keys))
 
 
-@query(f"""WITH {POINTS}, p AS (SELECT a.vec AS x, b.vec AS y FROM points a JOIN points b USING (vec_id) WHERE a.layer = 0 AND b.layer = 1),
-e AS (SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, x[i] AS p, y[j] AS q FROM p, (SELECT unnest(range(1, 17)) AS i), (SELECT unnest(range(1, 17)) AS j))
-SELECT i, j, round(sum(p * q) - sum(p) * sum(q) / count(*), 5) AS g FROM e GROUP BY i, j""")
+@query(f"""WITH {POINTS}, p AS (SELECT a.layer, a.vec AS x, b.vec AS y FROM points a JOIN points b ON a.vec_id = b.vec_id AND a.layer + 1 = b.layer),
+e AS (SELECT layer, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, x[i] AS p, y[j] AS q FROM p, (SELECT unnest(range(1, 17)) AS i), (SELECT unnest(range(1, 17)) AS j))
+SELECT layer, i, j, round(sum(p * q) - sum(p) * sum(q) / count(*), 5) AS g FROM e GROUP BY layer, i, j""")
 def procrustes_gram(spark, sf):
-    return alignment.gram(_paired(spark, sf)).select("i", "j", F.round("g", 5).alias("g"))
+    return alignment.gram(_paired(spark, sf), ["layer"]).select("layer", "i", "j", F.round("g", 5).alias("g"))
 
 
-@query(f"""WITH {POINTS}, p AS (SELECT a.label, a.vec AS x, b.vec AS y FROM points a JOIN points b USING (vec_id) WHERE a.layer = 0 AND b.layer = 1)
-SELECT label, count(*) AS n, round(avg(list_cosine_similarity(x, y)), 6) AS mean_cosine FROM p GROUP BY label""")
+@query(f"""WITH {POINTS}, p AS (SELECT a.label, a.layer, a.vec AS x, b.vec AS y FROM points a JOIN points b ON a.vec_id = b.vec_id AND a.layer + 1 = b.layer)
+SELECT label, layer, count(*) AS n, round(avg(list_cosine_similarity(x, y)), 6) AS mean_cosine FROM p GROUP BY label, layer""")
 def row_cosine(spark, sf):
-    p = T.points(spark, sf)
-    pairs = alignment.paired(p.where("layer = 0").drop("layer"), p.where("layer = 1").drop("layer"), ["label"])
-    return alignment.row_cosine(pairs, ["label"]).select("label", "n", *r6("mean_cosine"))
+    keys = ["label", "layer"]
+    return alignment.row_cosine(_paired(spark, sf, keys), keys).select(*keys, "n", *r6("mean_cosine"))
 
 
 # graphs
@@ -853,25 +854,25 @@ def local_shape(spark, sf):
 
 @query()
 def canonical_correlations(spark, sf):
-    return alignment.canonical_correlations(_paired(spark, sf)).select("k", *r6("rho"))
+    return alignment.canonical_correlations(_paired(spark, sf), ["layer"]).select("layer", "k", *r6("rho"))
 
 
 @query()
 def procrustes_error(spark, sf):
-    return alignment.procrustes_error(_paired(spark, sf)).select(*r6("nuclear", "rmse"))
+    return alignment.procrustes_error(_paired(spark, sf), ["layer"]).select("layer", *r6("nuclear", "rmse"))
 
 
 @query()
 def cycle_maps(spark, sf):
-    return alignment.cycle_maps(_paired(spark, sf)).select(*r6("loss_xy", "loss_yx", "loss_cycle"))
+    return alignment.cycle_maps(_paired(spark, sf), ["layer"]).select("layer", *r6("loss_xy", "loss_yx", "loss_cycle"))
 
 
 @query()
 def transport_alignment(spark, sf):
     c = vectors.centroids(T.points(spark, sf), "label", ["layer"])
-    a = c.where("layer = 0").select(F.lit(0).alias("slice"), F.col("label").alias("i"), F.col("vec").alias("x"))
-    b = c.where("layer = 1").select(F.lit(0).alias("slice"), F.col("label").alias("j"), F.col("vec").alias("y"))
-    return alignment.transport(a.join(b, "slice").select("slice", "i", "j", X.distance("x", "y").alias("cost")), ["slice"]).select(*r6("cost", "monotone", "matched_cost"))
+    a = c.select("layer", F.col("label").alias("i"), F.col("vec").alias("x"))
+    b = c.select((F.col("layer") - 1).alias("layer"), F.col("label").alias("j"), F.col("vec").alias("y"))
+    return alignment.transport(a.join(b, "layer").select("layer", "i", "j", X.distance("x", "y").alias("cost")), ["layer"]).select("layer", *r6("cost", "monotone", "matched_cost"))
 
 
 @query(f"""WITH {KNN}, b AS (SELECT layer, u AS node FROM knn_edges UNION ALL SELECT layer, v FROM knn_edges), n AS (SELECT layer, count(*) AS n_edges FROM knn_edges GROUP BY layer)

@@ -147,18 +147,18 @@ def test_alignments_from_the_points(spark, cloud):
     ids = sorted({i for i, _ in every})
     x, y = (np.array([every[i, layer] for i in ids]) for layer in (0, 1))
     x, y = x - x.mean(0), y - y.mean(0)
-    r = Q.QUERIES["procrustes_error"](spark, SF).first()
+    r = Q.QUERIES["procrustes_error"](spark, SF).where("layer = 0").first()
     u, s, vt = np.linalg.svd(x.T @ y)
     assert r.nuclear == pytest.approx(s.sum(), rel=1e-6)
     assert r.rmse == pytest.approx(math.sqrt(((x @ (u @ vt) - y) ** 2).sum() / len(ids)), rel=1e-5)
 
-    got = [c.rho for c in sorted(Q.QUERIES["canonical_correlations"](spark, SF).collect(), key=lambda c: c.k)]
+    got = [c.rho for c in sorted(Q.QUERIES["canonical_correlations"](spark, SF).where("layer = 0").collect(), key=lambda c: c.k)]
     reg = lambda m: m + 1e-3 * np.trace(m) / len(m) * np.eye(len(m))
     xx, yy, xy = reg(x.T @ x), reg(y.T @ y), x.T @ y
     values = np.linalg.eigvals(np.linalg.solve(xx, xy) @ np.linalg.solve(yy, xy.T)).real
     assert got == pytest.approx(np.sqrt(np.sort(values)[::-1][: len(got)]), abs=2e-6)
 
-    c = Q.QUERIES["cycle_maps"](spark, SF).first()
+    c = Q.QUERIES["cycle_maps"](spark, SF).where("layer = 0").first()
     assert 0 <= c.loss_xy <= (y**2).sum() and 0 <= c.loss_yx <= (x**2).sum() and c.loss_cycle >= 0
 
 
@@ -202,7 +202,7 @@ def test_communities_cannot_be_merged_for_more_modularity(spark, paths):
 
 
 def test_transport_is_no_dearer_than_chance(spark, cloud):
-    r = Q.QUERIES["transport_alignment"](spark, SF).first()
+    r = Q.QUERIES["transport_alignment"](spark, SF).where("layer = 0").first()
     means = {}
     for (label, layer), (_, p) in cloud[0].items():
         means[label, layer] = p.mean(0)

@@ -57,6 +57,20 @@ def test_sections_swap(cloud, edges, support):
     assert all(other[(k[0], k[2], k[1])] == pytest.approx(v) for k, v in back(G.swapped(there), names).items())
 
 
+def test_sections_of_a_cross(spark):
+    """Five points around each of two ends, spread 3, 2 and 1 along the axes: eigenvalues 9, 4 and 1 times one number."""
+    around = [(3, 0, 0), (-3, 0, 0), (0, 2, 0), (0, -2, 0), (0, 0, 1), (0, 0, -1)]
+    points = [(0, 10 * e + i, [100.0 * e + x, float(y), float(z)]) for e in (0, 1) for i, (x, y, z) in enumerate([(0, 0, 0), *around])]
+    df = spark.createDataFrame(points, "s int, vec_id int, vec array<double>")
+    edges = spark.createDataFrame([(0, 0, 10)], "s int, u int, v int")
+    support = spark.createDataFrame([(0, 0, 10, 0.75), (0, 10, 0, 0.25)], "s int, source int, target int, support double")
+    r = G.sectional_features(df, edges, ["s"], support, k=6).first()
+    shape = ((9 - 4) / 14, (4 - 1) / 9, 36 ** (1 / 3) / 14)
+    assert (r.anisotropy_u, r.planarity_mean, r.omnivariance_mean) == pytest.approx(shape) and r.anisotropy_mean == pytest.approx(shape[0])
+    assert (r.anisotropy_apart, r.margin, r.apart_margin) == pytest.approx((0, 0.5, 0), abs=1e-9)
+    assert (r.align_u, r.align_v, r.align_pair, r.mean_pair) == pytest.approx((1, 1, 1, shape[0]))
+
+
 @pytest.mark.parametrize("f", [G.path_torsion, G.path_fractures, G.path_curvature, G.edge_thinness, G.dimension_phase, G.dropped_geodesics])
 def test_path_features_have_a_row_an_edge(cloud, edges, f):
     df = f(cloud, edges, ["layer"], k=4)

@@ -1,10 +1,13 @@
 """What the null families of the screens move."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import random as R
+from orrery.functions.stats import auc
 from orrery.operators import geometry
 from orrery.plans import nulls as N
 from orrery.plans import screens as C
@@ -102,6 +105,23 @@ def test_a_family_without_an_implementation_is_refused(slices, name, kind):
         moved(slices, name, kind)
 
 
+def test_a_screen_goes_on_without_a_refused_family(slices):
+    kinds = C.SCREENS["H131"].null_kinds
+    rows = C.calibrated("H131", slices, 2).collect()
+    assert rows and all("cycle_order_shuffle" in r.refused and set(r.refused) <= set(kinds) for r in rows)
+    assert len(rows[0].refused) < len(kinds)
+
+
+def test_the_baseline_is_the_score_a_hypothesis_adds_to(slices):
+    assert [C.baseline(C.SCREENS[h]) for h in ("H13", "H61", "H90", "H118", "H136")] == ["near", "near", "base_score", "weighted_score", "weighted_score"]
+    slices = replace(slices, edges=slices.edges.withColumn("y", (F.col("u") % 3 == 0).cast("int")))
+    got = {(r.label, r.layer): r.auc_base for r in C.run("H139", slices, 1)[0].collect()}
+    made = geometry.edge_geometry(slices.points, slices.edges, KEYS, slices.support, slices.k).join(slices.edges, [*KEYS, "u", "v"])
+    assert all(a is not None for a in got.values()) and len(got) == 2
+    want = {(r.label, r.layer): r.auc for r in auc(made, "y", "weighted_score", KEYS).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_replicates_are_the_references(slices):
     assert {h: C.REPLICATES[h] for h in ("H136", "H61", "H62", "H63", "H90", "H118", "H39")} == {"H136": 24, "H61": 24, "H62": 24, "H63": 24, "H90": 8, "H118": 10, "H39": 20}
     _, drawn = C.run("H118", slices)
