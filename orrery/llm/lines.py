@@ -194,11 +194,12 @@ class LineIndex:
 
         return stored(self._sharded(counts).groupBy("shard").applyInArrow(fill, "shard long, filter binary"), "line-filters")
 
-    def _changed(self, counts: DataFrame) -> DataFrame:
-        """Filters after counts have changed: keys that became common go in, others come out. A
-        filter that gets too full is built anew from the exact counts."""
-        was, now = self._sharded(self.counts), self._sharded(counts)
-        moves = now.exceptAll(was).withColumn("into", F.lit(True)).unionByName(was.exceptAll(now).withColumn("into", F.lit(False)))
+    def _changed(self, counts: DataFrame, was: DataFrame, now: DataFrame) -> DataFrame:
+        """Filters after the counts of some keys have changed from `was` to `now`: of these, keys that became common
+        go in, others come out. A filter that gets too full is built anew from the exact counts."""
+        was, now = self._sharded(was).withColumn("into", F.lit(False)), self._sharded(now).withColumn("into", F.lit(True))
+        moves = was.unionByName(now).groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n"), F.max("into").alias("into")).where("n = 1").drop("n")
+        moves = moves.repartition("shard")
 
         def change(key, filters, moved):
             made = CuckooFilter.load(filters.column("filter")[0].as_py()) if filters.num_rows else CuckooFilter.for_keys(moved.num_rows)
@@ -216,21 +217,32 @@ class LineIndex:
         anew = self._filters(counts.join(full, F.col("bucket") % self.shards == F.col("shard"), "left_semi"))
         return stored(changed.where("filter is not null").unionByName(anew), "line-filters")
 
+    def _recounted(self, postings: DataFrame, now: DataFrame) -> LineIndex:
+        """The index with these postings, where the keys of `now` (a stored table of counts, n_docs 0 for none) have
+        changed: only they are compared with what was, and only the filters of their shards change."""
+        touched = now.select("bucket", "key")
+        was = stored(self.counts.join(touched, ["bucket", "key"], "left_semi").select(now.columns), "line-were")
+        left = now.where("n_docs > 0")
+        counts = stored(self.counts.join(touched, ["bucket", "key"], "left_anti").select(now.columns).unionByName(left), "line-counts")
+        return self._with(postings=postings, counts=counts, filters=self._changed(counts, was, left))
+
     def insert(self, docs: DataFrame) -> LineIndex:
+        """With docs as well. Their keys are counted and added to the counts of these keys alone."""
         new = stored(self._postings(docs), "line-postings")
-        counts = self.counts.unionByName(self._counted(new)).groupBy("bucket", "key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
-        counts = stored(counts, "line-counts")
-        return self._with(postings=self.postings.unionByName(new), counts=counts, filters=self._changed(counts))
+        more = self._counted(new)
+        known = self.counts.join(more.select("bucket", "key"), ["bucket", "key"], "left_semi").select(more.columns)
+        now = known.unionByName(more).groupBy("bucket", "key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+        return self._recounted(self.postings.unionByName(new), stored(now, "line-now"))
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Without the documents whose ids are in the first column of ids; as if they had never been
         inserted. Only the keys that they held are counted again."""
         ids = ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct()
         postings = stored(self.postings.join(ids, "doc_id", "left_anti").select(self.postings.columns), "line-postings")
-        touched = self.postings.join(ids, "doc_id", "left_semi").select("bucket", "key").distinct()
+        touched = stored(self.postings.join(ids, "doc_id", "left_semi").select("bucket", "key").distinct(), "line-touched")
         again = self._counted(postings.join(touched, ["bucket", "key"], "left_semi"))
-        counts = stored(self.counts.join(touched, ["bucket", "key"], "left_anti").unionByName(again), "line-counts")
-        return self._with(postings=postings, counts=counts, filters=self._changed(counts))
+        now = touched.join(again, ["bucket", "key"], "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0).cast("long")))
+        return self._recounted(postings, stored(now.select(again.columns), "line-now"))
 
     def _candidates(self, docs: DataFrame) -> DataFrame:
         """(doc_id, digest, bucket, key) of the lines that a filter passes."""
