@@ -811,14 +811,16 @@ def base_score_auc(spark, sf):
     return S.auc(g, "y", "base_score", ["label", "layer"]).select("label", "layer", *r6("auc"))
 
 
-@query(f"{GEODESIC} SELECT label, layer, round(avg(d / euclidean), 6) AS mean_distortion, count(*) AS n_pairs FROM closed WHERE u < v AND euclidean > 1e-9 GROUP BY ALL")
+@query(f"""{GEODESIC}, s AS (SELECT label, layer, count(*) AS n FROM spots GROUP BY ALL), m AS (SELECT label, layer, avg(d / euclidean) AS m FROM closed WHERE u < v AND euclidean > 1e-9 GROUP BY ALL)
+SELECT s.label, s.layer, n, round(m, 6) AS mean_distortion FROM s LEFT JOIN m ON s.label = m.label AND s.layer = m.layer""")
 def geodesic_distortion(spark, sf):
     """Mean of geodesic over Euclidean distance, over all pairs of points of a slice."""
     keys = ["label", "layer"]
     p = T.points(spark, sf)
     pairs = vectors.pairs(p, keys).select(*keys, "u", "v")
     g = paths.edge_geodesics(p, pairs, keys).where("euclidean > 1e-9")
-    return g.groupBy(*keys).agg(F.round(F.avg(F.col("geodesic") / F.col("euclidean")), 6).alias("mean_distortion"), F.count(F.lit(1)).alias("n_pairs"))
+    means = g.groupBy(*keys).agg(F.round(F.avg(F.col("geodesic") / F.col("euclidean")), 6).alias("mean_distortion"))
+    return p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(means, keys, "left")
 
 
 @query()
