@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions import expressions as X
 from ..functions import random as R
 from ..functions.stats import degree_bins
-from ..operators import models
+from ..operators import rewire as rewire_ops
 
 # The names of the null families, by mechanism.
 FAMILIES = {k: v.split() for k, v in {
@@ -165,7 +165,7 @@ def relabel(df: DataFrame, node: str, degree: str, name: str, replicate: str, ke
 
 def rewire(edges: DataFrame, keys: Sequence[str], replicate: str) -> DataFrame:
     """Undirected edges, fanned out by replicate, after swaps that keep every degree."""
-    return models.rewired(edges, [*keys, replicate], draw=replicate)
+    return rewire_ops.rewired(edges, [*keys, replicate])
 
 
 def axis(vec: str, node: str, name: str, replicate: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .functions import expressions as X
 from .functions import random as R
 from .functions import stats as S
-from .operators import alignment, geometry, graph, models, paths, sequences, support, topology, vectors
+from .operators import alignment, geometry, graph, models, paths, rewire, sequences, support, topology, vectors
 from .plans import audit, screen, screens
 from .registry import KNN, POINTS, SCORED, TERMS, TOKENS, TRADE, auc_sql, query, r6
 from .sources import tables as T
@@ -883,8 +883,7 @@ def degree_swap_null(spark, sf):
     """Degrees and edges of each layer's graph after rewiring, which are as many as before, though over half
     of the edges are others."""
     e = _edges(spark, sf).select("layer", "u", "v")
-    graph.checkpoints(spark)
-    new = models.rewired(e, ["layer"]).checkpoint()
+    new = rewire.rewired(e, ["layer"])
     same = new.join(e, ["layer", "u", "v"], "left_semi").groupBy("layer").agg(F.count(F.lit(1)).alias("same"))
     whole = new.distinct().groupBy("layer").agg(F.count(F.lit(1)).alias("n_edges")).join(same, "layer", "left")
     stats = whole.select("layer", "n_edges", (2 * F.coalesce("same", F.lit(0)) < F.col("n_edges")).alias("moved"))
