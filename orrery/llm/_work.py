@@ -20,19 +20,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a local session that
-    names none (tests) a temporary one, which is then set as the session's checkpoint folder. On a
-    cluster a temporary folder would be each machine's own, so one must be named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="orrery-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    names none (tests) a temporary one, in which it then checkpoints too. On a cluster a temporary
+    folder would be each machine's own, so one must be named."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="orrery-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(_LOCAL[app])
+    return _LOCAL[app]
 
 
 def bounded_batches(spark: SparkSession) -> None:

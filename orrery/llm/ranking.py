@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._work import stored, tidy
 
 #: Bytes of text of a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of item texts of a block; its terms and their weights go to every task.
 BLOCK_BYTES = 4 << 20
 
