@@ -163,7 +163,7 @@ def best_f1_threshold(df: DataFrame, label: str, score: str, keys: Sequence[str]
     shares = [0.05 + 0.9 * k / (steps - 1) for k in range(steps)]
     cuts = df.groupBy(*keys).agg(F.percentile(score, F.array(*[F.lit(s) for s in shares])).alias("__cuts"))
     cuts = cuts.select(*keys, F.posexplode("__cuts").alias("__k", "threshold"))
-    joined = df.join(F.broadcast(cuts), list(keys)) if keys else df.crossJoin(F.broadcast(cuts))
+    joined = df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))
     f1 = confusion(F.col(label), (F.col(score) >= F.col("threshold")).cast("int"))["f1"]
     scored = joined.groupBy(*keys, "__k", "threshold").agg(f1.alias("f1"))
     best = F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("__k")))

@@ -208,14 +208,14 @@ def chart_maps(pairs: DataFrame, chart: str, least: int = 8) -> DataFrame:
     """(chart, i, j, value): an orthogonal map for each chart of at least `least` pairs, and under chart null
     the map of all pairs, which stands in for the others."""
     n = pairs.groupBy(chart).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(chart)
-    own = procrustes_map(pairs.join(F.broadcast(n), chart), [chart])
+    own = procrustes_map(pairs.join(n, chart), [chart])
     return own.unionByName(procrustes_map(pairs).select(F.lit(None).cast(pairs.schema[chart].dataType).alias(chart), "i", "j", "value"))
 
 
 def apply_maps(points: DataFrame, maps: DataFrame, chart: str, id_col: str = "id") -> DataFrame:
     """(id, chart, vec): vectors times their chart's map, or the common one. Maps are d * d numbers a chart."""
     has = maps.where(F.col(chart).isNotNull()).select(F.col(chart).alias("__has")).distinct()
-    long = points.join(F.broadcast(has), F.col(chart) == F.col("__has"), "left").select(F.col(id_col).alias("id"), F.col(chart).alias("own"), F.col("__has").alias("use"), F.posexplode("vec").alias("i", "x"))
+    long = points.join(has, F.col(chart) == F.col("__has"), "left").select(F.col(id_col).alias("id"), F.col(chart).alias("own"), F.col("__has").alias("use"), F.posexplode("vec").alias("i", "x"))
     m = F.broadcast(maps.select(F.col(chart).alias("use_map"), F.col("i").alias("mi"), "j", "value"))
     out = long.join(m, F.col("use").eqNullSafe(F.col("use_map")) & (F.col("i") == F.col("mi"))).groupBy("id", "own", "j").agg(F.sum(F.col("x") * F.col("value")).alias("y"))
     return out.groupBy("id", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "y"))), lambda s: s["y"]).alias("vec")).withColumnRenamed("own", chart)
@@ -269,7 +269,7 @@ def perturbed(vectors: DataFrame, specs: DataFrame, strengths: Sequence[float])
     rows = vectors.crossJoin(F.broadcast(grid))
     partner = vectors.select(F.col("module").alias("__p"), F.col("vec").alias("other"))
     to = F.when((F.col("kind") == "swap") & (F.col("module") == F.col("a")), F.col("b")).when((F.col("kind") == "swap") & (F.col("module") == F.col("b")), F.col("a"))
-    rows = rows.withColumn("__to", to).join(F.broadcast(partner), F.col("__to") == F.col("__p"), "left")
+    rows = rows.withColumn("__to", to).join(partner, F.col("__to") == F.col("__p"), "left")
     s, hit = F.col("strength"), F.col("module") == F.col("a")
     vec = (
         F.when(F.col("__to").isNotNull(), F.zip_with("vec", "other", lambda x, y: (1 - s) * x + s * y))

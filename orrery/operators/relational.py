@@ -65,7 +65,7 @@ def quantile_edges(df: DataFrame, value: str, bins: int, keys: Sequence[str] = (
 
 
 def bin_by(df: DataFrame, value: str, edges: DataFrame, keys: Sequence[str] = (), out: str = "bin") -> DataFrame:
-    rows = df.join(F.broadcast(edges), list(keys)) if keys else df.crossJoin(F.broadcast(edges))
+    rows = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))
     return rows.withColumn(out, F.size(F.filter("edges", lambda e: F.col(value) > e))).drop("edges")
 
 

@@ -57,7 +57,7 @@ def edges_within(edges: DataFrame, nodes: DataFrame, source: str = "source", tar
 def quantile_masks(df: DataFrame, value: str, low: float, high: float, keys: Sequence[str] = ()) -> DataFrame:
     """df with is_low and is_high; neither holds in a slice under 10 rows."""
     q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"), F.count(F.lit(1)).alias("qn"))
-    rows = df.join(F.broadcast(q), list(keys)) if keys else df.crossJoin(F.broadcast(q))
+    rows = df.join(q, list(keys)) if keys else df.crossJoin(F.broadcast(q))
     ok = F.col("qn") >= 10
     return rows.withColumn("is_low", ok & (F.col(value) <= F.col("q")[0])).withColumn("is_high", ok & (F.col(value) >= F.col("q")[1])).drop("q", "qn")
 

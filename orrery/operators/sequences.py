@@ -55,7 +55,7 @@ def cross_fitted_scores(tokens: DataFrame, labels: DataFrame, orders: Sequence[i
         a, b = F.col("tp") - F.col("p"), F.col("tq") - F.col("q")
         odds = F.ln((a + alpha) / (F.sum(a).over(w) + alpha * n)) - F.ln((b + alpha) / (F.sum(b).over(w) + alpha * n))
         model = grid.select("fold", *h, "token", odds.alias("o"))
-        s = steps.join(F.broadcast(model) if order <= 1 else model, ["fold", *h, "token"]).groupBy(seq).agg(F.sum("o").alias("s"))
+        s = steps.join(model, ["fold", *h, "token"]).groupBy(seq).agg(F.sum("o").alias("s"))
         out = out.join(s, seq, "left").withColumn("score", F.col("score") + F.coalesce("s", F.lit(0.0))).drop("s")
     return out
 

@@ -130,7 +130,7 @@ def select_modules(terms: DataFrame, least: int, most: int, cap: int) -> DataFra
 
 def assign_module(terms: DataFrame, chosen: DataFrame, other: str = "OTHER") -> DataFrame:
     """(symbol, module): the first, by name, of a symbol's terms among the chosen, else `other`."""
-    hit = terms.join(F.broadcast(chosen.select("term")), "term").groupBy("symbol").agg(F.min("term").alias("m"))
+    hit = terms.join(chosen.select("term"), "term").groupBy("symbol").agg(F.min("term").alias("m"))
     return terms.select("symbol").distinct().join(hit, "symbol", "left").select("symbol", F.coalesce("m", F.lit(other)).alias("module"))
 
 

@@ -21,7 +21,7 @@ def thresholds(pairs: DataFrame, value: str, shares: Sequence[float], keys: Sequ
 def filtration(pairs: DataFrame, shares: Sequence[float], keys: Sequence[str] = (), value: str = "distance") -> DataFrame:
     """(keys, level, u, v): the pairs within each quantile of value."""
     cuts = thresholds(pairs, value, shares, keys)
-    rows = pairs.join(F.broadcast(cuts), list(keys)) if keys else pairs.crossJoin(F.broadcast(cuts))
+    rows = pairs.join(cuts, list(keys)) if keys else pairs.crossJoin(F.broadcast(cuts))
     return rows.where(F.col(value) <= F.col("level_cut")).select(*keys, "level", "u", "v")
 
 
@@ -30,7 +30,7 @@ def bifiltration(pairs: DataFrame, shares: Sequence[float], support_shares: Sequ
     near = thresholds(pairs, value, shares, keys)
     strong = thresholds(pairs, support, support_shares, keys, "s_level")
     grid = near.join(strong, list(keys)) if keys else near.crossJoin(strong)
-    rows = pairs.join(F.broadcast(grid), list(keys)) if keys else pairs.crossJoin(F.broadcast(grid))
+    rows = pairs.join(grid, list(keys)) if keys else pairs.crossJoin(F.broadcast(grid))
     return rows.where((F.col(value) <= F.col("level_cut")) & (F.col(support) >= F.col("s_level_cut"))).select(*keys, "level", "s_level", "u", "v")
 
 

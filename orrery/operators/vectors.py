@@ -82,7 +82,7 @@ def knn_edges(neighbours: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def kernel_weights(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Edges with w = exp(-distance / median distance of the slice)."""
     cut = edges.groupBy(*keys).agg(F.percentile("distance", F.lit(0.5)).alias("__m"))
-    rows = edges.join(F.broadcast(cut), list(keys)) if keys else edges.crossJoin(F.broadcast(cut))
+    rows = edges.join(cut, list(keys)) if keys else edges.crossJoin(F.broadcast(cut))
     return rows.withColumn("w", F.exp(-F.col("distance") / F.greatest("__m", F.lit(1e-12)))).drop("__m")
 
 

@@ -368,7 +368,7 @@ def _fitted(points: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFra
     """(keys, vec_id, vec): points mapped to the other space by the orthogonal map that fits best."""
     m = alignment.procrustes_map(alignment.paired(points, other, keys), keys)
     m = m.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "i", "value"))), lambda e: e["value"]).alias("m"), (F.max("j") + 1).alias("d"))
-    return _mapped(points.join(F.broadcast(m), list(keys)), keys)  # d * d numbers a slice
+    return _mapped(points.join(m, list(keys)), keys)
 
 
 def _mapped(points: DataFrame, keys: Sequence[str]) -> DataFrame:
