@@ -44,3 +44,8 @@ def test_few_pairs_are_measured(monkeypatch):
     m, ids = 1e3 + rng.standard_normal((20000, 8)), np.arange(20000)
     V._nearest(ids[:1000], m[:1000], ids, m, 8, "euclidean")
     assert sum(seen) < 0.005 * 1000 * 20000
+
+
+def test_an_edge_is_as_long_as_its_neighbours_distance():
+    m = np.random.default_rng(7).standard_normal((300, 16))
+    assert (V.apart(m[:-1], m[1:]) == np.diagonal(V._square(m[:-1], m[1:], "euclidean"))).all()
