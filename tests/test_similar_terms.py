@@ -24,3 +24,26 @@ def test_a_term_that_all_symbols_have_makes_no_pairs(spark):
     rows = [(s, t) for s in range(400) for t in ("all", f"a{s}", f"b{s}")]
     plan = support.similar_terms(spark.createDataFrame(rows, "symbol int, term string"), 0.6)
     assert plan.count() == 0
+
+
+def _joined(node) -> int:
+    """Rows that the joins of an executed plan made."""
+    name, seq = node.nodeName(), node.children()
+    below = [seq.apply(i) for i in range(seq.size())]
+    if name == "AdaptiveSparkPlan":
+        below = [node.executedPlan()]
+    elif hasattr(node, "plan") and "QueryStage" in name:
+        below = [node.plan()]
+    own = node.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+    return own + sum(map(_joined, below))
+
+
+def test_equal_sets_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(support, "MEMBERS", 16, raising=False)
+    sets = [{"a", "b", "c"}, {"b", "c", "d"}, {"x", "y", "z"}]
+    rows = [(i * 3 + s, t) for s, own in enumerate(sets) for t in own for i in range(90)]
+    df = support.similar_terms(spark.createDataFrame(rows, "symbol int, term string"), 0.4)
+    got = {(r.u, r.v) for r in df.collect()}
+    want = {(u, v) for v in range(270) for u in range(v) if u % 3 == v % 3 or {u % 3, v % 3} == {0, 1}}
+    assert got == want and df.count() == len(want)
+    assert 0 < _joined(df._jdf.queryExecution().executedPlan()) < 2_000 < len(want)
