@@ -116,3 +116,38 @@ def test_turning_of_a_straight_line():
     helix = np.array([[np.cos(t), np.sin(t), 0.3 * t] for t in np.arange(12) * 0.5])
     turn, _, torsion, signed = K.turning(helix)
     assert turn > 0.2 and torsion == pytest.approx(abs(signed)) and torsion > 0
+
+
+def test_communities_from_edges_are_those_of_the_matrix():
+    rng = np.random.default_rng(4)
+    for n, part in ((1, 0.5), (25, 0.0), (40, 0.1), (60, 0.2), (80, 0.05)):
+        adjacent = np.triu(rng.random((n, n)) < part, 1)
+        adjacent |= adjacent.T
+        m = adjacent.sum() / 2
+        want = np.arange(n)
+        if m:
+            e, a = adjacent / (2 * m), adjacent.sum(1) / (2 * m)
+            while True:
+                gain = np.where((e > 0) & ~np.eye(n, dtype=bool), 2 * (e - np.outer(a, a)), -np.inf)
+                i, j = np.unravel_index(gain.argmax(), gain.shape)
+                if not gain[i, j] > 1e-12:
+                    break
+                e[i] += e[j]
+                e[:, i] += e[:, j]
+                e[j] = e[:, j] = 0
+                a[i] += a[j]
+                want[want == j] = i
+        assert (K.merged_communities(n, *np.nonzero(np.triu(adjacent))) == want).all()
+
+
+def test_tree_and_gap_without_a_matrix():
+    rng = np.random.default_rng(6)
+    p = rng.standard_normal((130, 5))
+    assert np.sort(K.tree_lengths(p)) == pytest.approx(np.sort([w for _, _, w in K.minimum_tree(K.pairwise(p))]))
+    near = np.isfinite(K.knn_adjacency(K.pairwise(p), 6)) & ~np.eye(130, dtype=bool)
+    u, v = np.nonzero(np.triu(near))
+    r = 1 / np.sqrt(near.sum(1))
+    want = np.sort(np.linalg.eigvalsh(np.eye(130) - r[:, None] * near * r[None]))[1]
+    assert K.spectral_gap(130, u, v) == pytest.approx(want, abs=1e-9) == K.spectral_gap(130, u, v, dense=10, width=25)
+    apart = (np.r_[u, u + 130], np.r_[v, v + 130])
+    assert K.spectral_gap(260, *apart, dense=10) == 0 == pytest.approx(K.spectral_gap(260, *apart), abs=1e-9)
