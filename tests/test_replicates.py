@@ -46,3 +46,33 @@ def test_models_are_the_same_in_any_number_of_tasks(spark, monkeypatch):
     one = get()
     monkeypatch.setattr(fits, "TASK_KEYS", 1)
     assert len(one) == 6 and get() == pytest.approx(one, abs=1e-9)
+
+
+def test_rows_of_several_tables_are_written_once(spark, monkeypatch):
+    labels, write = [], fits.written
+    monkeypatch.setattr(fits, "written", lambda df, label: labels.append(label) or write(df, label))
+    rows = spark.range(900).select((F.col("id") % 6).alias("k"), (F.col("id") % 5 % 2).alias("y"), F.sin("id").alias("x"), F.cos(F.col("id") * 3).alias("z"), (F.floor(F.col("id") / 7) % 3).cast("int").alias("fold"))
+    get = lambda df: {r.k: (r.n, r.auc_base, r.auc_model) for r in fits.cross_validated(df, ["x", "z"], "y", ["k"], "x", 0.01).collect()}
+    want = get(rows)
+    assert labels.count("fit-rows") == 1 and "fit-raw" not in labels
+    labels.clear()
+    got = get([rows.where("k < 2"), rows.where("k >= 2")])
+    assert labels.count("fit-rows") == 2 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+    import os
+    import time
+
+    from orrery.operators import graph
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    held = lambda: set(glob.glob(os.path.join(root, "*", "shuffle_*.data")))
+    before = held()
+    graph.written(spark.range(200_000).withColumn("x", F.rand(1)).repartition(4, "x"), "tidy")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
