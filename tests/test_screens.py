@@ -142,3 +142,12 @@ def test_the_model_screen_takes_twelve_replicates(spark, monkeypatch):
     monkeypatch.setattr(queries.screen, "model_screen", take)
     with pytest.raises(Taken, match="12"):
         registry.QUERIES["cv_logit_delta"](spark, "/root/testdata/sf0.001")
+
+
+def test_random_maps_shuffle_no_replicates(slices):
+    screen = C.SCREENS["H62"]
+    rows = R.replicates(slices.edges.withColumns({"there": F.lit(0.0), "back": F.lit(0.0)}), 3)
+    made = C.remade(screen, slices, rows, "random_map_alignment", ["there", "back"], 3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "perm_idx" in line]
+    assert made.count() == 3 * slices.edges.count()
