@@ -83,11 +83,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Parquet looks at a row group's and a page's size after each row, not after a hundred, and ends a group at a few MB.
+LARGE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def stored(df: DataFrame, label: str, large_rows: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends here, and what
-    was shuffled for it is not needed again if an executor is lost."""
+    was shuffled for it is not needed again if an executor is lost. large_rows: rows of some MB, of which writer and
+    reader then hold one or two at a time; else a task holds a hundred when it writes and a row group when it reads."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -84,7 +84,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if ids:
             yield _shard(first + n, ids, texts)
 
-    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(tidy(run), INDEX), "ranking-index")
+    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(tidy(run), INDEX), "ranking-index", large_rows=True)
 
 
 def _column(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,14 @@ def test_items_in_several_blocks(spark):
     assert searched(spark, docs, items, block=16) == ranked(docs, items)
 
 
+def test_large_shards_are_a_row_group_each(spark):
+    """A task that writes or reads shards holds a few of them, not all of its own."""
+    docs = spark.range(8, numPartitions=1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 200000), i -> hex(xxhash64(id, i))), ' ') AS text")
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in ranking.index(docs).inputFiles()]
+    rows = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+    assert sum(rows) == 4 and max(rows) == 1
+
+
 def test_ranking_of_empty_tables_and_other_columns(spark):
     assert searched(spark, [], [(1, "a")]) == []
     assert searched(spark, [(1, "a")], []) == []
