@@ -49,3 +49,26 @@ def test_few_pairs_are_measured(monkeypatch):
 def test_an_edge_is_as_long_as_its_neighbours_distance():
     m = np.random.default_rng(7).standard_normal((300, 16))
     assert (V.apart(m[:-1], m[1:]) == np.diagonal(V._square(m[:-1], m[1:], "euclidean"))).all()
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1e-30, 1.0, 1e30])
+def test_single_precision_only_screens(scale, monkeypatch):
+    """Products are in single precision, distances and their order are not, whatever the numbers' size."""
+    made = []
+    few = V._few_true
+    monkeypatch.setattr(V, "_few_true", lambda mask: (made.append(mask.size), few(mask))[1])
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((300, 5))
+    m[100:200] = m[:100] * (1 + 1e-9)  # nearer than single precision tells
+    m[250:] = m[250] + 1e-12 * rng.standard_normal((50, 5))
+    m, ids = m * scale, np.arange(300)
+    u, v, far = V._nearest(ids, m, ids, m, 3, "euclidean")
+    want = brute(ids, m, 3, "euclidean")
+    assert made and [(b, x) for i in range(300) for b, x in want[i]] == list(zip(v[np.argsort(u, kind="stable")].tolist(), far[np.argsort(u, kind="stable")].tolist(), strict=True))
+
+
+def test_heavy_tasks_are_not_put_together(spark):
+    """Blocks are few bytes and much work; a slice's points don't go through one task on their way."""
+    points = spark.createDataFrame([(s, i, [float(i % 17), float(s)]) for s in range(3) for i in range(60)], "s int, vec_id long, vec array<double>")
+    plan = V.knn(points, 2, ["s"], block=10)._jdf.queryExecution().executedPlan().toString()
+    assert f", {8 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan
